@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import exact_dedup
+from spindrift.llm import bpe, exact_dedup, packing
+
+#: Where the vocabularies of public tokenizers lie; a path there is a parameter of each operator that takes one.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_documents(spark, sf_dir)).drop("n_points")
 
@@ -27,8 +34,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
+def op10_bpe(spark, sf_dir):
+    out = bpe.encode(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op5_exact_dedup,)}
+    return {f.__name__: f for f in (op1_packing, op5_exact_dedup, op10_bpe)}
 
 
 def oracle_sql():

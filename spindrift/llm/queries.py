@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, packing
+from spindrift.llm import bpe, exact_dedup, packing, pii, quality, toxicity
 
 #: Where the vocabularies of public tokenizers lie; a path there is a parameter of each operator that takes one.
 TOKENIZERS = "/opt/tokenizers"
@@ -34,13 +34,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_quality(spark, sf_dir):
+    return quality.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.report(_documents(spark, sf_dir))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op10_bpe(spark, sf_dir):
     out = bpe.encode(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op5_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op5_exact_dedup, op6_quality, op8_pii, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql():

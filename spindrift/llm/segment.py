@@ -182,11 +182,11 @@ class Lookup:
         return start, end, out, count, at
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of the texts with up to CHUNK code points, or one longer text."""
+def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts with up to ``most`` code points, or one longer text."""
     begin = size = 0
     for k, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+        if size and size + len(t) > most:
             yield begin, k
             begin, size = k, 0
         size += len(t)

@@ -32,6 +32,8 @@ HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
 #: A log ratio counts from so many of its standard errors on.
 SURE = 5.0
+#: Code points of the sample whose n-grams are held at a time.
+FIT_CHUNK = 1 << 18
 _SEPARATOR = 0x20
 
 
@@ -74,32 +76,28 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 80, ridge:
     if not 0 < y.sum() < len(y):
         p = min(max(share, 1e-4), 1 - 1e-4)
         return Model(weights, float(np.log(p / (1 - p))))
-    parts = [features(texts[a:b]) for a, b in segment.chunks(texts)]
-    begins = [a for a, _ in segment.chunks(texts)]
-    doc = np.concatenate([d + a for (d, _), a in zip(parts, begins, strict=True)]).astype(np.int32)
-    bucket = np.concatenate([b for _, b in parts]).astype(np.int32)
-    del parts
-    in_docs = np.bincount(bucket, minlength=1 << BITS)
-    ok = in_docs[bucket] >= 3
-    doc, bucket = doc[ok], bucket[ok]
-    own, column = np.unique(bucket, return_inverse=True)
-    column = column.astype(np.int32)
-    ones = np.bincount(column, y[doc], len(own))
-    zeros = in_docs[own] - ones
-    p, q = (1 + ones) / (1 + y.sum()), (1 + zeros) / (1 + (1 - y).sum())
+    # Two passes, so that only n-grams that count are ever held: first their document counts, then their places.
+    in_docs, in_ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for lo, hi in segment.chunks(texts, FIT_CHUNK):
+        doc, bucket = features(texts[lo:hi])
+        in_docs += np.bincount(bucket, minlength=1 << BITS)
+        in_ones += np.bincount(bucket, y[lo + doc], 1 << BITS)
+    p, q = (1 + in_ones) / (1 + y.sum()), (1 + in_docs - in_ones) / (1 + (1 - y).sum())
     ratio = np.log(p / q)
     # Ratios within the noise of their counts would add up over the many n-grams of a long text.
-    sure = np.abs(ratio) >= SURE * np.sqrt(1 / (1 + ones) + 1 / (1 + zeros))
-    number = np.cumsum(sure) - 1
-    doc, column = doc[sure[column]], number[column[sure[column]]].astype(np.int32)
-    own, ratio = own[sure], ratio[sure]
+    sure = (in_docs >= 3) & (np.abs(ratio) >= SURE * np.sqrt(1 / (1 + in_ones) + 1 / (1 + in_docs - in_ones)))
+    own, number = np.flatnonzero(sure), np.cumsum(sure) - 1
+    parts = [(lo, *features(texts[lo:hi], sure)) for lo, hi in segment.chunks(texts, FIT_CHUNK)]
+    doc = np.concatenate([(lo + d).astype(np.int32) for lo, d, _ in parts])
+    column = np.concatenate([number[c].astype(np.int32) for _, _, c in parts])
+    ratio = ratio[own]
     w, b, adam = np.zeros(len(own)), np.zeros(1), Adam(0.02)
     for _ in range(rounds):
         z = np.bincount(doc, (w * ratio)[column], len(y)) + b
         off = (sigmoid(z) - y) / len(y)
         adam.step(w=(w, np.bincount(column, off[doc], len(own)) * ratio + ridge * w), b=(b, np.array([off.sum()])))
     scaled = w * ratio
-    scaled[np.abs(scaled) < 0.02 * np.abs(scaled).max()] = 0
+    scaled[np.abs(scaled) < 0.02 * np.abs(scaled).max(initial=0)] = 0
     weights[own] = scaled
     # What the pruned weights give is calibrated once more by slope and bias.
     z = np.bincount(doc, scaled[column], len(y))

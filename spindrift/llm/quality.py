@@ -28,6 +28,8 @@ from spindrift.llm.labelled import Adam, fold, prior_shift, sample, sigmoid
 
 #: The bound of the training sample: so many documents, of up to so many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+#: Code points of the sample whose features are made at a time.
+FIT_CHUNK = 1 << 18
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.7
 #: Kinds of characters: lower-case, capital and other letters, numbers, blanks, sentence ends, commas, quotes, bars, signs, brackets, the rest.
@@ -150,7 +152,9 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 150, ridge:
     if not 0 < y.sum() < len(y):
         p = min(max(share, 1e-4), 1 - 1e-4)
         return Model(np.zeros(width), np.zeros((2, 2)), np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0.0, np.log(p / (1 - p))]))
-    x, weight, first = lines(texts)
+    parts = [lines(texts[a:b]) for a, b in segment.chunks(texts, FIT_CHUNK)]
+    x, weight = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.r_[0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     wide = around(np.clip((x - mean) / scale, -5, 5), first)
     label = np.repeat(y, np.diff(first))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, toxicity
+from spindrift.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, toxicity, warc
 
 #: Where the vocabularies of public tokenizers lie; a path there is a parameter of each operator that takes one.
 TOKENIZERS = "/opt/tokenizers"
@@ -46,6 +46,10 @@ def op6_quality(spark, sf_dir):
     return quality.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.report(_documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op5_exact_dedup, op6_quality, op8_pii, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql():

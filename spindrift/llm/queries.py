@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, toxicity, warc
+from spindrift.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, sharding, toxicity, warc
 
 #: Where the vocabularies of public tokenizers lie; a path there is a parameter of each operator that takes one.
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +22,10 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op4_sharding(spark, sf_dir):
+    return sharding.layout(_documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_documents(spark, sf_dir)).drop("n_points")
 
@@ -64,7 +68,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql():

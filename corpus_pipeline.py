@@ -1,6 +1,52 @@
-STAGES = []
+"""The corpus pipeline: quality, exact and near duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
+and returns a DataFrame; all but the last return the columns of ``documents``.
+SQL can't express the stages, so ``ORACLE_SQL`` is None and tests hold the
+pipeline against brute force.
+"""
+
+from __future__ import annotations
+
+from spindrift.llm import exact_dedup, near_dedup, packing, pii, quality
+from spindrift.llm.common import stage
+from spindrift.llm.queries import TOKENIZERS
+
+
+def keep_quality(spark, docs, sf_dir):
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_exact(spark, docs, sf_dir):
+    """One document of those with equal normalised text."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near(spark, docs, sf_dir):
+    """One document of each group of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def mask_personal(spark, docs, sf_dir):
+    """The documents with personal data masked; n_chars stays what it was before."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """The pieces of all documents and their places in the training sequences."""
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
+
+
+STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("pii", mask_personal), ("packing", pack_sequences)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, name)
+    return docs

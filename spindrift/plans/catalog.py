@@ -1,19 +1,851 @@
-"""Registry of the library's queries and of their SQL twins."""
+"""Registry of the library's queries, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions import text as T
+from spindrift.operators import cleaning, evaluate, features, kpi, models, sampling, stats
+from spindrift.plans.registry import MODELS
+from spindrift.sources import tables
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
 
-def _trend(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+# Inputs ------------------------------------------------------------------------------------------
+
+
+def _read(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def comments(spark, sf_dir) -> DataFrame:
+    """doc_id, clean_comment, category: documents with a sentiment taken from their labels."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    category = F.expr("CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END").cast("int")
+    return docs.join(labels, "doc_id", "left").select("doc_id", F.col("text").alias("clean_comment"), category.alias("category"))
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    s = F.expr("CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 ELSE 0 END")
+    return _read(spark, sf_dir, "events").select("event_id", F.col("ts").alias("timestamp"), F.col("user_id").alias("author"), s.alias("sentiment"))
+
+
+def scored_orders(spark, sf_dir) -> DataFrame:
     s = F.expr("CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN 0 ELSE 1 END")
-    return orders.groupBy(F.last_day("o_orderdate").alias("month_end")).agg(*[F.count_if(s == k).alias(n) for k, n in ((-1, "neg"), (0, "neu"), (1, "pos"))])
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("timestamp"), F.col("o_custkey").alias("author"), s.alias("sentiment"))
+
+
+def dialogue(spark, sf_dir) -> DataFrame:
+    """Turns with a sentiment by their number of words."""
+    turns = _read(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", "role", "text", (F.pmod(T.word_count(F.col("text")), F.lit(3)) - 1).alias("sentiment"))
+
+
+def predicted(spark, sf_dir) -> DataFrame:
+    """Labelled comments with a made-up prediction that any engine can compute."""
+    n = F.char_length("clean_comment")
+    p = F.when(n % 4 == 0, -1).when(n % 7 == 0, 0).otherwise(F.col("category"))
+    return comments(spark, sf_dir).where("category is not null").select("doc_id", F.col("category").alias("label"), p.alias("prediction"))
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+
+
+_COMMENTS = """comments AS (SELECT d.doc_id, d.text AS clean_comment, CASE WHEN l.toxic = 1 THEN -1 WHEN l.quality = 1 THEN 1 WHEN l.quality = 0 THEN 0 END AS category
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_SCORED = "scored AS (SELECT event_id, ts AS timestamp, user_id AS author, CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 ELSE 0 END AS sentiment FROM events)"
+_PREDICTED = f"""{_COMMENTS}, predicted AS (SELECT doc_id, category AS label, CASE WHEN length(clean_comment) % 4 = 0 THEN -1 WHEN length(clean_comment) % 7 = 0 THEN 0 ELSE category END AS prediction
+  FROM comments WHERE category IS NOT NULL)"""
+
+
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g')"
+
+
+def _sql_tokens(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '[{T.SPACES}]+'), lambda t: t <> '')"
+
+
+def _sql_whitelist(x: str) -> str:
+    return f"regexp_replace({x}, '[^A-Za-z0-9!?.,{T.SPACES}]', '', 'g')"
+
+
+def _sql_without(x: str, words) -> str:
+    return f"list_filter({x}, lambda t: t NOT IN ({_listed(words)}))"
+
+
+def _sql_clean(x: str) -> str:
+    words = _sql_without(_sql_tokens(_sql_whitelist(f"replace({_sql_strip(f'lower({x})')}, chr(10), ' ')")), T.removed_stop_words())
+    return f"array_to_string({words}, ' ')"
+
+
+def _sql_analyzed(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+
+
+def _sql_ngrams(words: str, lo: int, hi: int) -> str:
+    parts = [f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i : i + {n - 1}], ' '))" for n in range(lo, hi + 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = f"list_concat({out}, {p})"
+    return out
+
+
+_CLEANED = f"{_COMMENTS}, cleaned AS (SELECT doc_id, category, {_sql_clean('clean_comment')} AS cleaned FROM comments)"
+
+
+def cleaned(spark, sf_dir) -> DataFrame:
+    return comments(spark, sf_dir).select("doc_id", "category", T.clean(F.col("clean_comment")).alias("cleaned"))
+
+
+# Sources -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_COMMENTS} SELECT doc_id, CASE WHEN clean_comment NOT IN ({_listed(cleaning.NA_TOKENS)}) THEN clean_comment END AS clean_comment, category FROM comments")
+def s01_scan_with_na_tokens(spark, sf_dir):
+    return comments(spark, sf_dir).select("doc_id", cleaning.na_to_null(F.col("clean_comment")).alias("clean_comment"), "category")
+
+
+@query(f"WITH {_COMMENTS} SELECT doc_id, coalesce(clean_comment, '') AS clean_comment, category FROM comments")
+def s02_scan_filled(spark, sf_dir):
+    return comments(spark, sf_dir).na.fill("")
+
+
+@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL")
+def s03_scan_preprocessed(spark, sf_dir):
+    return cleaning.drop_null(comments(spark, sf_dir), ["clean_comment", "category"])
+
+
+def _bodies(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return turns.groupBy("conv_id").agg(F.to_json(F.struct(texts.alias("comments"))).alias("body"))
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INT) AS position, text AS comment FROM conversations")
+def s11_request_rows(spark, sf_dir):
+    return tables.request_comments(_bodies(spark, sf_dir)).drop("body")
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT) AS k FROM events")
+def s12_objects_to_table(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k")
+
+
+@query()
+def s13_comment_pages(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").where("turn is not null")
+    leaf = F.struct(F.col("text").alias("textOriginal"), F.lit("2024-01-01T00:00:00Z").alias("publishedAt"), F.struct(F.col("role").alias("value")).alias("authorChannelId"))
+    item = F.struct(F.struct(F.struct(leaf.alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    pages = turns.groupBy(F.col("conv_id").alias("number")).agg(F.collect_list(item).alias("items")).select("number", F.to_json(F.struct("items")).alias("page"))
+    return tables.comment_pages(pages)
+
+
+@query("SELECT conv_id, turn, coalesce(nullif(role, ''), 'Unknown') AS author FROM conversations")
+def s14_nested_default(spark, sf_dir):
+    nested = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("value")).alias("authorChannelId"))
+    return nested.select("conv_id", "turn", tables.author(F.col("authorChannelId.value")).alias("author"))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '{tables.VIDEO_URL}', 1) AS video_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+def s15_url_extraction(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", tables.video_id(F.col("url")).alias("video_id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+
+
+@query()
+def s16_dense_sample(spark, sf_dir):
+    df = comments(spark, sf_dir).orderBy("doc_id")
+    return features.dense_sample(features.Vectorizer(50, (1, 1)).fit(df, "clean_comment"), df, "clean_comment")
+
+
+# Row cleaning ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND doc_id IS NOT NULL")
+def f01_drop_any_null(spark, sf_dir):
+    return cleaning.drop_null(comments(spark, sf_dir))
+
+
+@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE category IS NOT NULL")
+def f02_drop_null_in_subset(spark, sf_dir):
+    return cleaning.drop_null(comments(spark, sf_dir), ["category"])
+
+
+@query(f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments")
+def f03_drop_duplicates(spark, sf_dir):
+    return cleaning.drop_duplicates(comments(spark, sf_dir).select("clean_comment", "category"))
+
+
+@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} <> ''")
+def f04_drop_blank(spark, sf_dir):
+    return cleaning.drop_blank(comments(spark, sf_dir), "clean_comment")
+
+
+@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} = ''")
+def f05_blank_rows(spark, sf_dir):
+    return comments(spark, sf_dir).where(cleaning.is_blank(F.col("clean_comment")))
+
+
+@query(f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND {_sql_strip('clean_comment')} <> ''")
+def f06_ingest_clean(spark, sf_dir):
+    return cleaning.ingest_clean(comments(spark, sf_dir), "clean_comment", ["clean_comment", "category"])
+
+
+@query(f"WITH {_COMMENTS} SELECT count(*) - count(doc_id) AS doc_id, count(*) - count(clean_comment) AS clean_comment, count(*) - count(category) AS category FROM comments")
+def f07_null_counts(spark, sf_dir):
+    return cleaning.null_counts(comments(spark, sf_dir))
+
+
+@query(f"WITH {_COMMENTS} SELECT length(clean_comment) % 3 AS bucket, count(*) AS n FROM comments WHERE category IS NULL GROUP BY 1")
+def f08_null_rows_by_group(spark, sf_dir):
+    return comments(spark, sf_dir).where("category is null").groupBy((F.char_length("clean_comment") % 3).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_COMMENTS} SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM comments GROUP BY clean_comment, category)")
+def f09_duplicate_count(spark, sf_dir):
+    return cleaning.duplicate_count(comments(spark, sf_dir).select("clean_comment", "category"))
+
+
+@query(f"WITH {_COMMENTS} SELECT doc_id, clean_comment, category FROM (SELECT *, row_number() OVER (PARTITION BY clean_comment, category ORDER BY doc_id) AS nth FROM comments) WHERE nth > 1")
+def f10_duplicate_rows(spark, sf_dir):
+    return cleaning.duplicate_rows(comments(spark, sf_dir), ["clean_comment", "category"], "doc_id")
+
+
+@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE category = 1")
+def f11_label_filter(spark, sf_dir):
+    return comments(spark, sf_dir).where("category = 1")
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(url, 'https?://(?:www\.)?[^\s/$.?#]+\.[^\s]*')")
+def f12_url_rows(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", "url").where(F.col("url").rlike(cleaning.URL))
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE contains(text, chr(10))")
+def f13_newline_rows(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text").where(F.contains("text", F.lit("\n")))
+
+
+@query(f"WITH {_COMMENTS} SELECT count(*) FILTER (WHERE starts_with(clean_comment, ' ') OR ends_with(clean_comment, ' ')) AS edged FROM comments")
+def f14_edge_spaces(spark, sf_dir):
+    return comments(spark, sf_dir).agg(F.count_if(cleaning.edge_space(F.col("clean_comment"))).alias("edged"))
+
+
+@query(f"WITH {_COMMENTS} SELECT clean_comment FROM comments")
+def f15_projection(spark, sf_dir):
+    return comments(spark, sf_dir).select("clean_comment")
+
+
+@query(f"WITH {_COMMENTS} SELECT count(*) AS n_rows, CAST(3 AS INT) AS n_columns FROM comments")
+def f16_shape(spark, sf_dir):
+    df = comments(spark, sf_dir)
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+@query()
+def f16_tail(spark, sf_dir):
+    return comments(spark, sf_dir).orderBy(F.desc("doc_id")).limit(50)
+
+
+@query(f"WITH {_COMMENTS} SELECT doc_id, CAST(len({_sql_tokens('clean_comment')}) AS INT) AS word_count, CAST(length(clean_comment) AS INT) AS num_chars FROM comments")
+def f17_derived_columns(spark, sf_dir):
+    return comments(spark, sf_dir).select("doc_id", T.word_count(F.col("clean_comment")).alias("word_count"), F.char_length("clean_comment").alias("num_chars"))
+
+
+@query(f"WITH {_COMMENTS} SELECT doc_id, CASE category WHEN -1 THEN 2 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS label FROM comments WHERE category IN (-1, 0, 1)")
+def f18_remap(spark, sf_dir):
+    return comments(spark, sf_dir).select("doc_id", cleaning.remap(F.col("category"), models.TO_CLASS).alias("label")).where("label is not null")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS INT) AS position FROM events ORDER BY event_id LIMIT 25")
+def f20_head_in_order(spark, sf_dir):
+    return cleaning.head_in_order(_read(spark, sf_dir, "events").select("event_id"), "event_id")
+
+
+# Text --------------------------------------------------------------------------------------------
+
+
+def _scalar(name: str, column: Callable, sql: str, kind: str = "") -> None:
+    def run(spark, sf_dir):
+        return comments(spark, sf_dir).select("doc_id", column(F.col("clean_comment")).alias("value"))
+
+    run.__name__ = name
+    query(f"WITH {_COMMENTS} SELECT doc_id, {f'CAST({sql} AS {kind})' if kind else sql} AS value FROM comments")(run)
+
+
+_X = "clean_comment"
+_scalar("t01_lower", F.lower, f"lower({_X})")
+_scalar("t02_strip", T.strip, _sql_strip(_X))
+_scalar("t03_newline_to_space", T.newline_to_space, f"replace({_X}, chr(10), ' ')")
+_scalar("t04_whitelist", T.whitelist, _sql_whitelist(_X))
+_scalar("t05_tokens", lambda c: F.array_join(T.tokens(c), "|"), f"array_to_string({_sql_tokens(_X)}, '|')")
+_scalar("t06_stop_words", lambda c: T.joined(T.without(T.tokens(c), T.removed_stop_words())), f"array_to_string({_sql_without(_sql_tokens(_X), T.removed_stop_words())}, ' ')")
+_scalar("t08_joined", lambda c: T.joined(T.tokens(c)), f"array_to_string({_sql_tokens(_X)}, ' ')")
+_scalar("t10_clean_column", T.clean, _sql_clean(_X))
+_scalar("t11_word_count", T.word_count, f"len({_sql_tokens(_X)})", "INT")
+_scalar("t12_stop_word_count", T.stop_word_count, f"len(list_filter({_sql_tokens(_X)}, lambda t: t IN ({_listed(T.STOP_WORDS)})))", "INT")
+_scalar("t13_char_count", F.char_length, f"length({_X})", "INT")
+_scalar("t14_punctuation_count", T.punctuation_count, f"length(regexp_replace({_X}, '[^.,!?;:\"''()\\[\\]{{}}-]', '', 'g'))", "INT")
+_scalar("t15_split_word_count", T.word_count, f"len({_sql_tokens(_X)})", "INT")
+_scalar("t16_analyzed", lambda c: F.array_join(T.analyzed(c), "|"), f"array_to_string({_sql_analyzed(_X)}, '|')")
+_scalar("t17_ngrams", lambda c: F.array_join(T.ngrams(T.analyzed(c), 1, 3), "|"), f"array_to_string({_sql_ngrams(_sql_analyzed(_X), 1, 3)}, '|')")
+_scalar(
+    "t18_vectorizer_stop_words", lambda c: T.joined(T.without(T.analyzed(c), T.vectorizer_stop_words())),
+    f"array_to_string({_sql_without(_sql_analyzed(_X), ['i'])}, ' ')",
+)
+_scalar("t19_casts", lambda c: F.try_to_number(F.char_length(c).cast("string"), F.lit("999999999")).cast("int").cast("string"), f"CAST(length({_X}) AS VARCHAR)")
+_scalar("t20_fixed", lambda c: T.fixed(F.char_length(c).cast("decimal(20,0)") / F.lit(8).cast("decimal(20,0)")).cast("double"), f"CAST(round(CAST(length({_X}) AS DECIMAL(18,3)) * 0.125, 2) AS DOUBLE)")
+_scalar("t21_percent_label", lambda c: T.percent_label(F.char_length(c) / 4), f"printf('%.1f%%', length({_X}) / 4)")
+del _SQL["t18_vectorizer_stop_words"]
+
+_WORDS = f"{_CLEANED}, words AS (SELECT DISTINCT unnest(string_split(cleaned, ' ')) AS word FROM cleaned)"
+_RULES = " UNION ALL ".join(
+    ["SELECT word, 0 AS rank, word AS candidate FROM words"]
+    + [f"SELECT word, 1, '{new}' FROM words WHERE word = '{old}'" for old, new in T.NOUN_EXCEPTIONS.items()]
+    + [f"SELECT word, {k}, left(word, length(word) - {len(old)}) || '{new}' FROM words WHERE ends_with(word, '{old}')" for k, (old, new) in enumerate(T.NOUN_RULES, 2)]
+)
+_LEMMAS = f"""{_WORDS}, tried AS ({_RULES}),
+ lemmas AS (SELECT word, candidate AS lemma FROM (SELECT t.*, row_number() OVER (PARTITION BY t.word ORDER BY length(candidate), rank) AS nth FROM tried t
+   WHERE candidate IN (SELECT word FROM words) AND candidate <> '') WHERE nth = 1 AND word <> '')"""
+
+
+@query(f"WITH {_LEMMAS} SELECT * FROM lemmas")
+def t07_lemmas(spark, sf_dir):
+    return T.lemma_map(cleaned(spark, sf_dir).select(F.explode(T.tokens(F.col("cleaned"))).alias("word")))
+
+
+@query(f"""WITH {_LEMMAS}, placed AS (SELECT doc_id, unnest(string_split(cleaned, ' ')) AS word, generate_subscripts(string_split(cleaned, ' '), 1) AS pos FROM cleaned)
+SELECT c.doc_id, coalesce(string_agg(l.lemma, ' ' ORDER BY p.pos), '') AS normalised FROM comments c LEFT JOIN placed p USING (doc_id) LEFT JOIN lemmas l USING (word) GROUP BY c.doc_id""")
+def t09_normalised(spark, sf_dir):
+    return T.normalise(comments(spark, sf_dir), "doc_id", "clean_comment", "normalised").select("doc_id", "normalised")
+
+
+# Corpus statistics -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments GROUP BY 1")
+def a01_class_counts(spark, sf_dir):
+    return stats.class_counts(comments(spark, sf_dir))
+
+
+@query(f"WITH {_COMMENTS} SELECT category, round(count(*) * 100 / sum(count(*)) OVER (), 2) AS share FROM comments WHERE category IS NOT NULL GROUP BY 1")
+def a02_class_shares(spark, sf_dir):
+    return stats.class_shares(comments(spark, sf_dir))
+
+
+def _sized(spark, sf_dir):
+    c = F.col("clean_comment")
+    return comments(spark, sf_dir).select("doc_id", "category", T.word_count(c).alias("word_count"), F.char_length(c).alias("num_chars"), T.stop_word_count(c).alias("num_stop_words"))
+
+
+_SIZED = f"""{_COMMENTS}, sized AS (SELECT doc_id, category, len({_sql_tokens(_X)}) AS word_count, length(clean_comment) AS num_chars,
+  len(list_filter({_sql_tokens(_X)}, lambda t: t IN ({_listed(T.STOP_WORDS)}))) AS num_stop_words FROM comments)"""
+
+
+@query(f"""WITH {_SIZED} SELECT count(word_count) AS n, round(avg(word_count), 6) AS mean, round(stddev_samp(word_count), 6) AS std, CAST(min(word_count) AS INT) AS min,
+ quantile_cont(word_count, 0.25) AS p25, quantile_cont(word_count, 0.5) AS p50, quantile_cont(word_count, 0.75) AS p75, CAST(max(word_count) AS INT) AS max FROM sized""")
+def a03_describe(spark, sf_dir):
+    return stats.describe(_sized(spark, sf_dir), "word_count").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(f"WITH {_SIZED} SELECT category, quantile_cont(word_count, 0.5) AS median FROM sized GROUP BY 1")
+def a04_median_by_class(spark, sf_dir):
+    return stats.median_by(_sized(spark, sf_dir), "category", "word_count")
+
+
+def _sql_box(by: bool) -> str:
+    key, group, join = ("category, ", "GROUP BY category", "s.category IS NOT DISTINCT FROM b.category") if by else ("", "", "true")
+    pick = "s.category, " if by else ""
+    return f"""WITH {_SIZED}, b AS (SELECT {key}quantile_cont(word_count, 0.25) AS q1, quantile_cont(word_count, 0.5) AS q2, quantile_cont(word_count, 0.75) AS q3 FROM sized {group})
+SELECT {pick}q1, q2, q3, CAST(min(word_count) FILTER (WHERE word_count BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS INT) AS low,
+ CAST(max(word_count) FILTER (WHERE word_count BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS INT) AS high,
+ count(*) FILTER (WHERE word_count NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM sized s JOIN b ON {join} GROUP BY {pick}q1, q2, q3"""
+
+
+@query(_sql_box(False))
+def a05_box(spark, sf_dir):
+    return stats.box(_sized(spark, sf_dir), "word_count")
+
+
+@query(_sql_box(True))
+def a05_box_by_class(spark, sf_dir):
+    return stats.box(_sized(spark, sf_dir), "word_count", "category")
+
+
+@query(f"WITH {_SIZED} SELECT CAST(floor(word_count / 50) AS BIGINT) AS bin, count(*) AS n FROM sized GROUP BY 1")
+def a06_histogram(spark, sf_dir):
+    return stats.histogram(_sized(spark, sf_dir), "word_count", 50)
+
+
+@query(f"""WITH {_SIZED}, h AS (SELECT category, count(*) AS n, stddev_samp(num_stop_words) * pow(count(*), -0.2) AS h FROM sized WHERE category IS NOT NULL GROUP BY 1),
+ grid AS (SELECT unnest(range(0, 21)) * 10.0 AS x)
+SELECT s.category, CAST(x AS DOUBLE) AS x, round(avg(exp(-pow((x - num_stop_words) / h.h, 2) / 2) / (h.h * sqrt(2 * pi()))), 6) AS density FROM sized s JOIN h USING (category), grid GROUP BY 1, 2""")
+def a07_kde(spark, sf_dir):
+    return stats.kde(_sized(spark, sf_dir).where("category is not null"), "num_stop_words", "category", 0.0, 200.0, 20).withColumn("density", F.round("density", 6))
+
+
+@query(f"WITH {_SIZED} SELECT category, CAST(word_count AS INT) AS word_count FROM sized")
+def a08_scatter(spark, sf_dir):
+    return _sized(spark, sf_dir).select("category", "word_count")
+
+
+@query(f"WITH {_COMMENTS}, w AS (SELECT unnest({_sql_tokens(_X)}) AS word FROM comments) SELECT word, count(*) AS n FROM w WHERE word IN ({_listed(T.STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def a09_top_stop_words(spark, sf_dir):
+    return stats.top_stop_words(comments(spark, sf_dir), "clean_comment")
+
+
+_CHARS = f"""{_COMMENTS}, chars AS (SELECT character, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT character, count(*) AS n FROM (SELECT unnest(string_split(clean_comment, '')) AS character FROM comments) WHERE character <> '' GROUP BY 1
+  UNION ALL SELECT ' ', count(*) - 1 FROM comments WHERE clean_comment IS NOT NULL) GROUP BY 1)"""
+
+
+@query(f"WITH {_CHARS} SELECT * FROM chars")
+def a10_characters(spark, sf_dir):
+    return stats.characters(comments(spark, sf_dir), "clean_comment")
+
+
+@query(f"WITH {_CHARS} SELECT * FROM chars ORDER BY n, character LIMIT 50")
+def a11_rarest_characters(spark, sf_dir):
+    return stats.rarest_characters(comments(spark, sf_dir), "clean_comment")
+
+
+def _sql_top_ngrams(n: int, k: int) -> str:
+    left = _sql_without(_sql_analyzed(_X), T.vectorizer_stop_words())
+    return f"""WITH {_COMMENTS}, w AS (SELECT {left} AS t FROM comments), g AS (SELECT unnest({_sql_ngrams('t', n, n)}) AS ngram FROM w)
+SELECT ngram, count(*) AS n FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k}"""
+
+
+@query(_sql_top_ngrams(2, 25))
+def a12_top_bigrams(spark, sf_dir):
+    return stats.top_ngrams(comments(spark, sf_dir), "clean_comment", 2, 25)
+
+
+@query(_sql_top_ngrams(3, 25))
+def a13_top_trigrams(spark, sf_dir):
+    return stats.top_ngrams(comments(spark, sf_dir), "clean_comment", 3, 25)
+
+
+@query(f"WITH {_CLEANED}, w AS (SELECT unnest({_sql_tokens('cleaned')}) AS word FROM cleaned) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def a14_top_words(spark, sf_dir):
+    return stats.top(stats.words(cleaned(spark, sf_dir), "cleaned"), "word", 50)
+
+
+@query(f"""WITH {_CLEANED}, w AS (SELECT unnest({_sql_tokens('cleaned')}) AS word, category FROM cleaned)
+SELECT word, count(*) FILTER (WHERE category = -1) AS negative, count(*) FILTER (WHERE category = 0) AS neutral, count(*) FILTER (WHERE category = 1) AS positive, count(*) AS total
+FROM w GROUP BY 1 ORDER BY total DESC, word LIMIT 20 OFFSET 10""")
+def a15_top_words_by_class(spark, sf_dir):
+    return stats.top_words_by_class(cleaned(spark, sf_dir), "cleaned", 20, 10)
+
+
+def _sql_cloud(tokens: str, where: str = "") -> str:
+    return f"""WITH {_CLEANED}, w AS (SELECT unnest({tokens}) AS word FROM cleaned {where}), t AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200)
+SELECT word, n, round(n / max(n) OVER (), 6) AS weight FROM t"""
+
+
+@query(_sql_cloud(_sql_tokens("cleaned")))
+def a16_word_cloud(spark, sf_dir):
+    return stats.cloud(cleaned(spark, sf_dir), T.tokens(F.col("cleaned"))).withColumn("weight", F.round("weight", 6))
+
+
+@query(_sql_cloud(_sql_tokens("cleaned"), "WHERE category = 1"))
+def a16_word_cloud_of_class(spark, sf_dir):
+    return stats.cloud(cleaned(spark, sf_dir).where("category = 1"), T.tokens(F.col("cleaned"))).withColumn("weight", F.round("weight", 6))
+
+
+@query(_sql_cloud(_sql_without(_sql_tokens("cleaned"), T.STOP_WORDS)))
+def a17_request_word_cloud(spark, sf_dir):
+    return stats.cloud(cleaned(spark, sf_dir), T.without(T.tokens(F.col("cleaned")), T.STOP_WORDS)).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def a30_concatenated(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    return stats.concatenated(turns.where("turn = 0 or turn = 1"), "text", "conv_id").select(F.char_length("corpus").alias("length"))
+
+
+# Indicators and trends ---------------------------------------------------------------------------
+
+
+@query(f"WITH {_SCORED} SELECT count(*) FILTER (WHERE sentiment = -1) AS negative, count(*) FILTER (WHERE sentiment = 0) AS neutral, count(*) FILTER (WHERE sentiment = 1) AS positive FROM scored")
+def a18_sentiment_counts(spark, sf_dir):
+    return kpi.sentiment_counts(scored(spark, sf_dir))
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE sentiment = 1) AS p, count(*) FILTER (WHERE sentiment = 0) AS u, count(*) FILTER (WHERE sentiment = -1) AS g FROM scored),
+ r AS (SELECT 1 AS position, 'Positive' AS label, p AS n FROM c UNION ALL SELECT 2, 'Neutral', u FROM c UNION ALL SELECT 3, 'Negative', g FROM c)
+SELECT position, label, n, round(n * 100 / sum(n) OVER (), 6) AS share, printf('%.1f%%', n * 100 / sum(n) OVER ()) AS shown FROM r""")
+def a19_pie(spark, sf_dir):
+    return kpi.pie(scored(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+_KPI = f"""k AS (SELECT count(*) AS total_comments, count(DISTINCT coalesce(nullif(role, ''), 'Unknown')) AS unique_commenters, CAST(sum(len({_sql_tokens('text')})) AS BIGINT) AS words,
+  CAST(sum(len({_sql_tokens('text')}) % 3 - 1) AS BIGINT) AS sentiment FROM conversations)"""
+_ROUNDED = "CAST(floor(abs({0}) * 100 + 0.5) / 100 * sign({0}) AS DOUBLE)"
+
+
+def _kpis(spark, sf_dir):
+    out = kpi.summary(dialogue(spark, sf_dir), "text", "role", "sentiment")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("average_words", "average_sentiment", "normalised_score")})
+
+
+def _ratio(a: str) -> str:
+    """Half up to two digits, from integers."""
+    return f"(CASE WHEN {a} < 0 THEN -1 ELSE 1 END * ((abs({a}) * 200 + total_comments) // (2 * total_comments)))"
+
+
+_AVG_WORDS, _AVG = f"{_ratio('words')} / 100", f"{_ratio('sentiment')}"
+
+
+@query(f"WITH {_KPI} SELECT total_comments FROM k")
+def a20_total_comments(spark, sf_dir):
+    return _kpis(spark, sf_dir).select("total_comments")
+
+
+@query(f"WITH {_KPI} SELECT unique_commenters FROM k")
+def a21_unique_commenters(spark, sf_dir):
+    return _kpis(spark, sf_dir).select("unique_commenters")
+
+
+@query(f"WITH {_KPI} SELECT CAST({_AVG_WORDS} AS DOUBLE) AS average_words FROM k")
+def a22_average_words(spark, sf_dir):
+    return _kpis(spark, sf_dir).select("average_words")
+
+
+@query(f"WITH {_KPI} SELECT CAST({_AVG} / 100 AS DOUBLE) AS average_sentiment FROM k")
+def a23_average_sentiment(spark, sf_dir):
+    return _kpis(spark, sf_dir).select("average_sentiment")
+
+
+@query(f"WITH {_KPI} SELECT CAST(({_AVG} + 100) * 5 / 100 AS DOUBLE) AS normalised_score FROM k")
+def a24_normalised_score(spark, sf_dir):
+    return _kpis(spark, sf_dir).select("normalised_score")
+
+
+@query(f"""WITH {_KPI} SELECT total_comments, unique_commenters, CAST({_AVG_WORDS} AS DOUBLE) AS average_words, CAST({_AVG} / 100 AS DOUBLE) AS average_sentiment,
+ CAST(({_AVG} + 100) * 5 / 100 AS DOUBLE) AS normalised_score FROM k""")
+def a25_summary(spark, sf_dir):
+    return _kpis(spark, sf_dir)
+
+
+_SQL_TREND = """counted AS (SELECT {period} AS period, count(*) FILTER (WHERE s = -1) AS negative, count(*) FILTER (WHERE s = 0) AS neutral, count(*) FILTER (WHERE s = 1) AS positive FROM {source} GROUP BY 1),
+ t AS (SELECT *, negative + neutral + positive AS total FROM counted)"""
+_ORDERS_TREND = _SQL_TREND.format(period="CAST(last_day(o_orderdate) AS DATE)", source="(SELECT o_orderdate, CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN 0 ELSE 1 END AS s FROM orders)")
+_PERCENTS = "round(negative * 100 / total, 6) AS negative_percent, round(neutral * 100 / total, 6) AS neutral_percent, round(positive * 100 / total, 6) AS positive_percent"
+
+
+def _rounded_trend(df):
+    return df.withColumns({c: F.round(c, 6) for c in df.columns if c.endswith("_percent")})
+
+
+@query(f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive FROM t")
+def a26_monthly_counts(spark, sf_dir):
+    return kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment").select("period", "negative", "neutral", "positive")
+
+
+@query(f"WITH {_ORDERS_TREND} SELECT period, total, {_PERCENTS} FROM t")
+def a27_row_percentages(spark, sf_dir):
+    return _rounded_trend(kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment")).drop("negative", "neutral", "positive")
+
+
+@query(f"WITH {_SCORED}, {_SQL_TREND.format(period='CAST(ts AS DATE)', source='(SELECT timestamp AS ts, sentiment AS s FROM scored WHERE sentiment >= 0)')} SELECT period, negative, neutral, positive FROM t")
+def a28_absent_class(spark, sf_dir):
+    return kpi.trend(scored(spark, sf_dir).where("sentiment >= 0"), "timestamp", "sentiment", "day").select("period", "negative", "neutral", "positive")
+
+
+@query(f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive, total, {_PERCENTS} FROM t")
+def a29_monthly_trend(spark, sf_dir):
+    return _rounded_trend(kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment"))
+
+
+@query(f"WITH {_SCORED}, {_SQL_TREND.format(period='CAST(ts AS DATE)', source='(SELECT timestamp AS ts, sentiment AS s FROM scored)')} SELECT period, negative, neutral, positive, total, {_PERCENTS} FROM t")
+def a29_daily_trend(spark, sf_dir):
+    return _rounded_trend(kpi.trend(scored(spark, sf_dir), "timestamp", "sentiment", "day"))
+
+
+# Features ----------------------------------------------------------------------------------------
+
+
+def _sql_terms(lo: int, hi: int, k: int) -> str:
+    return f"""{_COMMENTS}, tok AS (SELECT doc_id, {_sql_analyzed(_X)} AS t FROM comments), g AS (SELECT doc_id, unnest({_sql_ngrams('t', lo, hi)}) AS term FROM tok),
+ terms AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM terms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k})"""
+
+
+_IDF = "idf AS (SELECT *, ln((1 + (SELECT count(*) FROM {0})) / (1 + df)) + 1 AS idf FROM vocab)"
+
+
+@query(f"WITH {_sql_terms(1, 1, 5000)} SELECT doc_id, term, tf FROM terms JOIN vocab USING (term)")
+def v01_bag_of_words(spark, sf_dir):
+    return features.bag(comments(spark, sf_dir), "doc_id", "clean_comment", (1, 1), 5000)
+
+
+@query(f"""WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')}, w AS (SELECT doc_id, term, tf * idf AS w FROM terms JOIN idf USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def v02_tfidf(spark, sf_dir):
+    return features.tfidf(comments(spark, sf_dir), "doc_id", "clean_comment").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_sql_terms(1, 1, 100000)}, tv AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM terms WHERE doc_id % 5 <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000),
+ idf AS (SELECT term, ln((1 + (SELECT count(*) FROM comments WHERE doc_id % 5 <> 0)) / (1 + df)) + 1 AS idf FROM tv),
+ w AS (SELECT doc_id, term, tf * idf AS w FROM terms JOIN idf USING (term) WHERE doc_id % 5 = 0) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def v03_transform_only(spark, sf_dir):
+    """Fitted on four fifths of the documents and applied to the rest: the split is what the operator is for."""
+    df = comments(spark, sf_dir)
+    model = features.fit_tfidf(df.where("doc_id % 5 <> 0"), "doc_id", "clean_comment", 1000, (1, 1))
+    return features.transform_tfidf(df.where("doc_id % 5 = 0"), model, "doc_id", "clean_comment", (1, 1)).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_sql_terms(1, 1, 1000000000)} SELECT term, total FROM vocab")
+def v04_term_totals(spark, sf_dir):
+    return features.term_totals(comments(spark, sf_dir), "doc_id", "clean_comment")
+
+
+@query()
+def v05_dense(spark, sf_dir):
+    df = comments(spark, sf_dir)
+    return features.dense(features.Vectorizer(100, (1, 1)).fit(df, "clean_comment").transform(df.select("doc_id", "clean_comment"), "clean_comment")).select("doc_id", "features")
+
+
+@query(f"WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')} SELECT term, total, df, round(idf, 6) AS idf FROM idf")
+def v06_vocabulary(spark, sf_dir):
+    return features.fit_tfidf(comments(spark, sf_dir), "doc_id", "clean_comment").withColumn("idf", F.round("idf", 6))
+
+
+_QUICK = models.Params(rounds=2, depth=3, trees=5, forest_depth=4, folds=2)
+
+
+def _labelled_comments(spark, sf_dir):
+    return cleaning.drop_null(comments(spark, sf_dir), ["clean_comment", "category"])
+
+
+def _swept(spark, sf_dir, grid):
+    found = models.sweep(_labelled_comments(spark, sf_dir), "doc_id", "clean_comment", grid, _QUICK)
+    return spark.createDataFrame([(str(s), float(a)) for s, a in found], "setting string, accuracy double")
+
+
+@query()
+def v07_vectorizer_sweep(spark, sf_dir):
+    return _swept(spark, sf_dir, [{"max_features": 5000, "ngram_range": r, "tfidf": w} for w in (False, True) for r in ((1, 1), (1, 2), (1, 3))])
+
+
+@query()
+def v08_vocabulary_sweep(spark, sf_dir):
+    return _swept(spark, sf_dir, [{"max_features": n, "ngram_range": (1, 3)} for n in range(1000, 11000, 1000)])
+
+
+# Splits and resampling ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER () * 0.2) AS is_test FROM documents")
+def b01_split(spark, sf_dir):
+    return sampling.split(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query(f"WITH {_COMMENTS} SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY category) * 0.2) AS is_test FROM comments WHERE category IS NOT NULL")
+def b02_stratified_split(spark, sf_dir):
+    return sampling.split(_labelled_comments(spark, sf_dir).select("doc_id", "category"), "doc_id", stratify="category")
+
+
+@query(f"WITH {_COMMENTS} SELECT category, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM comments WHERE category IS NOT NULL GROUP BY 1")
+def b03_class_weights(spark, sf_dir):
+    return sampling.class_weights(_labelled_comments(spark, sf_dir), "category").withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def b04_smote(spark, sf_dir):
+    return sampling.smote(vectors(spark, sf_dir), "vec_id", "embedding", "label")
+
+
+@query()
+def b05_adasyn(spark, sf_dir):
+    return sampling.adasyn(vectors(spark, sf_dir), "vec_id", "embedding", "label")
+
+
+@query(f"""WITH {_COMMENTS}, r AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) AS nth FROM comments WHERE category IS NOT NULL),
+ least AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM r GROUP BY category)) SELECT doc_id, category FROM r, least WHERE nth <= n""")
+def b06_undersample(spark, sf_dir):
+    return sampling.undersample(_labelled_comments(spark, sf_dir).select("doc_id", "category"), "doc_id", "category")
+
+
+@query()
+def b07_smote_enn(spark, sf_dir):
+    return sampling.smote_enn(vectors(spark, sf_dir), "vec_id", "embedding", "label")
+
+
+@query()
+def b08_resample(spark, sf_dir):
+    return sampling.resample(vectors(spark, sf_dir), "undersampling", "vec_id", "embedding", "label")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42|sample|' || doc_id), doc_id LIMIT 100")
+def b09_random_rows(spark, sf_dir):
+    return sampling.random_rows(_read(spark, sf_dir, "documents").select("doc_id"), 100, "doc_id")
+
+
+# Models ------------------------------------------------------------------------------------------
+
+
+def _sets(spark, sf_dir, max_features: int = 200):
+    train, test = sampling.train_test(_labelled_comments(spark, sf_dir), "doc_id", stratify="category")
+    vec = features.Vectorizer(max_features, (1, 3)).fit(train, "clean_comment")
+    return models.labelled(vec.transform(train, "clean_comment")).persist(), models.labelled(vec.transform(test, "clean_comment")), vec
+
+
+def _predictions(spark, sf_dir, model):
+    train, test, _ = _sets(spark, sf_dir)
+    return models.sentiment(models.trained_and_scored(model, train, test)[1]).select("doc_id", "category", "sentiment")
+
+
+@query()
+def m01_boosted_trees(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.boosted(_QUICK))
+
+
+@query()
+def m02_random_forest(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.forest(_QUICK))
+
+
+@query()
+def m03_boosted_trees_tuned(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.boosted(models.Params(learning_rate=0.1, rounds=3, depth=4)))
+
+
+@query()
+def m04_logistic(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.logistic(50))
+
+
+@query("""WITH d AS (SELECT q.vec_id, p.label AS other, p.vec_id AS pid, sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist
+  FROM embeddings q JOIN embeddings p ON q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
+ near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, pid) AS r FROM d), votes AS (SELECT vec_id, other, count(*) AS n FROM near WHERE r <= 5 GROUP BY 1, 2)
+SELECT vec_id, other AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, other) AS b FROM votes) WHERE b = 1""")
+def m05_knn(spark, sf_dir):
+    """Trained on four fifths of the vectors and asked about the rest: the split is what the operator is for."""
+    v = vectors(spark, sf_dir)
+    return models.knn_predict(v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0"), "vec_id", "embedding", "label")
+
+
+@query()
+def m06_stacking(spark, sf_dir):
+    train, test, _ = _sets(spark, sf_dir, 50)
+    return models.stack(train, test, "doc_id", [models.forest(_QUICK), models.logistic(20)], _QUICK).select("doc_id", "category", "prediction")
+
+
+@query()
+def m07_search(spark, sf_dir):
+    train, _, _ = _sets(spark, sf_dir, 50)
+    best, got = models.search(train, 2, build=lambda p: models.forest(models.Params(trees=5, forest_depth=p.depth)))
+    return spark.createDataFrame([(best.learning_rate, best.depth, best.rounds, float(got))], "learning_rate double, depth int, rounds int, accuracy double")
+
+
+@query()
+def m08_train_and_score(spark, sf_dir):
+    train, test, _ = _sets(spark, sf_dir)
+    scored_ = models.trained_and_scored(models.logistic(20), train, test)[1]
+    return spark.createDataFrame([(MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored_),)], "accuracy double")
+
+
+@query()
+def m09_batch_predict(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.logistic(20))
+
+
+def _scorer(spark, sf_dir):
+    train, _, vec = _sets(spark, sf_dir)
+    return models.Scorer(vec, models.logistic(20).fit(train))
+
+
+@query()
+def m10_score_comments(spark, sf_dir):
+    return _scorer(spark, sf_dir).score(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
+
+
+@query()
+def m11_score_timed_comments(spark, sf_dir):
+    timed = _read(spark, sf_dir, "conversations").withColumn("at", F.lit("2024-01-01T00:00:00Z"))
+    return _scorer(spark, sf_dir).score_with_timestamps(timed, "text", "at")
+
+
+# Evaluation --------------------------------------------------------------------------------------
+
+_CELLS = f"""{_PREDICTED}, cls AS (SELECT unnest([-1, 0, 1]) AS c), m AS (SELECT c, (SELECT count(*) FROM predicted WHERE label = c AND prediction = c) AS tp,
+  (SELECT count(*) FROM predicted WHERE prediction = c) AS p, (SELECT count(*) FROM predicted WHERE label = c) AS n FROM cls),
+ pr AS (SELECT c, n, tp, CASE WHEN p = 0 THEN 0 ELSE tp / p END AS precision, CASE WHEN n = 0 THEN 0 ELSE tp / n END AS recall FROM m),
+ f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr),
+ report AS (SELECT CAST(c AS VARCHAR) AS name, precision, recall, f1, n AS support FROM f
+  UNION ALL SELECT 'accuracy', sum(tp) / sum(n), sum(tp) / sum(n), sum(tp) / sum(n), CAST(sum(n) AS BIGINT) FROM f
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(n) AS BIGINT) FROM f
+  UNION ALL SELECT 'weighted avg', sum(precision * n) / sum(n), sum(recall * n) / sum(n), sum(f1 * n) / sum(n), CAST(sum(n) AS BIGINT) FROM f)"""
+_REPORT = "SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM report"
+
+
+def _rounded_report(spark, sf_dir):
+    return evaluate.report(predicted(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"WITH {_PREDICTED} SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM predicted")
+def e01_accuracy(spark, sf_dir):
+    return evaluate.accuracy(predicted(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {_CELLS} {_REPORT}")
+def e02_report(spark, sf_dir):
+    return _rounded_report(spark, sf_dir)
+
+
+_MATRIX = ", ".join(f"count(*) FILTER (WHERE prediction = {c}) AS predicted_{str(c).replace('-', 'minus_')}" for c in (-1, 0, 1))
+
+
+@query(f"WITH {_PREDICTED} SELECT label AS actual, {_MATRIX} FROM predicted GROUP BY 1")
+def e03_confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(predicted(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS} {_REPORT} WHERE name NOT LIKE '%avg'")
+def e04_evaluate(spark, sf_dir):
+    return evaluate.evaluate(predicted(spark, sf_dir))[0].where("name not like '%avg'").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-def queries():
-    return {"a29_monthly_trend": _trend}
+@query(f"""WITH {_CELLS}, long AS (SELECT name, 'precision' AS metric, precision AS value FROM report UNION ALL SELECT name, 'recall', recall FROM report UNION ALL SELECT name, 'f1', f1 FROM report
+  UNION ALL SELECT name, 'support', support FROM report) SELECT 'test_' || name || '_' || metric AS name, round(CAST(value AS DOUBLE), 6) AS value FROM long WHERE name <> 'accuracy'""")
+def e06_flat_report(spark, sf_dir):
+    return evaluate.flat_report(evaluate.report(predicted(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
 
-def oracle_sql():
-    return {}
+@query("SELECT 'sentiment' AS name, CAST(row_number() OVER (ORDER BY nation.n_nationkey) AS INT) AS version, CAST(n_nationkey AS VARCHAR) AS run_id, n_name AS model_path, 'Staging' AS stage FROM nation")
+def r03_registry(spark, sf_dir):
+    """A registry of one version for each nation; versions go up by one from one."""
+    n = _read(spark, sf_dir, "nation")
+    version = F.row_number().over(Window.partitionBy(F.lit("sentiment")).orderBy("n_nationkey"))
+    rows = n.select(F.lit("sentiment").alias("name"), version.alias("version"), F.col("n_nationkey").cast("string").alias("run_id"), F.col("n_name").alias("model_path"), F.lit("Staging").alias("stage"))
+    return rows.select([f.split()[0] for f in MODELS.split(", ")])

@@ -26,6 +26,19 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN_ROOT[0]
 
 
+#: Rows of a batch that goes to Python; with long texts or large sets in a row, Spark's own default takes too much memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's batches have been made as small as BATCH_ROWS."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the session's process ends."""
     path = f"{shared_root(spark)}/spindrift/{uuid.uuid4().hex}/{name}"

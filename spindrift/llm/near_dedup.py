@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import segment
-from spindrift.llm.common import skew_join, stage
+from spindrift.llm.common import bounded_batches, skew_join, stage
 from spindrift.llm.components import components
 from spindrift.llm.exact_dedup import _probe, hit_filter
 
@@ -288,7 +288,7 @@ def links(docs: DataFrame, members: DataFrame, sketched: DataFrame, every: bool)
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    found = stage(sketches(docs), "sketches")
+    found = stage(sketches(bounded_batches(docs)), "sketches")
     # A row for each different set: its smallest id, its numbers, and how many documents have it.
     null = F.lit(int(_NO_ID))
     reps = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") < null)).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies"))

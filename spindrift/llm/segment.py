@@ -17,7 +17,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points that count as white space (fixed values: Unicode's White_Space).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points taken at a time; a longer text comes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SLOTS = 1 << 20
 _POOL = 1 << 22
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import skew_join, stage
+from spindrift.llm.common import bounded_batches, skew_join, stage
 
 #: Bytes of records in an archive, and of those at its beginning that train its dictionary of at most so many bytes.
 ARCHIVE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 64 << 20, 4 << 20, 110 << 10
@@ -170,7 +170,7 @@ def write(pages: DataFrame) -> DataFrame:
         if out:
             yield _rows(out)
 
-    return stage(marked(pages).mapInArrow(run, FRAMES), "archives")
+    return stage(marked(bounded_batches(pages)).mapInArrow(run, FRAMES), "archives")
 
 
 def _rows(out) -> pa.RecordBatch:

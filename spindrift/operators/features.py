@@ -14,8 +14,11 @@ from spindrift.functions import text as T
 
 def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """(key, term, tf)."""
-    grams = T.ngrams(T.analyzed(F.coalesce(text, F.lit(""))), *ngram_range)
-    return df.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # A column of its own: n-grams refer to the words many times, and the split should run once.
+    words = df.select(key, T.analyzed(F.coalesce(text, F.lit(""))).alias("_words"))
+    # The outer form, as Spark would copy the whole expression into a filter below the inner one.
+    grams = words.select(key, F.explode_outer(T.ngrams(F.col("_words"), *ngram_range)).alias("term"))
+    return grams.where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counted: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
@@ -59,11 +62,12 @@ class Vectorizer:
         self.model: PipelineModel | None = None
 
     def _terms(self, df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("terms", T.ngrams(T.analyzed(F.coalesce(text, F.lit(""))), *self.ngram_range))
+        words = df.withColumn("_words", T.analyzed(F.coalesce(text, F.lit(""))))
+        return words.withColumn("terms", T.ngrams(F.col("_words"), *self.ngram_range)).drop("_words")
 
     def fit(self, df: DataFrame, text: str) -> Vectorizer:
         counted = self._terms(df, text)
-        vocabulary_ = counted.select(F.explode("terms").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").limit(self.max_features)
+        vocabulary_ = counted.select(F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").count().orderBy(F.desc("count"), "term").limit(self.max_features)
         words = [r["term"] for r in vocabulary_.collect()]  # max_features terms at most
         counter = CountVectorizerModel.from_vocabulary(words or [""], inputCol="terms", outputCol="counts" if self.tfidf else "features")
         stages = [counter]

@@ -88,7 +88,10 @@ def rarest_characters(df: DataFrame, text: str, n: int = 50) -> DataFrame:
 def top_ngrams(df: DataFrame, text: str, size: int, n: int) -> DataFrame:
     """Most frequent n-grams of the words left by the vectorizer's stop list."""
     left = T.without(T.analyzed(F.col(text)), T.vectorizer_stop_words())
-    return top(df.select(F.explode(T.ngrams(left, size, size)).alias("ngram")), "ngram", n)
+    held = df.select(left.alias("_words"))
+    # The outer form, as Spark would copy the whole expression into a filter below the inner one.
+    grams = held.select(F.explode_outer(T.ngrams(F.col("_words"), size, size)).alias("ngram"))
+    return top(grams.where("ngram is not null"), "ngram", n)
 
 
 def top_words_by_class(df: DataFrame, text: str, n: int = 20, start: int = 0, label: str = "category") -> DataFrame:

@@ -318,7 +318,14 @@ _scalar("t13_char_count", F.char_length, f"length({_X})", "INT")
 _scalar("t14_punctuation_count", T.punctuation_count, f"length(regexp_replace({_X}, '[^.,!?;:\"''()\\[\\]{{}}-]', '', 'g'))", "INT")
 _scalar("t15_split_word_count", T.word_count, f"len({_sql_tokens(_X)})", "INT")
 _scalar("t16_analyzed", lambda c: F.array_join(T.analyzed(c), "|"), f"array_to_string({_sql_analyzed(_X)}, '|')")
-_scalar("t17_ngrams", lambda c: F.array_join(T.ngrams(T.analyzed(c), 1, 3), "|"), f"array_to_string({_sql_ngrams(_sql_analyzed(_X), 1, 3)}, '|')")
+
+
+@query(f"WITH {_COMMENTS}, w AS (SELECT doc_id, {_sql_analyzed(_X)} AS t FROM comments) SELECT doc_id, array_to_string({_sql_ngrams('t', 1, 3)}, '|') AS value FROM w")
+def t17_ngrams(spark, sf_dir):
+    words = comments(spark, sf_dir).select("doc_id", T.analyzed(F.col("clean_comment")).alias("words"))
+    return words.select("doc_id", F.array_join(T.ngrams(F.col("words"), 1, 3), "|").alias("value"))
+
+
 _scalar(
     "t18_vectorizer_stop_words", lambda c: T.joined(T.without(T.analyzed(c), T.vectorizer_stop_words())),
     f"array_to_string({_sql_without(_sql_analyzed(_X), ['i'])}, ' ')",

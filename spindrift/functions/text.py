@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Iterable
+from functools import lru_cache
+from pathlib import Path
 
-from pyspark.ml.feature import StopWordsRemover
+import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +40,12 @@ def removed_stop_words() -> list[str]:
     return [w for w in STOP_WORDS if w not in KEPT_WORDS]
 
 
+@lru_cache
 def vectorizer_stop_words() -> list[str]:
-    """The other English list, which vectorizers use: Spark's own."""
-    return StopWordsRemover.loadDefaultStopWords("english")
+    """The other English list, which vectorizers use: Spark's own, read from its library, so that no session is needed."""
+    jars = Path(pyspark.__file__).parent / "jars"
+    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
+        return jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
 
 
 def strip(c: Column) -> Column:

@@ -149,4 +149,4 @@ def fixed(c: Column, digits: int = 2) -> Column:
 
 
 def percent_label(p: Column) -> Column:
-    return F.format_string("%.1f%%", p)
+    return F.format_string("%.1f%%", F.bround(p, 1))  # halves to even, as C rounds them

@@ -14,7 +14,7 @@ BLOCK = 4096
 
 def draw(key: str, seed: int = SEED, salt: str = "") -> Column:
     """A hash that orders rows at random, but always alike."""
-    return F.md5(F.concat(F.lit(f"{seed}|{salt}"), F.col(key).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|{salt}|"), F.col(key).cast("string")))
 
 
 def uniform(*parts: Column) -> Column:

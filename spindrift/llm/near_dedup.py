@@ -6,7 +6,7 @@ representative.  The 32 smallest numbers of each representative open inverted
 lists.  Documents with a similarity of 0.85 share at least half of these 32
 numbers (but for one pair in ten million), so each lists only enough of its rarest
 numbers to meet every such partner; that keeps passages which very many
-documents share out of the lists.
+documents share out of the lists.  Of lists with the same members one is compared.
 
 Within a list, of which no task holds more than a block, sketches give the
 overlap of each pair of similar size.  Below the smaller of both sketches' last
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def lists(reps: DataFrame) -> DataFrame:
-    """(number, rep): the inverted lists, of numbers that at least two representatives list."""
+    """(number, rep, members): the inverted lists of at least two representatives, each set of members once."""
     opened = reps.select("rep", F.least("n_shingles", F.lit(LISTED)).alias("size"), F.explode("low").alias("number"))
     often = opened.groupBy("number").agg(F.count(F.lit(1)).alias("often")).where("often > 1").withColumnRenamed("number", "_number")
     shared = opened.join(often, F.col("number") == F.col("_number"))
@@ -119,8 +119,11 @@ def lists(reps: DataFrame) -> DataFrame:
     places = F.expr("size - int(ceil(size / 2)) + 1 - (size - size(found))")
     rows = own.select("rep", F.explode(F.slice("found", F.lit(1), F.greatest(places, F.lit(0)))).alias("x")).select(F.col("x.number").alias("number"), "rep")
     rows = stage(rows, "lists")
-    sizes = rows.groupBy("number").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumnRenamed("number", "_number")
-    return stage(rows.join(sizes, F.col("number") == F.col("_number")).select("number", "rep", "members"), "shared-lists")
+    mark = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(20,0)"))
+    sizes = rows.groupBy("number").agg(F.count(F.lit(1)).alias("members"), mark(1).alias("_x"), mark(2).alias("_y")).where("members > 1")
+    # Lists with the same members (told by two sums of hashes) would give the same pairs: one of them stands for all.
+    once = sizes.groupBy("members", "_x", "_y").agg(F.min("number").alias("_number")).select("_number", "members")
+    return stage(rows.join(once, F.col("number") == F.col("_number")).select("number", "rep", "members"), "shared-lists")
 
 
 def units(members: DataFrame) -> DataFrame:

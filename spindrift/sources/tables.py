@@ -16,6 +16,8 @@ PLAIN_COMMENTS = "comments array<string>"
 SENTIMENT_ROWS = "sentiment_data array<struct<timestamp string, sentiment int>>"
 SENTIMENT_COUNTS = "sentiment_counts map<string, bigint>"
 PAGE = "items array<struct<snippet struct<topLevelComment struct<snippet struct<textOriginal string, publishedAt string, authorChannelId struct<value string>>>>>>, nextPageToken string"
+#: What a request without content is told (fixed values).
+MISSING = {"comments": "No comments provided", "sentiment_counts": "No sentiment counts provided", "sentiment_data": "No sentiment data provided"}
 #: A watch page's address, with the video's id.
 VIDEO_URL = r"^https://(?:www\.)?youtube\.com/watch\?v=([\w-]{11})"
 
@@ -75,6 +77,14 @@ def read_pointer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("run_id string, model_path string").json(path)
 
 
+def required(body: dict, field: str):
+    """A request's ``field``, looked at on the driver before any job runs; a ValueError if it is missing, null or empty."""
+    found = body.get(field)
+    if not found:
+        raise ValueError(MISSING[field])
+    return found
+
+
 def request_comments(bodies: DataFrame, body: str = "body") -> DataFrame:
     """The texts of requests, with their place in the request."""
     held = bodies.select("*", F.from_json(body, PLAIN_COMMENTS).alias("_b"))

@@ -113,6 +113,16 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in urls.select(tables.video_id(F.col("u"))).collect()] == ["abc_DEF-123", ""]
 
 
+@pytest.mark.parametrize("field", tables.MISSING)
+@pytest.mark.parametrize("empty", [None, [], {}])
+def test_requests_without_content(field, empty):
+    with pytest.raises(ValueError, match=tables.MISSING[field]):
+        tables.required({field: empty}, field)
+    with pytest.raises(ValueError):
+        tables.required({}, field)
+    assert tables.required({field: [1]}, field) == [1]
+
+
 def test_pages_stop_between_pages(spark):
     page = lambda n: '{"items":[' + ",".join(['{"snippet":{"topLevelComment":{"snippet":{"textOriginal":"t","publishedAt":"2024-01-01T00:00:00Z","authorChannelId":{"value":""}}}}}'] * n) + "]}"
     got = tables.comment_pages(spark.createDataFrame([(k, page(100 if k else 99)) for k in range(8)], "number int, page string"))

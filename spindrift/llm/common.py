@@ -29,13 +29,18 @@ def shared_root(spark: SparkSession) -> str:
 #: Rows of a batch that goes to Python; with long texts or large sets in a row, Spark's own default takes too much memory.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of such a batch, unless the session names its own bound.
+BATCH_BYTES = 16 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's batches have been made as small as BATCH_ROWS."""
+    """``df``, after the session's batches have been made as small as BATCH_ROWS and BATCH_BYTES."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
         conf.set(_BATCH, str(BATCH_ROWS))
+    if conf.get(_BYTES, None) is None:
+        conf.set(_BYTES, str(BATCH_BYTES))
     return df
 
 

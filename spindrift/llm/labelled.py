@@ -57,3 +57,36 @@ class Adam:
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             x -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def least(loss, x: np.ndarray, rounds: int, memory: int = 6, close: float = 1e-3) -> np.ndarray:
+    """Where the convex ``loss`` (giving value and gradient) is least, by L-BFGS, until the gradient's norm has shrunk to ``close`` of the first."""
+    value, grad = loss(x)
+    steps, end = [], close * float(np.linalg.norm(grad))
+    for _ in range(rounds):
+        if np.linalg.norm(grad) <= end:
+            break
+        way, used = -grad, []
+        for s, g, r in reversed(steps):
+            used.append(r * float(s @ way))
+            way = way - used[-1] * g
+        if steps:
+            s, g, _ = steps[-1]
+            way = way * (float(s @ g) / float(g @ g))
+        else:
+            way = way / np.linalg.norm(grad)
+        for (s, g, r), a in zip(steps, reversed(used), strict=True):
+            way = way + s * (a - r * float(g @ way))
+        slope, size = float(grad @ way), 1.0
+        while True:
+            next_value, next_grad = loss(x + size * way)
+            if next_value <= value + 1e-4 * size * slope or size < 1e-6:
+                break
+            size /= 2
+        if next_value >= value:
+            break
+        moved, turned = size * way, next_grad - grad
+        if (bend := float(moved @ turned)) > 1e-12:
+            steps = [*steps, (moved, turned, 1 / bend)][-memory:]
+        x, value, grad = x + moved, next_value, next_grad
+    return x

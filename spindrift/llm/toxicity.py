@@ -2,10 +2,11 @@
 
 Features are the distinct n-grams of the lower-cased text, everything but
 letters being a separator, hashed to buckets.  On a bounded sample of labelled
-documents each bucket gets the log ratio of its smoothed document counts in the
-two classes, if it stands out from the noise of these counts; a logistic regression with ridge penalty is fitted on features of
-that size; buckets of negligible weight are set to nothing.  Scoring adds up
-the weights of a text's distinct buckets, over whole texts.
+documents each bucket of at least three documents gets the log ratio of its
+smoothed document counts in the two classes; a logistic regression with ridge
+penalty is fitted on features of that size.  Small ratios make small features,
+which the penalty keeps small, and no bucket is left out for its ratio or its
+weight.  Scoring adds up the weights of a text's distinct buckets, over whole texts.
 
 Defined results: null, empty and letterless texts get the score of a text
 without features; without labels of both kinds all scores are the share of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import segment
 from spindrift.llm.common import bounded_batches
-from spindrift.llm.labelled import Adam, fold, prior_shift, sample, sigmoid
+from spindrift.llm.labelled import fold, least, prior_shift, sample, sigmoid
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -31,8 +32,10 @@ ORDERS = (3, 4, 5)
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
 HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
-#: A log ratio counts from so many of its standard errors on.
-SURE = 5.0
+#: Documents of the sample that an n-gram must occur in; the penalty of the squared weights against the loss of one document.
+LEAST_DOCS, RIDGE = 3, 1.0
+#: The deviance at which a feature has half the size of its log ratio.
+NOISE = 10.0
 #: Code points of the sample whose n-grams are held at a time.
 FIT_CHUNK = 1 << 18
 _SEPARATOR = 0x20
@@ -72,41 +75,46 @@ def features(texts: list[str], weights: np.ndarray | None = None) -> tuple[np.nd
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 80, ridge: float = 1e-4) -> Model:
+def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 100, ridge: float = RIDGE) -> Model:
     weights = np.zeros(1 << BITS, np.float32)
     if not 0 < y.sum() < len(y):
         p = min(max(share, 1e-4), 1 - 1e-4)
         return Model(weights, float(np.log(p / (1 - p))))
-    # Two passes, so that only n-grams that count are ever held: first their document counts, then their places.
+    # Two passes, so that n-grams of one or two documents are never held: first document counts, then places.
     in_docs, in_ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
     for lo, hi in segment.chunks(texts, FIT_CHUNK):
         doc, bucket = features(texts[lo:hi])
         in_docs += np.bincount(bucket, minlength=1 << BITS)
         in_ones += np.bincount(bucket, y[lo + doc], 1 << BITS)
-    p, q = (1 + in_ones) / (1 + y.sum()), (1 + in_docs - in_ones) / (1 + (1 - y).sum())
-    ratio = np.log(p / q)
-    # Ratios within the noise of their counts would add up over the many n-grams of a long text.
-    sure = (in_docs >= 3) & (np.abs(ratio) >= SURE * np.sqrt(1 / (1 + in_ones) + 1 / (1 + in_docs - in_ones)))
-    own, number = np.flatnonzero(sure), np.cumsum(sure) - 1
-    parts = [(lo, *features(texts[lo:hi], sure)) for lo, hi in segment.chunks(texts, FIT_CHUNK)]
-    doc = np.concatenate([(lo + d).astype(np.int32) for lo, d, _ in parts])
-    column = np.concatenate([number[c].astype(np.int32) for _, _, c in parts])
-    ratio = ratio[own]
-    w, b, adam = np.zeros(len(own)), np.zeros(1), Adam(0.02)
-    for _ in range(rounds):
-        z = np.bincount(doc, (w * ratio)[column], len(y)) + b
-        off = (sigmoid(z) - y) / len(y)
-        adam.step(w=(w, np.bincount(column, off[doc], len(own)) * ratio + ridge * w), b=(b, np.array([off.sum()])))
-    scaled = w * ratio
-    scaled[np.abs(scaled) < 0.02 * np.abs(scaled).max(initial=0)] = 0
-    weights[own] = scaled
-    # What the pruned weights give is calibrated once more by slope and bias.
-    z = np.bincount(doc, scaled[column], len(y))
-    line, adam = np.array([1.0, float(b[0])]), Adam(0.05)
-    for _ in range(400):
-        off = (sigmoid(line[0] * z + line[1]) - y) / len(y)
-        adam.step(line=(line, np.array([off @ z, off.sum()]) + 1e-4 * line))
-    return Model((weights * line[0]).astype(np.float32), float(line[1]) + prior_shift(y, share))
+    often = in_docs >= LEAST_DOCS
+    own, number = np.flatnonzero(often), np.cumsum(often) - 1
+    ones, zeros = in_ones[own], in_docs[own] - in_ones[own]
+    ratio = np.log((1 + ones) / (1 + y.sum()) / ((1 + zeros) / (1 + (1 - y).sum())))
+    # The deviance of the counts from equal shares tells how far a ratio stands out from noise; it scales the feature, but leaves none out.
+    part = y.mean()
+    deviance = 2 * (ones * np.log(np.maximum(ones, 1) / (in_docs[own] * part)) + zeros * np.log(np.maximum(zeros, 1) / (in_docs[own] * (1 - part))))
+    ratio *= deviance / (deviance + NOISE)
+    parts = []
+    for lo, hi in segment.chunks(texts, FIT_CHUNK):
+        doc, bucket = features(texts[lo:hi], often)
+        parts.append((lo, np.bincount(doc, minlength=hi - lo), number[bucket].astype(np.int32)))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Of weights and bias: the logistic loss of all documents with its ridge penalty, and the gradient."""
+        scaled, grad, total = x[:-1] * ratio, np.zeros(len(x)), 0.0
+        for lo, count, column in parts:
+            z = np.bincount(np.repeat(np.arange(len(count)), count), scaled[column], len(count)) + x[-1]
+            known = y[lo : lo + len(count)]
+            off = sigmoid(z) - known
+            total += float(np.sum(np.logaddexp(0, z) - known * z))
+            grad[:-1] += np.bincount(column, np.repeat(off, count), len(own))
+            grad[-1] += off.sum()
+        grad[:-1] = grad[:-1] * ratio + ridge * x[:-1]
+        return total + ridge / 2 * float(x[:-1] @ x[:-1]), grad
+
+    x = least(loss, np.zeros(len(own) + 1), rounds)
+    weights[own] = x[:-1] * ratio
+    return Model(weights, float(x[-1]) + prior_shift(y, share))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Model:

@@ -40,6 +40,25 @@ def test_toxic_features_are_distinct_ngrams():
         assert (doc == k).sum() == len(grams)
 
 
+def toxic_corpus(rng, toxic, counts):
+    """Texts of the same kind; the first ``counts[0]`` hold one of the toxic words each, in turn, the other ``counts[1]`` none."""
+    syllables = ["mel", "low", "ri", "ver", "sto", "ne", "un", "der", "clo", "ud", "tre", "wal", "ks", "li", "ght"]
+    plain = lambda: " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(rng.integers(10, 60)))
+    return [f"{plain()} {toxic[k % len(toxic)] if k < counts[0] else ''} {plain()}" for k in range(sum(counts))]
+
+
+@pytest.mark.parametrize(("counts", "words"), [((1000, 1000), 100), ((10, 58), 2)])
+def test_rare_toxic_words_count(counts, words):
+    """Words in one of a hundred toxic documents each, and a table of few labels."""
+    rng = np.random.default_rng(1)
+    toxic = ["".join(rng.choice(list("bcdfghjkqvwxyz"), 7)) for _ in range(words)]
+    model = toxicity.fit(toxic_corpus(rng, toxic, counts), np.arange(sum(counts)) < counts[0], counts[0] / sum(counts))
+    asked = toxic_corpus(rng, toxic, (200, 200))
+    doc, bucket = toxicity.features(asked)
+    got = model.bias + np.bincount(doc, model.weights[bucket], len(asked)) >= 0
+    assert got[:200].mean() > 0.9 and got[200:].mean() < 0.1
+
+
 @pytest.mark.parametrize(("operator", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_accuracy_and_edges(spark, operator, label):
     rng = np.random.default_rng(5)

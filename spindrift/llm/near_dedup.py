@@ -68,7 +68,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     h = segment.hashes(data, start, end)
     rolled = np.zeros(len(h), np.uint64)
     for j in range(WORDS):
-        rolled[: len(h) - j] += h[j:] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) + 2 * j * j) % 2**64 | 1)
+        rolled[: max(0, len(h) - j)] += h[j:] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) + 2 * j * j) % 2**64 | 1)
     mixed = _mix(rolled)
     for k in range(len(texts)):
         a, b = first[k], first[k + 1]

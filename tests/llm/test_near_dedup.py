@@ -67,6 +67,19 @@ def test_edges(spark):
     assert op.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_few_words_alone(n):
+    """A batch whose texts together have so many words."""
+    text = " ".join("abcde"[:n])
+    (got,), (beside, _) = op.shingle_sets([text]), op.shingle_sets([text, "some more words of another text"])
+    assert len(got) == 1 and got.tolist() == beside.tolist()
+
+
+def test_table_of_two_words(spark):
+    docs = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    assert [tuple(r) for r in op.dedup(docs).collect()] == [(1, 1, 1, True)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 50)]

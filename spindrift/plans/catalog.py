@@ -647,7 +647,7 @@ def v06_vocabulary(spark, sf_dir):
     return features.fit_tfidf(comments(spark, sf_dir), "doc_id", "clean_comment").withColumn("idf", F.round("idf", 6))
 
 
-_QUICK = models.Params(rounds=2, depth=3, trees=5, forest_depth=4, folds=2)
+_PARAMS = models.Params()
 
 
 def _labelled_comments(spark, sf_dir):
@@ -655,7 +655,7 @@ def _labelled_comments(spark, sf_dir):
 
 
 def _swept(spark, sf_dir, grid):
-    found = models.sweep(_labelled_comments(spark, sf_dir), "doc_id", "clean_comment", grid, _QUICK)
+    found = models.sweep(_labelled_comments(spark, sf_dir), "doc_id", "clean_comment", grid, _PARAMS)
     return spark.createDataFrame([(str(s), float(a)) for s, a in found], "setting string, accuracy double")
 
 
@@ -721,35 +721,38 @@ def b09_random_rows(spark, sf_dir):
 # Models ------------------------------------------------------------------------------------------
 
 
-def _sets(spark, sf_dir, max_features: int = 200):
+def _sets(spark, sf_dir, max_features: int = 1000):
     train, test = sampling.train_test(_labelled_comments(spark, sf_dir), "doc_id", stratify="category")
     vec = features.Vectorizer(max_features, (1, 3)).fit(train, "clean_comment")
     return models.labelled(vec.transform(train, "clean_comment")).persist(), models.labelled(vec.transform(test, "clean_comment")), vec
 
 
-def _predictions(spark, sf_dir, model):
-    train, test, _ = _sets(spark, sf_dir)
+def _predictions(spark, sf_dir, model, max_features: int = 1000):
+    train, test, _ = _sets(spark, sf_dir, max_features)
     return models.sentiment(models.trained_and_scored(model, train, test)[1]).select("doc_id", "category", "sentiment")
 
 
 @query()
 def m01_boosted_trees(spark, sf_dir):
-    return _predictions(spark, sf_dir, models.boosted(_QUICK))
+    return _predictions(spark, sf_dir, models.boosted(_PARAMS))
 
 
 @query()
 def m02_random_forest(spark, sf_dir):
-    return _predictions(spark, sf_dir, models.forest(_QUICK))
+    return _predictions(spark, sf_dir, models.forest(_PARAMS), 10_000)
 
 
 @query()
 def m03_boosted_trees_tuned(spark, sf_dir):
-    return _predictions(spark, sf_dir, models.boosted(models.Params(learning_rate=0.1, rounds=3, depth=4)))
+    """With the parameters that the search finds best."""
+    train, test, _ = _sets(spark, sf_dir)
+    tuned = models.boosted(models.search(train)[0])
+    return models.sentiment(models.trained_and_scored(tuned, train, test)[1]).select("doc_id", "category", "sentiment")
 
 
 @query()
 def m04_logistic(spark, sf_dir):
-    return _predictions(spark, sf_dir, models.logistic(50))
+    return _predictions(spark, sf_dir, models.logistic())
 
 
 @query("""WITH d AS (SELECT q.vec_id, p.label AS other, p.vec_id AS pid, sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist
@@ -764,32 +767,32 @@ def m05_knn(spark, sf_dir):
 
 @query()
 def m06_stacking(spark, sf_dir):
-    train, test, _ = _sets(spark, sf_dir, 50)
-    return models.stack(train, test, "doc_id", [models.forest(_QUICK), models.logistic(20)], _QUICK).select("doc_id", "category", "prediction")
+    train, test, _ = _sets(spark, sf_dir, 10_000)
+    return models.stack(train, test, "doc_id", [models.boosted(models.Params(learning_rate=0.08081298097796712)), models.logistic()], _PARAMS).select("doc_id", "category", "prediction")
 
 
 @query()
 def m07_search(spark, sf_dir):
-    train, _, _ = _sets(spark, sf_dir, 50)
-    best, got = models.search(train, 2, build=lambda p: models.forest(models.Params(trees=5, forest_depth=p.depth)))
+    train, _, _ = _sets(spark, sf_dir)
+    best, got = models.search(train)
     return spark.createDataFrame([(best.learning_rate, best.depth, best.rounds, float(got))], "learning_rate double, depth int, rounds int, accuracy double")
 
 
 @query()
 def m08_train_and_score(spark, sf_dir):
     train, test, _ = _sets(spark, sf_dir)
-    scored_ = models.trained_and_scored(models.logistic(20), train, test)[1]
+    scored_ = models.trained_and_scored(models.logistic(), train, test)[1]
     return spark.createDataFrame([(MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored_),)], "accuracy double")
 
 
 @query()
 def m09_batch_predict(spark, sf_dir):
-    return _predictions(spark, sf_dir, models.logistic(20))
+    return _predictions(spark, sf_dir, models.logistic())
 
 
 def _scorer(spark, sf_dir):
     train, _, vec = _sets(spark, sf_dir)
-    return models.Scorer(vec, models.logistic(20).fit(train))
+    return models.Scorer(vec, models.logistic().fit(train))
 
 
 @query()

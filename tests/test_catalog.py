@@ -32,6 +32,37 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == want
 
 
+def test_model_queries_have_full_parameters(monkeypatch):
+    """What the model queries hand to the models, without a fit."""
+    full, seen = catalog.models.Params(), []
+    note = lambda name, out: lambda *a, **b: seen.append((name, *a, *b.values())) or out
+
+    class Anything:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    some = Anything()
+    monkeypatch.setattr(catalog, "_labelled_comments", lambda *a: some)
+    monkeypatch.setattr(catalog.sampling, "train_test", lambda *a, **b: (some, some))
+    monkeypatch.setattr(catalog.features, "Vectorizer", note("vectorizer", some))
+    for name, out in {"labelled": some, "boosted": some, "forest": some, "logistic": some, "stack": some, "search": (full, 0.5), "trained_and_scored": (some, some), "sentiment": some, "sweep": []}.items():
+        monkeypatch.setattr(catalog.models, name, note(name, out))
+
+    def used(query):
+        seen.clear()
+        catalog.queries()[query](some, "")
+        return {x[0]: x[1:] for x in seen}
+
+    m01, m02, m03, m06, m07 = map(used, ("m01_boosted_trees", "m02_random_forest", "m03_boosted_trees_tuned", "m06_stacking", "m07_search"))
+    assert m01["boosted"] == (full,) and m01["vectorizer"][0] == 1000
+    assert m02["forest"] == (full,) and m02["vectorizer"][0] == 10_000
+    assert m03["search"] == (some,) and m03["boosted"] == (full,)
+    assert m06["stack"][-1] == full and len(m06["stack"][3]) == 2 and m06["boosted"][0].rounds == 367 and m06["logistic"] == () and m06["vectorizer"][0] == 10_000
+    assert m07["search"] == (some,) and m07["vectorizer"][0] == 1000
+    assert all(used(q)["logistic"] == () for q in ("m04_logistic", "m09_batch_predict"))
+    assert all(used(q)["sweep"][-1] == full for q in ("v07_vectorizer_sweep", "v08_vocabulary_sweep"))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -47,5 +47,14 @@ def test_report_and_redaction(spark):
     assert masked[2].text == "é [EMAIL], [IP] and [CARD], [PHONE]; password=[SECRET]" and masked[0].text is None and masked[2].base == "k"
 
 
+def test_long_secrets_are_masked_whole():
+    value = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(10))[:400].replace("0", "/x")
+    text = f"token={value} and more"
+    found = pii.candidates(text, [])
+    assert [(k, a, b) for k, a, b, _ in found] == [(4, 6, 6 + len(value))]
+    assert pii.masked(text, frozenset(p for *_, p in found)) == "token=[SECRET] and more"
+    pii.candidates("key=" + "a1" * 500_000, [])
+
+
 def test_empty(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0

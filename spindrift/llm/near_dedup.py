@@ -44,7 +44,7 @@ K, LISTED = 256, 32
 #: A link: SHARE of 100 parts of the union are shared.
 SHARE = 85
 #: Standard errors that an estimate may fall short of the threshold.
-SLACK = 4.5
+SLACK = 5.5
 #: Members of a list that one task compares.
 BLOCK = 2048
 _NO_ID = np.iinfo(np.int64).max

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -80,6 +81,14 @@ def test_table_of_two_words(spark):
     assert [tuple(r) for r in op.dedup(docs).collect()] == [(1, 1, 1, True)]
 
 
+@pytest.mark.parametrize("n", [256, 277, 400, 1000])
+def test_slack_by_the_binomial_tail(n):
+    """How likely a pair at the threshold falls short by more than the slack; the tail is skewed, not normal."""
+    p = op.SHARE / 100
+    least = n * p - op.SLACK * math.sqrt(n * p * (1 - p))
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k < least) < 3e-7
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 50)]

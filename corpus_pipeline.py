@@ -34,8 +34,8 @@ def mask_personal(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    """The pieces of all documents and their places in the training sequences."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
+    """The pieces of all documents with their ids and places in the training sequences."""
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("pii", mask_personal), ("packing", pack_sequences)]

@@ -15,7 +15,9 @@ def _documents(spark, sf_dir):
 
 
 def op1_packing(spark, sf_dir):
-    return packing.pack(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
+    """The checksum is that of the ids which the operator gives, after they have been placed."""
+    packed = packing.pack(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op2_neighbours(spark, sf_dir):

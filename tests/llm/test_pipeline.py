@@ -2,12 +2,13 @@
 
 import random
 import re
+import zlib
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from spindrift.llm import pii
+from spindrift.llm import packing, pii
 from spindrift.llm.near_dedup import shingle_sets
 
 
@@ -58,6 +59,14 @@ def test_run(spark, folder):
     assert packed.count() >= 190 and {"doc_id", "sequence_id", "offset"} <= set(packed.columns)
 
 
+def test_run_gives_sequences(spark, folder):
+    packed = corpus_pipeline.run(spark, folder).cache()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in packed.collect())
+    got = packing.sequences(packed).collect()
+    assert 0 < max(len(r.ids) for r in got) <= 4 * packing.CAPACITY
+    assert sum(len(r.ids) for r in got) == 4 * sum(r.length for r in packed.collect())
+
+
 def test_names():
     names = __spark_entry__.queries()
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] and "pipeline" in names

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterable
-from functools import lru_cache
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +24,30 @@ STOP_WORDS = (
 KEPT_WORDS = ["not", "but", "however", "no", "yet"]
 #: Punctuation that is counted (fixed values).
 PUNCTUATION = ".,!?;:\"'()[]{}-"
-#: Suffix rules for nouns, tried in this order (fixed values).
+#: English stop words of vectorizers, a public list (fixed values).
+VECTORIZER_STOP_WORDS = (
+    "a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an and another any "
+    "anyhow anyone anything anyway anywhere are around as at back be became because become becomes becoming been before beforehand behind being below beside besides "
+    "between beyond bill both bottom but by call can cannot cant co con could couldnt cry de describe detail do done down due during each eg eight either eleven else "
+    "elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fifty fill find fire first five for former formerly forty found four "
+    "from front full further get give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred i ie if "
+    "in inc indeed interest into is it its itself keep last latter latterly least less ltd made many may me meanwhile might mill mine more moreover most mostly move "
+    "much must my myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere of off often on once one only onto or other "
+    "others otherwise our ours ourselves out over own part per perhaps please put rather re same see seem seemed seeming seems serious several she should show side "
+    "since sincere six sixty so some somehow someone something sometime sometimes somewhere still such system take ten than that the their them themselves then thence "
+    "there thereafter thereby therefore therein thereupon these they thick thin third this those though three through throughout thru thus to together too top toward "
+    "towards twelve twenty two un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon "
+    "wherever whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves"
+).split()
+#: Suffix rules for nouns, tried in this order against a lexicon (fixed values).
 NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
-#: Irregular plurals (fixed values).
-NOUN_EXCEPTIONS = {"children": "child", "feet": "foot", "geese": "goose", "mice": "mouse", "oxen": "ox", "people": "people", "teeth": "tooth"}
+#: Irregular plurals, and words that look like plurals but are none (fixed values).
+NOUN_EXCEPTIONS = {
+    "aches": "ache", "calves": "calf", "children": "child", "cookies": "cookie", "elves": "elf", "feet": "foot", "geese": "goose", "halves": "half", "knives": "knife",
+    "leaves": "leaf", "lives": "life", "loaves": "loaf", "mice": "mouse", "movies": "movie", "oxen": "ox", "people": "people", "scarves": "scarf", "selfies": "selfie",
+    "shelves": "shelf", "teeth": "tooth", "thieves": "thief", "wives": "wife", "wolves": "wolf", "zombies": "zombie",
+}
+NO_PLURALS = "abdomen acumen always amen besides cosmos gas lens news omen perhaps ramen regimen series sometimes specimen species towards whereas".split()
 #: Words of a vectorizer: two or more letters, numbers or underscores in a row.
 _ANALYZER = r"[\p{L}\p{N}_]{2,}"
 
@@ -40,14 +56,6 @@ def removed_stop_words() -> list[str]:
     return [w for w in STOP_WORDS if w not in KEPT_WORDS]
 
 
-@lru_cache
-def vectorizer_stop_words() -> list[str]:
-    """The other English list, which vectorizers use: Spark's own, read from its library, so that no session is needed."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
-        return jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
 
@@ -66,8 +74,8 @@ def tokens(c: Column) -> Column:
 
 
 def without(words: Column, stop: Iterable[str]) -> Column:
-    held = F.array(*[F.lit(w) for w in stop])
-    return F.filter(words, lambda t: ~F.array_contains(held, t))
+    held = list(stop)
+    return F.filter(words, lambda t: ~t.isin(held))
 
 
 def joined(words: Column) -> Column:
@@ -85,8 +93,7 @@ def word_count(c: Column) -> Column:
 
 def stop_word_count(c: Column) -> Column:
     """Words in the full stop list, kept ones too."""
-    held = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.size(F.filter(tokens(c), lambda t: F.array_contains(held, t)))
+    return F.size(F.filter(tokens(c), lambda t: t.isin(STOP_WORDS)))
 
 
 def punctuation_count(c: Column) -> Column:
@@ -106,6 +113,46 @@ def ngrams(words: Column, lo: int, hi: int) -> Column:
     return F.concat(*[of(n) for n in range(lo, hi + 1)]) if hi > lo else of(lo)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once: inside a lambda function Spark would compute an expression for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """(term, tf) of an array's different members, within the row: the runs of the sorted array."""
+
+    def runs(held: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+        end = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(held))
+        return let(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(held, p).alias("term"), (end(at, j) - p).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))
+
+
+def lemma(word: Column) -> Column:
+    """The singular of a plural noun, by the word alone: exceptions, then endings.
+
+    No lexicon and no other text is asked, so a comment has the same lemmas wherever it stands.
+    Words of up to three letters and those in -ss, -us and -is stay as they are."""
+    short = F.substring(word, F.lit(1), F.char_length(word) - 1)
+    shorter = F.substring(word, F.lit(1), F.char_length(word) - 2)
+    irregular = F.create_map(*[F.lit(x) for pair in NOUN_EXCEPTIONS.items() for x in pair])
+    return (
+        F.when(~F.endswith(word, F.lit("s")) & ~word.isin(list(NOUN_EXCEPTIONS)) & ~F.endswith(word, F.lit("men")), word)
+        .when(word.isin(list(NOUN_EXCEPTIONS)), F.try_element_at(irregular, word))
+        .when((F.char_length(word) < 4) & (word != "men") | word.isin(NO_PLURALS) | word.rlike("(ss|us|is)$"), word)
+        .when(F.endswith(word, F.lit("men")), F.concat(shorter, F.lit("an")))
+        .when(F.endswith(word, F.lit("ies")) & (F.char_length(word) > 4), F.concat(F.substring(word, F.lit(1), F.char_length(word) - 3), F.lit("y")))
+        .when(word.rlike("(ch|sh|ss|x|z)es$"), shorter)
+        .otherwise(short)
+    )
+
+
+def normalised(c: Column) -> Column:
+    """The full normaliser: ``clean`` and noun lemmas.  Null stays null."""
+    return joined(F.transform(tokens(clean(c)), lemma))
+
+
 def lemma_candidates(word: Column) -> Column:
     """(rank, candidate): the word itself, its irregular singular, and what the suffix rules make of it."""
     cands = [F.struct(F.lit(0).alias("rank"), word.alias("candidate"))]
@@ -117,26 +164,27 @@ def lemma_candidates(word: Column) -> Column:
     return F.filter(F.array(*cands), lambda x: x["candidate"].isNotNull() & (x["candidate"] != ""))
 
 
-def lemma_map(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """(word, lemma) for every different word: of the candidates that the lexicon has, the shortest, then the first by rule.
-
-    ``words`` and ``lexicon`` have a column ``word``; without a lexicon the words are their own."""
+def lemma_map(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, lemma) for every different word: of the candidates that the lexicon (a column ``word``) has, the shortest, then the first by rule; else the word."""
     words = words.select("word").distinct()
-    known = (words if lexicon is None else lexicon.select("word").distinct()).select(F.col("word").alias("candidate"))
+    known = lexicon.select(F.col("word").alias("candidate")).distinct()
     tried = words.select("word", F.explode(lemma_candidates(F.col("word"))).alias("x")).select("word", "x.rank", "x.candidate")
     best = F.min(F.struct(F.char_length("candidate").alias("n"), "rank", "candidate"))
     found = tried.join(known, "candidate").groupBy("word").agg(best.alias("b")).select("word", F.col("b.candidate").alias("lemma"))
-    return found if lexicon is None else words.join(found, "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
+    return words.join(found, "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
 
 
 def normalise(df: DataFrame, key: str, text: str, out: str, lexicon: DataFrame | None = None) -> DataFrame:
-    """The full normaliser: ``clean`` and noun lemmas by the corpus's own words.  Null stays null; all rows stay.
+    """``df`` with the normalised text.  Without a lexicon of nouns :func:`lemma` serves, within the row.
 
-    Only words that change are looked up, so what is joined is small and the rest of a text isn't shuffled word by word."""
+    With one, the words of all texts are looked up; only words that change are joined back, so what is
+    shuffled is small.  Null stays null; all rows stay."""
+    if lexicon is None:
+        return df.withColumn(out, normalised(F.col(text)))
     cleaned = df.withColumn("_words", tokens(clean(F.col(text))))
     words = cleaned.select(F.explode("_words").alias("word"))
     changed = lemma_map(words, lexicon).where("word <> lemma")
-    placed = cleaned.select(key, F.posexplode("_words").alias("pos", "word")).join(changed, "word")
+    placed = cleaned.select(key, F.explode("_words").alias("word")).distinct().join(changed, "word")
     edits = placed.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "lemma"))).alias("_edits")).withColumnRenamed(key, "_key")
     both = cleaned.join(edits, F.col(key) == F.col("_key"), "left")
     edited = F.transform("_words", lambda w: F.coalesce(F.try_element_at("_edits", w), w))

@@ -12,24 +12,36 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 
 
+#: Terms of a vocabulary that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _counted(df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """``df`` with ``_t``: (term, tf) of the row's own terms, counted within the row."""
+    words = df.withColumn("_words", T.analyzed(F.coalesce(text, F.lit(""))))
+    return words.withColumn("_t", T.let(F.col("_words"), lambda w: T.counted(T.ngrams(w, *ngram_range)))).drop("_words")
+
+
 def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term, tf)."""
-    # A column of its own: n-grams refer to the words many times, and the split should run once.
-    words = df.select(key, T.analyzed(F.coalesce(text, F.lit(""))).alias("_words"))
+    """(key, term, tf); nothing is shuffled, as a row is a document."""
     # The outer form, as Spark would copy the whole expression into a filter below the inner one.
-    grams = words.select(key, F.explode_outer(T.ngrams(F.col("_words"), *ngram_range)).alias("term"))
-    return grams.where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = _counted(df.select(key, text), text, ngram_range).select(key, F.explode_outer("_t").alias("_x"))
+    return found.where("_x is not null").select(key, "_x.term", "_x.tf")
 
 
 def vocabulary(counted: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
-    """(term, total, df): the terms with the highest totals, ties by the term."""
+    """(term, total, df): the terms with the highest totals, ties by the term.  Sums are made before the shuffle."""
     found = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     return found.orderBy(F.desc("total"), "term").limit(max_features) if max_features else found
 
 
+def _small(model: DataFrame, max_features: int | None) -> DataFrame:
+    return F.broadcast(model) if max_features is not None and max_features <= BROADCAST_TERMS else model
+
+
 def bag(df: DataFrame, key: str, text: str, ngram_range=(1, 1), max_features: int | None = None) -> DataFrame:
     counted = terms(df, key, text, ngram_range)
-    return counted.join(vocabulary(counted, key, max_features).select("term"), "term").select(key, "term", "tf")
+    return counted.join(_small(vocabulary(counted, key, max_features).select("term"), max_features), "term").select(key, "term", "tf")
 
 
 def fit_tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngram_range=(1, 3)) -> DataFrame:
@@ -39,15 +51,17 @@ def fit_tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngra
     return chosen.crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).drop("_n")
 
 
-def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text: str, ngram_range=(1, 3)) -> DataFrame:
-    """(key, term, weight), rows of length 1; terms outside the vocabulary are dropped, and documents of such terms alone have no rows."""
-    weighed = terms(df, key, text, ngram_range).join(model.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text: str, ngram_range=(1, 3), max_features: int | None = 1000) -> DataFrame:
+    """(key, term, weight), rows of length 1; terms outside the vocabulary are dropped, and documents of such terms alone have no rows.
+
+    The vocabulary, of up to ``max_features`` terms, is broadcast, so only terms that it holds are shuffled."""
+    weighed = terms(df, key, text, ngram_range).join(_small(model.select("term", "idf"), max_features), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighed.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngram_range=(1, 3)) -> DataFrame:
-    return transform_tfidf(df, fit_tfidf(df, key, text, max_features, ngram_range), key, text, ngram_range)
+    return transform_tfidf(df, fit_tfidf(df, key, text, max_features, ngram_range), key, text, ngram_range, max_features)
 
 
 def term_totals(df: DataFrame, key: str, text: str, ngram_range=(1, 1)) -> DataFrame:

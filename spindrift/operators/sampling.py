@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,27 +24,43 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def _ranked(df: DataFrame, key: str, by: list[str], seed: int) -> DataFrame:
-    """Rank by hash within ``by``.  Ranks are counted in 256 slices of the hash and put together, so no task has to sort all rows."""
-    h = df.withColumn("_h", draw(key, seed)).withColumn("_slice", F.substring("_h", 1, 2))
-    sizes = h.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    sizes = sizes.select(
-        *[F.col(c).alias(f"_{c}") for c in by], F.col("_slice").alias("_s"), F.sum("_c").over(window).alias("_total"),
-        F.coalesce(F.sum("_c").over(window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
-    match = F.col("_slice") == F.col("_s")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    nth = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key))
-    out = h.withColumn("_nth", nth).join(F.broadcast(sizes), match)  # 256 rows for each class
-    return out.withColumn("_rank", F.col("_before") + F.col("_nth")).drop("_h", "_slice", "_s", "_nth", "_before", *[f"_{c}" for c in by])
+#: Slices of the hash in which rows are counted: three hexadecimal digits.
+_SLICE = 3
+
+
+def _parts(by: list[str]):
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+
+
+def cut(df: DataFrame, key: str, by: list[str], wanted: Callable[[Column], Column], seed: int = SEED) -> DataFrame:
+    """``df`` with ``_chosen``: whether a row is among the first ``wanted`` ones of its class, in the order of its key's hash.
+
+    ``wanted`` makes that number from ``_total``, the rows of the class, and may use windows over the classes, of which there are few.
+    Rows are counted in 4096 slices of the hash; only the slice in which a class reaches its number is put in order, to find the
+    last chosen hash, which is broadcast, one for each class.  So neither rows nor their keys are shuffled, but for that slice."""
+    h = df.withColumns({"_h": draw(key, seed), "_key": F.col(key)})
+    sliced = h.select(*by, "_key", "_h", F.substring("_h", 1, _SLICE).alias("_slice"))
+    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(_parts(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "_slice", "_c", before.alias("_before"), F.sum("_c").over(_parts(by)).alias("_total"))
+    aims = sizes.groupBy(*by, "_total").agg(F.lit(1).alias("_one")).withColumn("_want", wanted(F.col("_total")).cast("long")).drop("_one", "_total")
+    named = lambda t: t.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = lambda on: [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] or [on]
+    ends = sizes.join(F.broadcast(named(aims)), same(F.lit(True))).where("_before < _want and _want <= _before + _c")
+    ends = ends.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_s"), F.col("_want") - F.col("_before"))
+    ends = ends.toDF(*[f"_by_{c}" for c in by], "_s", "_nth")
+    near = sliced.join(F.broadcast(ends), [F.col("_slice") == F.col("_s"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)])
+    at = F.row_number().over(_parts(by).orderBy("_h", "_key"))
+    last = near.withColumn("_at", at).where("_at = _nth").select(*[F.col(f"_by_{c}") for c in by], F.struct("_h", "_key").alias("_last"))
+    out = h.join(F.broadcast(last), same(F.lit(True)), "left")
+    chosen = F.coalesce(F.struct("_h", "_key") <= F.col("_last"), F.lit(False))
+    return out.withColumn("_chosen", chosen).drop("_h", "_key", "_last", *[f"_by_{c}" for c in by])
 
 
 def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED, stratify: str | None = None) -> DataFrame:
-    """``df`` with a column ``is_test``; with ``stratify``, that share of each class."""
-    out = _ranked(df, key, [stratify] if stratify else [], seed)
-    return out.withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_total") * F.lit(test_size).cast("decimal(10,6)"))).drop("_rank", "_total")
+    """``df`` with a column ``is_test``; with ``stratify``, that share of each class.  Rows with the same key fall on the same side."""
+    share = F.lit(test_size).cast("decimal(10,6)")
+    return cut(df, key, [stratify] if stratify else [], lambda n: F.ceil(n * share), seed).withColumnRenamed("_chosen", "is_test")
 
 
 def train_test(df: DataFrame, key: str, **how) -> tuple[DataFrame, DataFrame]:
@@ -63,9 +81,7 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
 
 def undersample(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
     """As many rows of each class as the smallest has."""
-    ranked = _ranked(df, key, [label], seed)
-    least = ranked.agg(F.min("_total").alias("_least"))
-    return ranked.crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_total", "_least")
+    return cut(df, key, [label], lambda n: F.min(n).over(Window.partitionBy(F.lit(1))), seed).where("_chosen").drop("_chosen")
 
 
 def neighbours(points: DataFrame, queries: DataFrame, key: str, features: str, k: int, within: str | None = None) -> DataFrame:
@@ -82,18 +98,23 @@ def neighbours(points: DataFrame, queries: DataFrame, key: str, features: str, k
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1]
-        out = {"id": [], "neighbour": [], "distance": []}
-        if len(a) and len(b):
-            x, y = np.stack(a.x).astype(float), np.stack(b.x).astype(float)
-            ids = a.id.to_numpy()
-            for i, place in zip(b.id, y, strict=True):
-                d = np.sqrt(((x - place) ** 2).sum(axis=1))
-                ok = np.flatnonzero(ids != i)
-                best = ok[np.lexsort((ids[ok], d[ok]))[:k]]
-                out["id"] += [i] * len(best)
-                out["neighbour"] += ids[best].tolist()
-                out["distance"] += d[best].tolist()
-        return pd.DataFrame(out)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        x, y = np.stack(a.x).astype(float), np.stack(b.x).astype(float)
+        ids, own = a.id.to_numpy(), b.id.to_numpy()
+        # A product finds the nearest but for rounding; what may be among them is then measured as it is.
+        rough = (x * x).sum(axis=1) + (y * y).sum(axis=1)[:, None] - 2 * (y @ x.T)
+        rough[own[:, None] == ids] = np.inf
+        most = min(k, len(ids)) - 1
+        edge = np.partition(rough, most, axis=1)[:, most]
+        slack = 1e-9 * (1 + (x * x).sum(axis=1).max() + (y * y).sum(axis=1))
+        row, at = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
+        away = np.sqrt(((x[at] - y[row]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[at], away, row))
+        row, at, away = row[order], at[order], away[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        ok = nth < k
+        return pd.DataFrame({"id": own[row[ok]], "neighbour": ids[at[ok]], "distance": away[ok]})
 
     found = left.unionByName(right).groupBy("p", "q", "tag").applyInPandas(meet, "id long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
@@ -113,12 +134,15 @@ def _synthetic(points: DataFrame, wanted: DataFrame, near: DataFrame, key: str,
 def smote(df: DataFrame, key: str, features: str, label: str, k: int = 5, seed: int = SEED) -> DataFrame:
     """The rows, and synthetic ones (null keys) until every class has as many as the largest."""
     points = df.select(key, F.col(features).cast("array<double>").alias(features), label)
-    ranked = _ranked(points, key, [label], seed)
-    most = ranked.agg(F.max("_total").alias("_most"))
-    gap = ranked.crossJoin(F.broadcast(most)).withColumn("_gap", F.col("_most") - F.col("_total"))
-    times = F.floor(F.col("_gap") / F.col("_total")) + F.when(F.col("_rank") <= F.col("_gap") % F.col("_total"), 1).otherwise(0)
-    wanted = gap.select(key, times.alias("times")).where("times > 0")
-    return points.unionByName(_synthetic(points, wanted, neighbours(points, points, key, features, k, label), key, features, label, seed))
+    counts = points.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_gap", F.max("_n").over(Window.partitionBy(F.lit(1))) - F.col("_n"))
+    # Every row of a class gives as many new ones as go evenly; the first rows in hash order give one more.
+    gap = F.max(F.col("_total")).over(Window.partitionBy(F.lit(1))) - F.col("_total")
+    more = cut(points.select(key, label), key, [label], lambda n: gap % n, seed)
+    times = F.floor(F.col("_gap") / F.col("_n")) + F.col("_chosen").cast("long")
+    wanted = more.join(F.broadcast(counts), label).select(key, times.alias("times")).where("times > 0")
+    # Only rows that give new ones need neighbours.
+    asked = points.join(wanted.select(key), key, "left_semi")
+    return points.unionByName(_synthetic(points, wanted, neighbours(points, asked, key, features, k, label), key, features, label, seed))
 
 
 def adasyn(df: DataFrame, key: str, features: str, label: str, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -151,15 +175,18 @@ def smote_enn(df: DataFrame, key: str, features: str, label: str, seed: int = SE
     return edited(named, key, features, label)
 
 
+#: Ways to even out classes.
+METHODS = {
+    "class_weights": lambda df, key, features, label: with_weights(df, label), "oversampling": smote, "adasyn": adasyn,
+    "undersampling": lambda df, key, features, label: undersample(df, key, label), "smote_enn": smote_enn,
+}
+
+
 def resample(df: DataFrame, method: str, key: str, features: str, label: str) -> DataFrame:
-    """One of: class_weights, oversampling, adasyn, undersampling, smote_enn.  For training rows only."""
-    ways = {
-        "class_weights": lambda: with_weights(df, label), "oversampling": lambda: smote(df, key, features, label), "adasyn": lambda: adasyn(df, key, features, label),
-        "undersampling": lambda: undersample(df, key, label), "smote_enn": lambda: smote_enn(df, key, features, label),
-    }
-    if method not in ways:
-        raise ValueError(f"unknown method {method!r}; there are {', '.join(ways)}")
-    return ways[method]()
+    """By one of METHODS.  For training rows only."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; there are {', '.join(METHODS)}")
+    return METHODS[method](df, key, features, label)
 
 
 def random_rows(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:

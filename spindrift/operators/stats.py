@@ -85,12 +85,12 @@ def rarest_characters(df: DataFrame, text: str, n: int = 50) -> DataFrame:
     return characters(df, text).orderBy("n", "character").limit(n)
 
 
-def top_ngrams(df: DataFrame, text: str, size: int, n: int) -> DataFrame:
-    """Most frequent n-grams of the words left by the vectorizer's stop list."""
-    left = T.without(T.analyzed(F.col(text)), T.vectorizer_stop_words())
+def top_ngrams(df: DataFrame, text: str, size: int, n: int, stop: list[str] | None = None) -> DataFrame:
+    """Most frequent n-grams of the words left by a stop list, the vectorizers' own unless another is given."""
+    left = T.without(T.analyzed(F.col(text)), T.VECTORIZER_STOP_WORDS if stop is None else stop)
     held = df.select(left.alias("_words"))
     # The outer form, as Spark would copy the whole expression into a filter below the inner one.
-    grams = held.select(F.explode_outer(T.ngrams(F.col("_words"), size, size)).alias("ngram"))
+    grams = held.select(F.explode_outer(T.let(F.col("_words"), lambda w: T.ngrams(w, size, size))).alias("ngram"))
     return top(grams.where("ngram is not null"), "ngram", n)
 
 
@@ -107,6 +107,21 @@ def cloud(df: DataFrame, words_column: Column, n: int = 200) -> DataFrame:
     return found.select("word", "n", (F.col("n") / F.max("n").over(Window.partitionBy())).alias("weight"))
 
 
-def concatenated(df: DataFrame, text: str, order: str) -> DataFrame:
-    """All texts joined by blanks in one value; only for small inputs, as one value can't be distributed."""
-    return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias("corpus"))
+#: Ranges of the order in which lengths are summed up.
+RANGES = 4096
+
+
+def concatenated(df: DataFrame, text: str, order: str, then: str) -> DataFrame:
+    """The corpus of all texts joined by single blanks, in the order of two numbers, as rows (order, then, text, start).
+
+    ``start`` is where the text begins in the whole: no value holds the corpus, which no machine could.  Lengths are
+    summed up in ranges of ``order``, then over the ranges, of which there are few.  Null texts are left out."""
+    rows = df.where(F.col(text).isNotNull()).select(order, then, text, (F.char_length(text) + 1).cast("long").alias("_n"))
+    span = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    bucket = F.floor((F.col(order) - F.col("_lo")) * F.lit(RANGES) / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    placed = rows.crossJoin(F.broadcast(span)).withColumn("_b", bucket).drop("_lo", "_hi")
+    sums = placed.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col("_b").alias("_of"), earlier("_s", Window.partitionBy(F.lit(1)).orderBy("_b")).alias("_first"))
+    own = earlier("_n", Window.partitionBy("_b").orderBy(order, then, text))
+    return placed.withColumn("_own", own).join(F.broadcast(starts), F.col("_b") == F.col("_of")).select(order, then, text, (F.col("_first") + F.col("_own")).alias("start"))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import cleaning, evaluate, features, kpi, models, sampling, stats
-from spindrift.plans.registry import MODELS
+from spindrift.plans.registry import Models, Runs, signature, signature_rows
 from spindrift.sources import tables
 
 _QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, Callable[[], str]] = {}
 
 
 def queries() -> dict[str, Callable]:
@@ -22,10 +23,12 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql() for name, sql in _SQL.items()}
 
 
-def query(sql: str | None = None):
+def query(sql: Callable[[], str] | None = None):
+    """Registers a query, and what makes the SQL with its rows, which is asked only when the SQL is."""
+
     def add(f):
         name = f.__name__
         _QUERIES[name] = f
@@ -43,9 +46,14 @@ def _read(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark, sf_dir, name) -> DataFrame:
+    """A table whose texts are work: a small one is dealt to all cores."""
+    return tables.spread(_read(spark, sf_dir, name))
+
+
 def comments(spark, sf_dir) -> DataFrame:
     """doc_id, clean_comment, category: documents with a sentiment taken from their labels."""
-    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    docs, labels = _texts(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     category = F.expr("CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END").cast("int")
     return docs.join(labels, "doc_id", "left").select("doc_id", F.col("text").alias("clean_comment"), category.alias("category"))
 
@@ -131,17 +139,17 @@ def cleaned(spark, sf_dir) -> DataFrame:
 # Sources -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_COMMENTS} SELECT doc_id, CASE WHEN clean_comment NOT IN ({_listed(cleaning.NA_TOKENS)}) THEN clean_comment END AS clean_comment, category FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, CASE WHEN clean_comment NOT IN ({_listed(cleaning.NA_TOKENS)}) THEN clean_comment END AS clean_comment, category FROM comments")
 def s01_scan_with_na_tokens(spark, sf_dir):
     return comments(spark, sf_dir).select("doc_id", cleaning.na_to_null(F.col("clean_comment")).alias("clean_comment"), "category")
 
 
-@query(f"WITH {_COMMENTS} SELECT doc_id, coalesce(clean_comment, '') AS clean_comment, category FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, coalesce(clean_comment, '') AS clean_comment, category FROM comments")
 def s02_scan_filled(spark, sf_dir):
     return comments(spark, sf_dir).na.fill("")
 
 
-@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL")
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL")
 def s03_scan_preprocessed(spark, sf_dir):
     return cleaning.drop_null(comments(spark, sf_dir), ["clean_comment", "category"])
 
@@ -152,32 +160,34 @@ def _bodies(spark, sf_dir):
     return turns.groupBy("conv_id").agg(F.to_json(F.struct(texts.alias("comments"))).alias("body"))
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INT) AS position, text AS comment FROM conversations")
+@query(lambda: "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INT) AS position, text AS comment FROM conversations")
 def s11_request_rows(spark, sf_dir):
     return tables.request_comments(_bodies(spark, sf_dir)).drop("body")
 
 
-@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT) AS k FROM events")
+@query(lambda: "SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT) AS k FROM events")
 def s12_objects_to_table(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k")
 
 
-@query()
+@query(lambda: """WITH t AS (SELECT conv_id AS number, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS position, text, coalesce(nullif(role, ''), 'Unknown') AS authorId FROM conversations WHERE turn IS NOT NULL),
+ n AS (SELECT number, count(*) AS n FROM t GROUP BY 1), b AS (SELECT number, coalesce(sum(n) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT number, CAST(position AS INT) AS position, text, '2024-01-01 00:00:00' AS published, authorId FROM t JOIN b USING (number) WHERE before < 500""")
 def s13_comment_pages(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").where("turn is not null")
     leaf = F.struct(F.col("text").alias("textOriginal"), F.lit("2024-01-01T00:00:00Z").alias("publishedAt"), F.struct(F.col("role").alias("value")).alias("authorChannelId"))
-    item = F.struct(F.struct(F.struct(leaf.alias("snippet")).alias("topLevelComment")).alias("snippet"))
-    pages = turns.groupBy(F.col("conv_id").alias("number")).agg(F.collect_list(item).alias("items")).select("number", F.to_json(F.struct("items")).alias("page"))
-    return tables.comment_pages(pages)
+    item = F.struct("turn", "text", F.struct(F.struct(leaf.alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    pages = turns.groupBy(F.col("conv_id").alias("number")).agg(F.array_sort(F.collect_list(item)).alias("items")).select("number", F.to_json(F.struct("items")).alias("page"))
+    return tables.comment_pages(pages).select("number", "position", "text", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("published"), "authorId")
 
 
-@query("SELECT conv_id, turn, coalesce(nullif(role, ''), 'Unknown') AS author FROM conversations")
+@query(lambda: "SELECT conv_id, turn, coalesce(nullif(role, ''), 'Unknown') AS author FROM conversations")
 def s14_nested_default(spark, sf_dir):
     nested = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.col("role").alias("value")).alias("authorChannelId"))
     return nested.select("conv_id", "turn", tables.author(F.col("authorChannelId.value")).alias("author"))
 
 
-@query(f"SELECT page_id, regexp_extract(url, '{tables.VIDEO_URL}', 1) AS video_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+@query(lambda: f"SELECT page_id, regexp_extract(url, '{tables.VIDEO_URL}', 1) AS video_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
 def s15_url_extraction(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", tables.video_id(F.col("url")).alias("video_id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
@@ -191,103 +201,122 @@ def s16_dense_sample(spark, sf_dir):
 # Row cleaning ------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND doc_id IS NOT NULL")
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND doc_id IS NOT NULL")
 def f01_drop_any_null(spark, sf_dir):
     return cleaning.drop_null(comments(spark, sf_dir))
 
 
-@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE category IS NOT NULL")
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE category IS NOT NULL")
 def f02_drop_null_in_subset(spark, sf_dir):
     return cleaning.drop_null(comments(spark, sf_dir), ["category"])
 
 
-@query(f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments")
 def f03_drop_duplicates(spark, sf_dir):
     return cleaning.drop_duplicates(comments(spark, sf_dir).select("clean_comment", "category"))
 
 
-@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} <> ''")
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} <> ''")
 def f04_drop_blank(spark, sf_dir):
     return cleaning.drop_blank(comments(spark, sf_dir), "clean_comment")
 
 
-@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} = ''")
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} = ''")
 def f05_blank_rows(spark, sf_dir):
     return comments(spark, sf_dir).where(cleaning.is_blank(F.col("clean_comment")))
 
 
-@query(f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND {_sql_strip('clean_comment')} <> ''")
+@query(lambda: f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND {_sql_strip('clean_comment')} <> ''")
 def f06_ingest_clean(spark, sf_dir):
     return cleaning.ingest_clean(comments(spark, sf_dir), "clean_comment", ["clean_comment", "category"])
 
 
-@query(f"WITH {_COMMENTS} SELECT count(*) - count(doc_id) AS doc_id, count(*) - count(clean_comment) AS clean_comment, count(*) - count(category) AS category FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT count(*) - count(doc_id) AS doc_id, count(*) - count(clean_comment) AS clean_comment, count(*) - count(category) AS category FROM comments")
 def f07_null_counts(spark, sf_dir):
     return cleaning.null_counts(comments(spark, sf_dir))
 
 
-@query(f"WITH {_COMMENTS} SELECT length(clean_comment) % 3 AS bucket, count(*) AS n FROM comments WHERE category IS NULL GROUP BY 1")
-def f08_null_rows_by_group(spark, sf_dir):
-    return comments(spark, sf_dir).where("category is null").groupBy((F.char_length("clean_comment") % 3).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+@query(lambda: f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments JOIN documents USING (doc_id) WHERE lang <> 'en' OR text IS NULL GROUP BY 1")
+def f08_null_text_labels(spark, sf_dir):
+    """Labels beside null texts; texts in other languages than English stand for null ones, as the table has none."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("clean_comment"))
+    held = docs.join(comments(spark, sf_dir).select("doc_id", "category"), "doc_id")
+    return cleaning.null_label_counts(held, "clean_comment", "category")
 
 
-@query(f"WITH {_COMMENTS} SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM comments GROUP BY clean_comment, category)")
+@query(lambda: f"WITH {_COMMENTS} SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM comments GROUP BY clean_comment, category)")
 def f09_duplicate_count(spark, sf_dir):
     return cleaning.duplicate_count(comments(spark, sf_dir).select("clean_comment", "category"))
 
 
-@query(f"WITH {_COMMENTS} SELECT doc_id, clean_comment, category FROM (SELECT *, row_number() OVER (PARTITION BY clean_comment, category ORDER BY doc_id) AS nth FROM comments) WHERE nth > 1")
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, clean_comment, category FROM (SELECT *, row_number() OVER (PARTITION BY clean_comment, category ORDER BY doc_id) AS nth FROM comments) WHERE nth > 1")
 def f10_duplicate_rows(spark, sf_dir):
     return cleaning.duplicate_rows(comments(spark, sf_dir), ["clean_comment", "category"], "doc_id")
 
 
-@query(f"WITH {_COMMENTS} SELECT * FROM comments WHERE category = 1")
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE category = 1")
 def f11_label_filter(spark, sf_dir):
     return comments(spark, sf_dir).where("category = 1")
 
 
-@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(url, 'https?://(?:www\.)?[^\s/$.?#]+\.[^\s]*')")
+@query(lambda: f"SELECT page_id, url FROM pages WHERE regexp_matches(url, '{cleaning.URL}')")
 def f12_url_rows(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", "url").where(F.col("url").rlike(cleaning.URL))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE contains(text, chr(10))")
+@query(lambda: "SELECT conv_id, turn, text FROM conversations WHERE contains(text, chr(10))")
 def f13_newline_rows(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text").where(F.contains("text", F.lit("\n")))
 
 
-@query(f"WITH {_COMMENTS} SELECT count(*) FILTER (WHERE starts_with(clean_comment, ' ') OR ends_with(clean_comment, ' ')) AS edged FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT count(*) FILTER (WHERE starts_with(clean_comment, ' ') OR ends_with(clean_comment, ' ')) AS edged FROM comments")
 def f14_edge_spaces(spark, sf_dir):
     return comments(spark, sf_dir).agg(F.count_if(cleaning.edge_space(F.col("clean_comment"))).alias("edged"))
 
 
-@query(f"WITH {_COMMENTS} SELECT clean_comment FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT clean_comment FROM comments")
 def f15_projection(spark, sf_dir):
     return comments(spark, sf_dir).select("clean_comment")
 
 
-@query(f"WITH {_COMMENTS} SELECT count(*) AS n_rows, CAST(3 AS INT) AS n_columns FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT count(*) AS n_rows, CAST(3 AS INT) AS n_columns FROM comments")
 def f16_shape(spark, sf_dir):
     df = comments(spark, sf_dir)
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-@query()
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments ORDER BY doc_id LIMIT 5")
+def f16_head(spark, sf_dir):
+    return cleaning.head(comments(spark, sf_dir), "doc_id")
+
+
+@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments ORDER BY doc_id DESC LIMIT 50")
 def f16_tail(spark, sf_dir):
-    return comments(spark, sf_dir).orderBy(F.desc("doc_id")).limit(50)
+    return cleaning.tail(comments(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {_COMMENTS} SELECT doc_id, CAST(len({_sql_tokens('clean_comment')}) AS INT) AS word_count, CAST(length(clean_comment) AS INT) AS num_chars FROM comments")
+@query(lambda: f"WITH {_COMMENTS} SELECT clean_comment FROM comments ORDER BY md5('42|sample|' || doc_id), doc_id LIMIT 1")
+def f16_sample(spark, sf_dir):
+    return sampling.random_rows(comments(spark, sf_dir), 1, "doc_id").select("clean_comment")
+
+
+@query(lambda: f"""WITH {_COMMENTS} SELECT CAST(0 AS INT) AS position, 'doc_id' AS name, 'bigint' AS type, count(doc_id) AS non_null FROM comments
+  UNION ALL SELECT 1, 'clean_comment', 'string', count(clean_comment) FROM comments UNION ALL SELECT 2, 'category', 'int', count(category) FROM comments""")
+def f16_info(spark, sf_dir):
+    return cleaning.info(comments(spark, sf_dir))
+
+
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, CAST(len({_sql_tokens('clean_comment')}) AS INT) AS word_count, CAST(length(clean_comment) AS INT) AS num_chars FROM comments")
 def f17_derived_columns(spark, sf_dir):
     return comments(spark, sf_dir).select("doc_id", T.word_count(F.col("clean_comment")).alias("word_count"), F.char_length("clean_comment").alias("num_chars"))
 
 
-@query(f"WITH {_COMMENTS} SELECT doc_id, CASE category WHEN -1 THEN 2 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS label FROM comments WHERE category IN (-1, 0, 1)")
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, CASE category WHEN -1 THEN 2 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS label FROM comments WHERE category IN (-1, 0, 1)")
 def f18_remap(spark, sf_dir):
     return comments(spark, sf_dir).select("doc_id", cleaning.remap(F.col("category"), models.TO_CLASS).alias("label")).where("label is not null")
 
 
-@query("SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS INT) AS position FROM events ORDER BY event_id LIMIT 25")
+@query(lambda: "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS INT) AS position FROM events ORDER BY event_id LIMIT 25")
 def f20_head_in_order(spark, sf_dir):
     return cleaning.head_in_order(_read(spark, sf_dir, "events").select("event_id"), "event_id")
 
@@ -300,7 +329,7 @@ def _scalar(name: str, column: Callable, sql: str, kind: str = "") -> None:
         return comments(spark, sf_dir).select("doc_id", column(F.col("clean_comment")).alias("value"))
 
     run.__name__ = name
-    query(f"WITH {_COMMENTS} SELECT doc_id, {f'CAST({sql} AS {kind})' if kind else sql} AS value FROM comments")(run)
+    query(lambda: f"WITH {_COMMENTS} SELECT doc_id, {f'CAST({sql} AS {kind})' if kind else sql} AS value FROM comments")(run)
 
 
 _X = "clean_comment"
@@ -320,39 +349,32 @@ _scalar("t15_split_word_count", T.word_count, f"len({_sql_tokens(_X)})", "INT")
 _scalar("t16_analyzed", lambda c: F.array_join(T.analyzed(c), "|"), f"array_to_string({_sql_analyzed(_X)}, '|')")
 
 
-@query(f"WITH {_COMMENTS}, w AS (SELECT doc_id, {_sql_analyzed(_X)} AS t FROM comments) SELECT doc_id, array_to_string({_sql_ngrams('t', 1, 3)}, '|') AS value FROM w")
+@query(lambda: f"WITH {_COMMENTS}, w AS (SELECT doc_id, {_sql_analyzed(_X)} AS t FROM comments) SELECT doc_id, array_to_string({_sql_ngrams('t', 1, 3)}, '|') AS value FROM w")
 def t17_ngrams(spark, sf_dir):
     words = comments(spark, sf_dir).select("doc_id", T.analyzed(F.col("clean_comment")).alias("words"))
     return words.select("doc_id", F.array_join(T.ngrams(F.col("words"), 1, 3), "|").alias("value"))
 
 
-_scalar(
-    "t18_vectorizer_stop_words", lambda c: T.joined(T.without(T.analyzed(c), T.vectorizer_stop_words())),
-    f"array_to_string({_sql_without(_sql_analyzed(_X), ['i'])}, ' ')",
-)
+_scalar("t18_vectorizer_stop_words", lambda c: T.joined(T.without(T.analyzed(c), T.VECTORIZER_STOP_WORDS)), f"array_to_string({_sql_without(_sql_analyzed(_X), T.VECTORIZER_STOP_WORDS)}, ' ')")
 _scalar("t19_casts", lambda c: F.try_to_number(F.char_length(c).cast("string"), F.lit("999999999")).cast("int").cast("string"), f"CAST(length({_X}) AS VARCHAR)")
 _scalar("t20_fixed", lambda c: T.fixed(F.char_length(c).cast("decimal(20,0)") / F.lit(8).cast("decimal(20,0)")).cast("double"), f"CAST(round(CAST(length({_X}) AS DECIMAL(18,3)) * 0.125, 2) AS DOUBLE)")
 _scalar("t21_percent_label", lambda c: T.percent_label(F.char_length(c) / 4), f"printf('%.1f%%', length({_X}) / 4)")
-del _SQL["t18_vectorizer_stop_words"]
 
-_WORDS = f"{_CLEANED}, words AS (SELECT DISTINCT unnest(string_split(cleaned, ' ')) AS word FROM cleaned)"
-_RULES = " UNION ALL ".join(
-    ["SELECT word, 0 AS rank, word AS candidate FROM words"]
-    + [f"SELECT word, 1, '{new}' FROM words WHERE word = '{old}'" for old, new in T.NOUN_EXCEPTIONS.items()]
-    + [f"SELECT word, {k}, left(word, length(word) - {len(old)}) || '{new}' FROM words WHERE ends_with(word, '{old}')" for k, (old, new) in enumerate(T.NOUN_RULES, 2)]
-)
-_LEMMAS = f"""{_WORDS}, tried AS ({_RULES}),
- lemmas AS (SELECT word, candidate AS lemma FROM (SELECT t.*, row_number() OVER (PARTITION BY t.word ORDER BY length(candidate), rank) AS nth FROM tried t
-   WHERE candidate IN (SELECT word FROM words) AND candidate <> '') WHERE nth = 1 AND word <> '')"""
 
 
-@query(f"WITH {_LEMMAS} SELECT * FROM lemmas")
+def _sql_lemma(w: str) -> str:
+    irregular = " ".join(f"WHEN {w} = '{old}' THEN '{new}'" for old, new in T.NOUN_EXCEPTIONS.items())
+    return f"""CASE {irregular} WHEN {w} = 'men' THEN 'man' WHEN length({w}) < 4 OR {w} IN ({_listed(T.NO_PLURALS)}) OR regexp_matches({w}, '(ss|us|is)$') THEN {w}
+  WHEN ends_with({w}, 'men') THEN left({w}, length({w}) - 2) || 'an' WHEN NOT ends_with({w}, 's') THEN {w} WHEN ends_with({w}, 'ies') AND length({w}) > 4 THEN left({w}, length({w}) - 3) || 'y'
+  WHEN regexp_matches({w}, '(ch|sh|ss|x|z)es$') THEN left({w}, length({w}) - 2) ELSE left({w}, length({w}) - 1) END"""
+
+
+@query(lambda: f"WITH {_CLEANED}, words AS (SELECT DISTINCT unnest({_sql_tokens('cleaned')}) AS word FROM cleaned) SELECT word, {_sql_lemma('word')} AS lemma FROM words")
 def t07_lemmas(spark, sf_dir):
-    return T.lemma_map(cleaned(spark, sf_dir).select(F.explode(T.tokens(F.col("cleaned"))).alias("word")))
+    return cleaned(spark, sf_dir).select(F.explode(T.tokens(F.col("cleaned"))).alias("word")).distinct().withColumn("lemma", T.lemma(F.col("word")))
 
 
-@query(f"""WITH {_LEMMAS}, placed AS (SELECT doc_id, unnest(string_split(cleaned, ' ')) AS word, generate_subscripts(string_split(cleaned, ' '), 1) AS pos FROM cleaned)
-SELECT c.doc_id, coalesce(string_agg(l.lemma, ' ' ORDER BY p.pos), '') AS normalised FROM comments c LEFT JOIN placed p USING (doc_id) LEFT JOIN lemmas l USING (word) GROUP BY c.doc_id""")
+@query(lambda: f"WITH {_CLEANED} SELECT doc_id, array_to_string(list_transform({_sql_tokens('cleaned')}, lambda w: {_sql_lemma('w')}), ' ') AS normalised FROM cleaned")
 def t09_normalised(spark, sf_dir):
     return T.normalise(comments(spark, sf_dir), "doc_id", "clean_comment", "normalised").select("doc_id", "normalised")
 
@@ -360,12 +382,12 @@ def t09_normalised(spark, sf_dir):
 # Corpus statistics -------------------------------------------------------------------------------
 
 
-@query(f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments GROUP BY 1")
+@query(lambda: f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments GROUP BY 1")
 def a01_class_counts(spark, sf_dir):
     return stats.class_counts(comments(spark, sf_dir))
 
 
-@query(f"WITH {_COMMENTS} SELECT category, round(count(*) * 100 / sum(count(*)) OVER (), 2) AS share FROM comments WHERE category IS NOT NULL GROUP BY 1")
+@query(lambda: f"WITH {_COMMENTS} SELECT category, round(count(*) * 100 / sum(count(*)) OVER (), 2) AS share FROM comments WHERE category IS NOT NULL GROUP BY 1")
 def a02_class_shares(spark, sf_dir):
     return stats.class_shares(comments(spark, sf_dir))
 
@@ -379,13 +401,13 @@ _SIZED = f"""{_COMMENTS}, sized AS (SELECT doc_id, category, len({_sql_tokens(_X
   len(list_filter({_sql_tokens(_X)}, lambda t: t IN ({_listed(T.STOP_WORDS)}))) AS num_stop_words FROM comments)"""
 
 
-@query(f"""WITH {_SIZED} SELECT count(word_count) AS n, round(avg(word_count), 6) AS mean, round(stddev_samp(word_count), 6) AS std, CAST(min(word_count) AS INT) AS min,
+@query(lambda: f"""WITH {_SIZED} SELECT count(word_count) AS n, round(avg(word_count), 6) AS mean, round(stddev_samp(word_count), 6) AS std, CAST(min(word_count) AS INT) AS min,
  quantile_cont(word_count, 0.25) AS p25, quantile_cont(word_count, 0.5) AS p50, quantile_cont(word_count, 0.75) AS p75, CAST(max(word_count) AS INT) AS max FROM sized""")
 def a03_describe(spark, sf_dir):
     return stats.describe(_sized(spark, sf_dir), "word_count").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query(f"WITH {_SIZED} SELECT category, quantile_cont(word_count, 0.5) AS median FROM sized GROUP BY 1")
+@query(lambda: f"WITH {_SIZED} SELECT category, quantile_cont(word_count, 0.5) AS median FROM sized GROUP BY 1")
 def a04_median_by_class(spark, sf_dir):
     return stats.median_by(_sized(spark, sf_dir), "category", "word_count")
 
@@ -399,34 +421,34 @@ SELECT {pick}q1, q2, q3, CAST(min(word_count) FILTER (WHERE word_count BETWEEN q
  count(*) FILTER (WHERE word_count NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM sized s JOIN b ON {join} GROUP BY {pick}q1, q2, q3"""
 
 
-@query(_sql_box(False))
+@query(lambda: _sql_box(False))
 def a05_box(spark, sf_dir):
     return stats.box(_sized(spark, sf_dir), "word_count")
 
 
-@query(_sql_box(True))
+@query(lambda: _sql_box(True))
 def a05_box_by_class(spark, sf_dir):
     return stats.box(_sized(spark, sf_dir), "word_count", "category")
 
 
-@query(f"WITH {_SIZED} SELECT CAST(floor(word_count / 50) AS BIGINT) AS bin, count(*) AS n FROM sized GROUP BY 1")
+@query(lambda: f"WITH {_SIZED} SELECT CAST(floor(word_count / 50) AS BIGINT) AS bin, count(*) AS n FROM sized GROUP BY 1")
 def a06_histogram(spark, sf_dir):
     return stats.histogram(_sized(spark, sf_dir), "word_count", 50)
 
 
-@query(f"""WITH {_SIZED}, h AS (SELECT category, count(*) AS n, stddev_samp(num_stop_words) * pow(count(*), -0.2) AS h FROM sized WHERE category IS NOT NULL GROUP BY 1),
+@query(lambda: f"""WITH {_SIZED}, h AS (SELECT category, count(*) AS n, stddev_samp(num_stop_words) * pow(count(*), -0.2) AS h FROM sized WHERE category IS NOT NULL GROUP BY 1),
  grid AS (SELECT unnest(range(0, 21)) * 10.0 AS x)
 SELECT s.category, CAST(x AS DOUBLE) AS x, round(avg(exp(-pow((x - num_stop_words) / h.h, 2) / 2) / (h.h * sqrt(2 * pi()))), 6) AS density FROM sized s JOIN h USING (category), grid GROUP BY 1, 2""")
 def a07_kde(spark, sf_dir):
     return stats.kde(_sized(spark, sf_dir).where("category is not null"), "num_stop_words", "category", 0.0, 200.0, 20).withColumn("density", F.round("density", 6))
 
 
-@query(f"WITH {_SIZED} SELECT category, CAST(word_count AS INT) AS word_count FROM sized")
+@query(lambda: f"WITH {_SIZED} SELECT category, CAST(word_count AS INT) AS word_count FROM sized")
 def a08_scatter(spark, sf_dir):
     return _sized(spark, sf_dir).select("category", "word_count")
 
 
-@query(f"WITH {_COMMENTS}, w AS (SELECT unnest({_sql_tokens(_X)}) AS word FROM comments) SELECT word, count(*) AS n FROM w WHERE word IN ({_listed(T.STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+@query(lambda: f"WITH {_COMMENTS}, w AS (SELECT unnest({_sql_tokens(_X)}) AS word FROM comments) SELECT word, count(*) AS n FROM w WHERE word IN ({_listed(T.STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
 def a09_top_stop_words(spark, sf_dir):
     return stats.top_stop_words(comments(spark, sf_dir), "clean_comment")
 
@@ -436,38 +458,38 @@ _CHARS = f"""{_COMMENTS}, chars AS (SELECT character, CAST(sum(n) AS BIGINT) AS
   UNION ALL SELECT ' ', count(*) - 1 FROM comments WHERE clean_comment IS NOT NULL) GROUP BY 1)"""
 
 
-@query(f"WITH {_CHARS} SELECT * FROM chars")
+@query(lambda: f"WITH {_CHARS} SELECT * FROM chars")
 def a10_characters(spark, sf_dir):
     return stats.characters(comments(spark, sf_dir), "clean_comment")
 
 
-@query(f"WITH {_CHARS} SELECT * FROM chars ORDER BY n, character LIMIT 50")
+@query(lambda: f"WITH {_CHARS} SELECT * FROM chars ORDER BY n, character LIMIT 50")
 def a11_rarest_characters(spark, sf_dir):
     return stats.rarest_characters(comments(spark, sf_dir), "clean_comment")
 
 
 def _sql_top_ngrams(n: int, k: int) -> str:
-    left = _sql_without(_sql_analyzed(_X), T.vectorizer_stop_words())
+    left = _sql_without(_sql_analyzed(_X), T.VECTORIZER_STOP_WORDS)
     return f"""WITH {_COMMENTS}, w AS (SELECT {left} AS t FROM comments), g AS (SELECT unnest({_sql_ngrams('t', n, n)}) AS ngram FROM w)
 SELECT ngram, count(*) AS n FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k}"""
 
 
-@query(_sql_top_ngrams(2, 25))
+@query(lambda: _sql_top_ngrams(2, 25))
 def a12_top_bigrams(spark, sf_dir):
     return stats.top_ngrams(comments(spark, sf_dir), "clean_comment", 2, 25)
 
 
-@query(_sql_top_ngrams(3, 25))
+@query(lambda: _sql_top_ngrams(3, 25))
 def a13_top_trigrams(spark, sf_dir):
     return stats.top_ngrams(comments(spark, sf_dir), "clean_comment", 3, 25)
 
 
-@query(f"WITH {_CLEANED}, w AS (SELECT unnest({_sql_tokens('cleaned')}) AS word FROM cleaned) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query(lambda: f"WITH {_CLEANED}, w AS (SELECT unnest({_sql_tokens('cleaned')}) AS word FROM cleaned) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def a14_top_words(spark, sf_dir):
     return stats.top(stats.words(cleaned(spark, sf_dir), "cleaned"), "word", 50)
 
 
-@query(f"""WITH {_CLEANED}, w AS (SELECT unnest({_sql_tokens('cleaned')}) AS word, category FROM cleaned)
+@query(lambda: f"""WITH {_CLEANED}, w AS (SELECT unnest({_sql_tokens('cleaned')}) AS word, category FROM cleaned)
 SELECT word, count(*) FILTER (WHERE category = -1) AS negative, count(*) FILTER (WHERE category = 0) AS neutral, count(*) FILTER (WHERE category = 1) AS positive, count(*) AS total
 FROM w GROUP BY 1 ORDER BY total DESC, word LIMIT 20 OFFSET 10""")
 def a15_top_words_by_class(spark, sf_dir):
@@ -479,36 +501,36 @@ def _sql_cloud(tokens: str, where: str = "") -> str:
 SELECT word, n, round(n / max(n) OVER (), 6) AS weight FROM t"""
 
 
-@query(_sql_cloud(_sql_tokens("cleaned")))
+@query(lambda: _sql_cloud(_sql_tokens("cleaned")))
 def a16_word_cloud(spark, sf_dir):
     return stats.cloud(cleaned(spark, sf_dir), T.tokens(F.col("cleaned"))).withColumn("weight", F.round("weight", 6))
 
 
-@query(_sql_cloud(_sql_tokens("cleaned"), "WHERE category = 1"))
+@query(lambda: _sql_cloud(_sql_tokens("cleaned"), "WHERE category = 1"))
 def a16_word_cloud_of_class(spark, sf_dir):
     return stats.cloud(cleaned(spark, sf_dir).where("category = 1"), T.tokens(F.col("cleaned"))).withColumn("weight", F.round("weight", 6))
 
 
-@query(_sql_cloud(_sql_without(_sql_tokens("cleaned"), T.STOP_WORDS)))
+@query(lambda: _sql_cloud(_sql_without(_sql_tokens("cleaned"), T.STOP_WORDS)))
 def a17_request_word_cloud(spark, sf_dir):
     return stats.cloud(cleaned(spark, sf_dir), T.without(T.tokens(F.col("cleaned")), T.STOP_WORDS)).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(lambda: """SELECT conv_id, turn, text, CAST(coalesce(sum(length(text) + 1) OVER (ORDER BY conv_id, turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM conversations WHERE text IS NOT NULL""")
 def a30_concatenated(spark, sf_dir):
-    turns = _read(spark, sf_dir, "conversations")
-    return stats.concatenated(turns.where("turn = 0 or turn = 1"), "text", "conv_id").select(F.char_length("corpus").alias("length"))
+    return stats.concatenated(_read(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
 
 
 # Indicators and trends ---------------------------------------------------------------------------
 
 
-@query(f"WITH {_SCORED} SELECT count(*) FILTER (WHERE sentiment = -1) AS negative, count(*) FILTER (WHERE sentiment = 0) AS neutral, count(*) FILTER (WHERE sentiment = 1) AS positive FROM scored")
+@query(lambda: f"WITH {_SCORED} SELECT count(*) FILTER (WHERE sentiment = -1) AS negative, count(*) FILTER (WHERE sentiment = 0) AS neutral, count(*) FILTER (WHERE sentiment = 1) AS positive FROM scored")
 def a18_sentiment_counts(spark, sf_dir):
     return kpi.sentiment_counts(scored(spark, sf_dir))
 
 
-@query(f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE sentiment = 1) AS p, count(*) FILTER (WHERE sentiment = 0) AS u, count(*) FILTER (WHERE sentiment = -1) AS g FROM scored),
+@query(lambda: f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE sentiment = 1) AS p, count(*) FILTER (WHERE sentiment = 0) AS u, count(*) FILTER (WHERE sentiment = -1) AS g FROM scored),
  r AS (SELECT 1 AS position, 'Positive' AS label, p AS n FROM c UNION ALL SELECT 2, 'Neutral', u FROM c UNION ALL SELECT 3, 'Negative', g FROM c)
 SELECT position, label, n, round(n * 100 / sum(n) OVER (), 6) AS share, printf('%.1f%%', n * 100 / sum(n) OVER ()) AS shown FROM r""")
 def a19_pie(spark, sf_dir):
@@ -533,32 +555,32 @@ def _ratio(a: str) -> str:
 _AVG_WORDS, _AVG = f"{_ratio('words')} / 100", f"{_ratio('sentiment')}"
 
 
-@query(f"WITH {_KPI} SELECT total_comments FROM k")
+@query(lambda: f"WITH {_KPI} SELECT total_comments FROM k")
 def a20_total_comments(spark, sf_dir):
     return _kpis(spark, sf_dir).select("total_comments")
 
 
-@query(f"WITH {_KPI} SELECT unique_commenters FROM k")
+@query(lambda: f"WITH {_KPI} SELECT unique_commenters FROM k")
 def a21_unique_commenters(spark, sf_dir):
     return _kpis(spark, sf_dir).select("unique_commenters")
 
 
-@query(f"WITH {_KPI} SELECT CAST({_AVG_WORDS} AS DOUBLE) AS average_words FROM k")
+@query(lambda: f"WITH {_KPI} SELECT CAST({_AVG_WORDS} AS DOUBLE) AS average_words FROM k")
 def a22_average_words(spark, sf_dir):
     return _kpis(spark, sf_dir).select("average_words")
 
 
-@query(f"WITH {_KPI} SELECT CAST({_AVG} / 100 AS DOUBLE) AS average_sentiment FROM k")
+@query(lambda: f"WITH {_KPI} SELECT CAST({_AVG} / 100 AS DOUBLE) AS average_sentiment FROM k")
 def a23_average_sentiment(spark, sf_dir):
     return _kpis(spark, sf_dir).select("average_sentiment")
 
 
-@query(f"WITH {_KPI} SELECT CAST(({_AVG} + 100) * 5 / 100 AS DOUBLE) AS normalised_score FROM k")
+@query(lambda: f"WITH {_KPI} SELECT CAST(({_AVG} + 100) * 5 / 100 AS DOUBLE) AS normalised_score FROM k")
 def a24_normalised_score(spark, sf_dir):
     return _kpis(spark, sf_dir).select("normalised_score")
 
 
-@query(f"""WITH {_KPI} SELECT total_comments, unique_commenters, CAST({_AVG_WORDS} AS DOUBLE) AS average_words, CAST({_AVG} / 100 AS DOUBLE) AS average_sentiment,
+@query(lambda: f"""WITH {_KPI} SELECT total_comments, unique_commenters, CAST({_AVG_WORDS} AS DOUBLE) AS average_words, CAST({_AVG} / 100 AS DOUBLE) AS average_sentiment,
  CAST(({_AVG} + 100) * 5 / 100 AS DOUBLE) AS normalised_score FROM k""")
 def a25_summary(spark, sf_dir):
     return _kpis(spark, sf_dir)
@@ -574,27 +596,27 @@ def _rounded_trend(df):
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c.endswith("_percent")})
 
 
-@query(f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive FROM t")
+@query(lambda: f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive FROM t")
 def a26_monthly_counts(spark, sf_dir):
     return kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment").select("period", "negative", "neutral", "positive")
 
 
-@query(f"WITH {_ORDERS_TREND} SELECT period, total, {_PERCENTS} FROM t")
+@query(lambda: f"WITH {_ORDERS_TREND} SELECT period, total, {_PERCENTS} FROM t")
 def a27_row_percentages(spark, sf_dir):
     return _rounded_trend(kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment")).drop("negative", "neutral", "positive")
 
 
-@query(f"WITH {_SCORED}, {_SQL_TREND.format(period='CAST(ts AS DATE)', source='(SELECT timestamp AS ts, sentiment AS s FROM scored WHERE sentiment >= 0)')} SELECT period, negative, neutral, positive FROM t")
+@query(lambda: f"WITH {_SCORED}, {_SQL_TREND.format(period='CAST(ts AS DATE)', source='(SELECT timestamp AS ts, sentiment AS s FROM scored WHERE sentiment >= 0)')} SELECT period, negative, neutral, positive FROM t")
 def a28_absent_class(spark, sf_dir):
     return kpi.trend(scored(spark, sf_dir).where("sentiment >= 0"), "timestamp", "sentiment", "day").select("period", "negative", "neutral", "positive")
 
 
-@query(f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive, total, {_PERCENTS} FROM t")
+@query(lambda: f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive, total, {_PERCENTS} FROM t")
 def a29_monthly_trend(spark, sf_dir):
     return _rounded_trend(kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment"))
 
 
-@query(f"WITH {_SCORED}, {_SQL_TREND.format(period='CAST(ts AS DATE)', source='(SELECT timestamp AS ts, sentiment AS s FROM scored)')} SELECT period, negative, neutral, positive, total, {_PERCENTS} FROM t")
+@query(lambda: f"WITH {_SCORED}, {_SQL_TREND.format(period='CAST(ts AS DATE)', source='(SELECT timestamp AS ts, sentiment AS s FROM scored)')} SELECT period, negative, neutral, positive, total, {_PERCENTS} FROM t")
 def a29_daily_trend(spark, sf_dir):
     return _rounded_trend(kpi.trend(scored(spark, sf_dir), "timestamp", "sentiment", "day"))
 
@@ -610,18 +632,18 @@ def _sql_terms(lo: int, hi: int, k: int) -> str:
 _IDF = "idf AS (SELECT *, ln((1 + (SELECT count(*) FROM {0})) / (1 + df)) + 1 AS idf FROM vocab)"
 
 
-@query(f"WITH {_sql_terms(1, 1, 5000)} SELECT doc_id, term, tf FROM terms JOIN vocab USING (term)")
+@query(lambda: f"WITH {_sql_terms(1, 1, 5000)} SELECT doc_id, term, tf FROM terms JOIN vocab USING (term)")
 def v01_bag_of_words(spark, sf_dir):
     return features.bag(comments(spark, sf_dir), "doc_id", "clean_comment", (1, 1), 5000)
 
 
-@query(f"""WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')}, w AS (SELECT doc_id, term, tf * idf AS w FROM terms JOIN idf USING (term))
+@query(lambda: f"""WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')}, w AS (SELECT doc_id, term, tf * idf AS w FROM terms JOIN idf USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def v02_tfidf(spark, sf_dir):
     return features.tfidf(comments(spark, sf_dir), "doc_id", "clean_comment").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""WITH {_sql_terms(1, 1, 100000)}, tv AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM terms WHERE doc_id % 5 <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000),
+@query(lambda: f"""WITH {_sql_terms(1, 1, 100000)}, tv AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM terms WHERE doc_id % 5 <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000),
  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM comments WHERE doc_id % 5 <> 0)) / (1 + df)) + 1 AS idf FROM tv),
  w AS (SELECT doc_id, term, tf * idf AS w FROM terms JOIN idf USING (term) WHERE doc_id % 5 = 0) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def v03_transform_only(spark, sf_dir):
@@ -631,7 +653,7 @@ def v03_transform_only(spark, sf_dir):
     return features.transform_tfidf(df.where("doc_id % 5 = 0"), model, "doc_id", "clean_comment", (1, 1)).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {_sql_terms(1, 1, 1000000000)} SELECT term, total FROM vocab")
+@query(lambda: f"WITH {_sql_terms(1, 1, 1000000000)} SELECT term, total FROM vocab")
 def v04_term_totals(spark, sf_dir):
     return features.term_totals(comments(spark, sf_dir), "doc_id", "clean_comment")
 
@@ -642,7 +664,7 @@ def v05_dense(spark, sf_dir):
     return features.dense(features.Vectorizer(100, (1, 1)).fit(df, "clean_comment").transform(df.select("doc_id", "clean_comment"), "clean_comment")).select("doc_id", "features")
 
 
-@query(f"WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')} SELECT term, total, df, round(idf, 6) AS idf FROM idf")
+@query(lambda: f"WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')} SELECT term, total, df, round(idf, 6) AS idf FROM idf")
 def v06_vocabulary(spark, sf_dir):
     return features.fit_tfidf(comments(spark, sf_dir), "doc_id", "clean_comment").withColumn("idf", F.round("idf", 6))
 
@@ -655,7 +677,7 @@ def _labelled_comments(spark, sf_dir):
 
 
 def _swept(spark, sf_dir, grid):
-    found = models.sweep(_labelled_comments(spark, sf_dir), "doc_id", "clean_comment", grid, _PARAMS)
+    found = models.sweep(_training_comments(spark, sf_dir), "doc_id", "clean_comment", grid, _PARAMS)
     return spark.createDataFrame([(str(s), float(a)) for s, a in found], "setting string, accuracy double")
 
 
@@ -672,17 +694,17 @@ def v08_vocabulary_sweep(spark, sf_dir):
 # Splits and resampling ---------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER () * 0.2) AS is_test FROM documents")
+@query(lambda: "SELECT doc_id, row_number() OVER (ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER () * 0.2) AS is_test FROM documents")
 def b01_split(spark, sf_dir):
     return sampling.split(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query(f"WITH {_COMMENTS} SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY category) * 0.2) AS is_test FROM comments WHERE category IS NOT NULL")
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY category) * 0.2) AS is_test FROM comments WHERE category IS NOT NULL")
 def b02_stratified_split(spark, sf_dir):
     return sampling.split(_labelled_comments(spark, sf_dir).select("doc_id", "category"), "doc_id", stratify="category")
 
 
-@query(f"WITH {_COMMENTS} SELECT category, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM comments WHERE category IS NOT NULL GROUP BY 1")
+@query(lambda: f"WITH {_COMMENTS} SELECT category, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM comments WHERE category IS NOT NULL GROUP BY 1")
 def b03_class_weights(spark, sf_dir):
     return sampling.class_weights(_labelled_comments(spark, sf_dir), "category").withColumn("weight", F.round("weight", 6))
 
@@ -697,7 +719,7 @@ def b05_adasyn(spark, sf_dir):
     return sampling.adasyn(vectors(spark, sf_dir), "vec_id", "embedding", "label")
 
 
-@query(f"""WITH {_COMMENTS}, r AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) AS nth FROM comments WHERE category IS NOT NULL),
+@query(lambda: f"""WITH {_COMMENTS}, r AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) AS nth FROM comments WHERE category IS NOT NULL),
  least AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM r GROUP BY category)) SELECT doc_id, category FROM r, least WHERE nth <= n""")
 def b06_undersample(spark, sf_dir):
     return sampling.undersample(_labelled_comments(spark, sf_dir).select("doc_id", "category"), "doc_id", "category")
@@ -710,10 +732,15 @@ def b07_smote_enn(spark, sf_dir):
 
 @query()
 def b08_resample(spark, sf_dir):
-    return sampling.resample(vectors(spark, sf_dir), "undersampling", "vec_id", "embedding", "label")
+    """How many rows of each class every method gives."""
+    out = None
+    for method in sampling.METHODS:
+        n = sampling.resample(vectors(spark, sf_dir), method, "vec_id", "embedding", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(method).alias("method"), "label", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
-@query("SELECT doc_id FROM documents ORDER BY md5('42|sample|' || doc_id), doc_id LIMIT 100")
+@query(lambda: "SELECT doc_id FROM documents ORDER BY md5('42|sample|' || doc_id), doc_id LIMIT 100")
 def b09_random_rows(spark, sf_dir):
     return sampling.random_rows(_read(spark, sf_dir, "documents").select("doc_id"), 100, "doc_id")
 
@@ -721,8 +748,13 @@ def b09_random_rows(spark, sf_dir):
 # Models ------------------------------------------------------------------------------------------
 
 
+def _training_comments(spark, sf_dir):
+    """Labelled comments, normalised, as the models are trained and asked."""
+    return _labelled_comments(spark, sf_dir).withColumn("clean_comment", T.normalised(F.col("clean_comment")))
+
+
 def _sets(spark, sf_dir, max_features: int = 1000):
-    train, test = sampling.train_test(_labelled_comments(spark, sf_dir), "doc_id", stratify="category")
+    train, test = sampling.train_test(_training_comments(spark, sf_dir), "doc_id", stratify="category")
     vec = features.Vectorizer(max_features, (1, 3)).fit(train, "clean_comment")
     return models.labelled(vec.transform(train, "clean_comment")).persist(), models.labelled(vec.transform(test, "clean_comment")), vec
 
@@ -746,8 +778,7 @@ def m02_random_forest(spark, sf_dir):
 def m03_boosted_trees_tuned(spark, sf_dir):
     """With the parameters that the search finds best."""
     train, test, _ = _sets(spark, sf_dir)
-    tuned = models.boosted(models.search(train)[0])
-    return models.sentiment(models.trained_and_scored(tuned, train, test)[1]).select("doc_id", "category", "sentiment")
+    return models.sentiment(models.trained_and_scored(models.tuned(models.search(train)[0]), train, test)[1]).select("doc_id", "category", "sentiment")
 
 
 @query()
@@ -755,7 +786,7 @@ def m04_logistic(spark, sf_dir):
     return _predictions(spark, sf_dir, models.logistic())
 
 
-@query("""WITH d AS (SELECT q.vec_id, p.label AS other, p.vec_id AS pid, sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist
+@query(lambda: """WITH d AS (SELECT q.vec_id, p.label AS other, p.vec_id AS pid, sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist
   FROM embeddings q JOIN embeddings p ON q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0),
  near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, pid) AS r FROM d), votes AS (SELECT vec_id, other, count(*) AS n FROM near WHERE r <= 5 GROUP BY 1, 2)
 SELECT vec_id, other AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, other) AS b FROM votes) WHERE b = 1""")
@@ -823,12 +854,12 @@ def _rounded_report(spark, sf_dir):
     return evaluate.report(predicted(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"WITH {_PREDICTED} SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM predicted")
+@query(lambda: f"WITH {_PREDICTED} SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM predicted")
 def e01_accuracy(spark, sf_dir):
     return evaluate.accuracy(predicted(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"WITH {_CELLS} {_REPORT}")
+@query(lambda: f"WITH {_CELLS} {_REPORT}")
 def e02_report(spark, sf_dir):
     return _rounded_report(spark, sf_dir)
 
@@ -836,26 +867,58 @@ def e02_report(spark, sf_dir):
 _MATRIX = ", ".join(f"count(*) FILTER (WHERE prediction = {c}) AS predicted_{str(c).replace('-', 'minus_')}" for c in (-1, 0, 1))
 
 
-@query(f"WITH {_PREDICTED} SELECT label AS actual, {_MATRIX} FROM predicted GROUP BY 1")
+@query(lambda: f"WITH {_PREDICTED} SELECT label AS actual, {_MATRIX} FROM predicted GROUP BY 1")
 def e03_confusion_matrix(spark, sf_dir):
     return evaluate.confusion_matrix(predicted(spark, sf_dir))
 
 
-@query(f"WITH {_CELLS} {_REPORT} WHERE name NOT LIKE '%avg'")
+@query(lambda: f"WITH {_CELLS} {_REPORT} WHERE name NOT LIKE '%avg'")
 def e04_evaluate(spark, sf_dir):
     return evaluate.evaluate(predicted(spark, sf_dir))[0].where("name not like '%avg'").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"""WITH {_CELLS}, long AS (SELECT name, 'precision' AS metric, precision AS value FROM report UNION ALL SELECT name, 'recall', recall FROM report UNION ALL SELECT name, 'f1', f1 FROM report
+@query(lambda: f"""WITH {_CELLS}, long AS (SELECT name, 'precision' AS metric, precision AS value FROM report UNION ALL SELECT name, 'recall', recall FROM report UNION ALL SELECT name, 'f1', f1 FROM report
   UNION ALL SELECT name, 'support', support FROM report) SELECT 'test_' || name || '_' || metric AS name, round(CAST(value AS DOUBLE), 6) AS value FROM long WHERE name <> 'accuracy'""")
 def e06_flat_report(spark, sf_dir):
     return evaluate.flat_report(evaluate.report(predicted(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT 'sentiment' AS name, CAST(row_number() OVER (ORDER BY nation.n_nationkey) AS INT) AS version, CAST(n_nationkey AS VARCHAR) AS run_id, n_name AS model_path, 'Staging' AS stage FROM nation")
+@query(lambda: f"""WITH {_PREDICTED}, cls AS (SELECT unnest([-1, 0, 1]) AS c)
+SELECT 'test' AS dataset, CAST(a.c AS INT) AS actual, CAST(p.c AS INT) AS predicted, (SELECT count(*) FROM predicted WHERE label = a.c AND prediction = p.c) AS n FROM cls a, cls p""")
+def e05_confusion_artifact(spark, sf_dir):
+    """The matrix as it is read back from a run's artifacts."""
+    runs = Runs(spark, _scratch(spark, "runs"))
+    path = runs.log_table("run", "confusion_matrix_test", evaluate.confusion_artifact(predicted(spark, sf_dir), "test"))
+    return spark.read.schema("dataset string, actual int, predicted int, n long").parquet(path)
+
+
+# Registry ----------------------------------------------------------------------------------------
+
+
+def _scratch(spark, name: str) -> str:
+    """A new place in the session's shared folder; in the warehouse, where it names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/spindrift-{uuid.uuid4().hex}/{name}"
+
+
+@query(lambda: f"""WITH {_PREDICTED} SELECT 'run' AS run_id, 'sentiment' AS experiment, 'accuracy' AS metric, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS value FROM predicted""")
+def r01_run(spark, sf_dir):
+    """A run's metric as it is read back."""
+    runs = Runs(spark, _scratch(spark, "runs"))
+    runs.log("run", "sentiment", {"max_features": 1000}, {"accuracy": evaluate.accuracy(predicted(spark, sf_dir)).first()[0]}, {"task": "sentiment analysis"})
+    return runs.table().select("run_id", "experiment", F.explode("metrics").alias("metric", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(lambda: "SELECT * FROM (VALUES ('inputs', 0::INT, 'doc_id', 'bigint'), ('inputs', 1, 'label', 'int'), ('outputs', 0, 'prediction', 'int')) AS t(role, position, name, type)")
+def r02_signature(spark, sf_dir):
+    df = predicted(spark, sf_dir)
+    return signature_rows(spark, signature(df.drop("prediction"), df.select("prediction")))
+
+
+@query(lambda: "SELECT 'sentiment' AS name, CAST(row_number() OVER (ORDER BY r_regionkey) AS INT) AS version, CAST(r_regionkey AS VARCHAR) AS run_id, r_name AS model_path, 'Staging' AS stage FROM region")
 def r03_registry(spark, sf_dir):
-    """A registry of one version for each nation; versions go up by one from one."""
-    n = _read(spark, sf_dir, "nation")
-    version = F.row_number().over(Window.partitionBy(F.lit("sentiment")).orderBy("n_nationkey"))
-    rows = n.select(F.lit("sentiment").alias("name"), version.alias("version"), F.col("n_nationkey").cast("string").alias("run_id"), F.col("n_name").alias("model_path"), F.lit("Staging").alias("stage"))
-    return rows.select([f.split()[0] for f in MODELS.split(", ")])
+    """A registry in which a version was registered for each region; versions go up by one from one."""
+    held = Models(spark, _scratch(spark, "models"))
+    for r in _read(spark, sf_dir, "region").orderBy("r_regionkey").collect():  # five rows
+        held.register("sentiment", str(r["r_regionkey"]), r["r_name"])
+    return held.table()

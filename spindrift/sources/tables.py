@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import cleaning
@@ -18,7 +18,9 @@ SENTIMENT_COUNTS = "sentiment_counts map<string, bigint>"
 PAGE = "items array<struct<snippet struct<topLevelComment struct<snippet struct<textOriginal string, publishedAt string, authorChannelId struct<value string>>>>>>, nextPageToken string"
 #: What a request without content is told (fixed values).
 MISSING = {"comments": "No comments provided", "sentiment_counts": "No sentiment counts provided", "sentiment_data": "No sentiment data provided"}
-#: A watch page's address, with the video's id.
+#: Files of a table below which :func:`spread` deals its rows anew, whatever the cores.
+SMALL_FILES = 64
+#: A watch page's address, with the video's id (fixed value).
 VIDEO_URL = r"^https://(?:www\.)?youtube\.com/watch\?v=([\w-]{11})"
 
 
@@ -101,14 +103,23 @@ def request_sentiments(bodies: DataFrame, body: str = "body") -> DataFrame:
     return held.select(*bodies.columns, F.explode("_b.sentiment_data").alias("_s")).select(*bodies.columns, F.to_timestamp("_s.timestamp").alias("timestamp"), "_s.sentiment")
 
 
-def comment_pages(pages: DataFrame, page: str = "page", at_most: int = 500) -> DataFrame:
-    """Comments of result pages in order (number, page): pages are taken while fewer than ``at_most`` comments came before, whole."""
-    from pyspark.sql import Window
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: one of fewer files than cores would leave most of them idle.  Tables of more files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, SMALL_FILES) else df
+
 
-    parsed = pages.select("number", F.from_json(page, PAGE).alias("p")).withColumn("n", F.size("p.items"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = parsed.select("number", before.alias("before"), F.col("p.items").alias("items")).where(F.col("before") < at_most)
-    rows = taken.select("number", F.posexplode("items").alias("position", "i")).select("number", "position", F.col("i.snippet.topLevelComment.snippet").alias("s"))
+def comment_pages(pages: DataFrame, page: str = "page", at_most: int = 500) -> DataFrame:
+    """Comments of result pages in order (number, page): pages are taken while fewer than ``at_most`` comments came before, whole.
+
+    The pages that count are among the first ``at_most`` that hold a comment, so a top list of their numbers is summed up
+    and met by the pages; no task gathers payloads."""
+    parsed = pages.select("number", F.from_json(page, PAGE).alias("p")).select("number", F.col("p.items").alias("items"), F.size("p.items").alias("n"))
+    first = parsed.where("n > 0").select("number", "n").orderBy("number").limit(at_most)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = first.withColumn("_before", before).where(F.col("_before") < at_most).select("number")
+    rows = parsed.join(F.broadcast(taken), "number").select("number", F.posexplode("items").alias("position", "i"))
+    rows = rows.select("number", "position", F.col("i.snippet.topLevelComment.snippet").alias("s"))
     return rows.select("number", "position", F.col("s.textOriginal").alias("text"), F.to_timestamp("s.publishedAt").alias("timestamp"), author(F.col("s.authorChannelId.value")).alias("authorId"))
 
 

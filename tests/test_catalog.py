@@ -1,6 +1,8 @@
 """Every query that has SQL gives the rows that DuckDB gives, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,11 +43,14 @@ def test_model_queries_have_full_parameters(monkeypatch):
         def __getattr__(self, name):
             return lambda *a, **b: self
 
+    monkeypatch.setattr(catalog.T, "normalised", lambda c: c)
+    monkeypatch.setattr(catalog.F, "col", lambda c: c)
+
     some = Anything()
     monkeypatch.setattr(catalog, "_labelled_comments", lambda *a: some)
     monkeypatch.setattr(catalog.sampling, "train_test", lambda *a, **b: (some, some))
     monkeypatch.setattr(catalog.features, "Vectorizer", note("vectorizer", some))
-    for name, out in {"labelled": some, "boosted": some, "forest": some, "logistic": some, "stack": some, "search": (full, 0.5), "trained_and_scored": (some, some), "sentiment": some, "sweep": []}.items():
+    for name, out in {"labelled": some, "boosted": some, "tuned": some, "forest": some, "logistic": some, "stack": some, "search": (full, 0.5), "trained_and_scored": (some, some), "sentiment": some, "sweep": []}.items():
         monkeypatch.setattr(catalog.models, name, note(name, out))
 
     def used(query):
@@ -56,13 +61,28 @@ def test_model_queries_have_full_parameters(monkeypatch):
     m01, m02, m03, m06, m07 = map(used, ("m01_boosted_trees", "m02_random_forest", "m03_boosted_trees_tuned", "m06_stacking", "m07_search"))
     assert m01["boosted"] == (full,) and m01["vectorizer"][0] == 1000
     assert m02["forest"] == (full,) and m02["vectorizer"][0] == 10_000
-    assert m03["search"] == (some,) and m03["boosted"] == (full,)
+    assert m03["search"] == (some,) and m03["tuned"] == (full,)
     assert m06["stack"][-1] == full and len(m06["stack"][3]) == 2 and m06["boosted"][0].rounds == 367 and m06["logistic"] == () and m06["vectorizer"][0] == 10_000
     assert m07["search"] == (some,) and m07["vectorizer"][0] == 1000
     assert all(used(q)["logistic"] == () for q in ("m04_logistic", "m09_batch_predict"))
     assert all(used(q)["sweep"][-1] == full for q in ("v07_vectorizer_sweep", "v08_vocabulary_sweep"))
 
 
+def test_import_without_a_session_or_jars(tmp_path):
+    """The entry module and all SQL come from the sources alone: no session, and none of Spark's libraries."""
+    code = f"""
+import pathlib, pyspark
+real = pathlib.Path(pyspark.__file__).parent
+pyspark.__file__ = {str(tmp_path / "pyspark" / "__init__.py")!r}
+import __spark_entry__ as e
+assert len(e.queries()) > 100 and len(e.oracle_sql()) > 90
+from pyspark import SparkContext
+assert SparkContext._active_spark_context is None
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -1,12 +1,16 @@
 """Edge cases and invariants of the operators, on small rows."""
 
 import datetime
+import hashlib
+import json
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from spindrift.operators import cleaning, evaluate, features, kpi, models, sampling, stats
+from spindrift.operators import boosting, cleaning, evaluate, features, kpi, models, sampling, stats
 from spindrift.plans.registry import Models, Runs
 from spindrift.plans.training import GRAPH, Training
 from spindrift.sources import tables
@@ -129,19 +133,116 @@ def test_pages_stop_between_pages(spark):
     assert got.count() == 599 and got.first().authorId == "Unknown"
 
 
+def _comments(spark):
+    rows = [(f"{w} thing number {k}", c) for k in range(60) for w, c in (("lovely", 1), ("plain", 0), ("awful", -1))]
+    return spark.createDataFrame([*rows, *rows[:5], (None, 1), (" ", 0)], "clean_comment string, category int")
+
+
 def test_training_pipeline(spark, tmp_path):
-    rows = [(f"{w} thing number {k}", c) for k in range(30) for w, c in (("lovely", 1), ("plain", 0), ("awful", -1))]
-    work = Training(spark, f"file://{tmp_path}", max_features=20, ngram_range=(1, 1), params=models.Params(rounds=2, depth=2))
-    df = spark.createDataFrame([*rows, *rows[:5], (None, 1), (" ", 0)], "clean_comment string, category int")
-    assert work.run(df, "run-1") == 1 and work.run(df, "run-2") == 2
-    assert [name for name, *_ in GRAPH] == ["ingest", "preprocess", "build", "evaluate", "register"]
+    errors = tmp_path / "errors.log"
+    work = Training(spark, f"file://{tmp_path}", max_features=20, ngram_range=(1, 1), params=models.Params(rounds=4, depth=2), error_file=str(errors))
+    every = [name for name, *_ in GRAPH]
+    assert work.run(_comments(spark), "run-1") == every and work.run(_comments(spark), "run-1") == []
+    assert work.run(_comments(spark), "run-2") == ["evaluate", "register"]
+    work.max_features = 10
+    assert work.run(_comments(spark), "run-2") == ["build", "evaluate", "register"]
     held = Models(spark, f"file://{tmp_path}/models")
     held.move("sentiment", 2, "Production")
-    assert {(r.version, r.stage) for r in held.table().collect()} == {(1, "Staging"), (2, "Production")}
-    runs = Runs(spark, f"file://{tmp_path}/runs").table().collect()
-    assert len(runs) == 2 and runs[0].metrics["test_1_recall"] >= 0.9
+    assert {(r.version, r.stage) for r in held.table().collect()} == {(1, "Staging"), (2, "Production"), (3, "Staging")}
+    assert held.path_of("sentiment", stage="Production") == work.at("model")
+    runs = Runs(spark, f"file://{tmp_path}/runs").table().orderBy("run_id").collect()
+    assert runs[0].metrics["test_1_recall"] >= 0.9 and json.loads(runs[0].signature)["inputs"] == [{"name": "clean_comment", "type": "string"}]
+    matrix = spark.read.parquet(runs[0].artifacts["confusion_matrix_test"])
+    assert matrix.count() == 9 and matrix.where("actual = predicted").agg(F.sum("n")).first()[0] >= 30
+    asked = spark.createDataFrame([("Lovely things!",), ("awful",), (None,)], "clean_comment string")
+    assert [r.sentiment for r in work.score(asked).collect()][:2] == [1, -1]
+    with pytest.raises(ValueError, match="clean_comment string"):
+        work.score(asked.withColumnRenamed("clean_comment", "text"))
     with pytest.raises(ValueError, match="no version"):
         held.move("sentiment", 9, "Production")
+    with pytest.raises(FileNotFoundError, match="interim"):
+        broken = Training(spark, f"file://{tmp_path}/other", error_file=str(errors))
+        broken.preprocess = broken.build = lambda: None
+        broken.run(_comments(spark))
+    assert "interim missing" in errors.read_text()
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    held = Models(spark, f"file://{tmp_path}/models")
+    first = held._claim("version-m", 1)
+    assert (first, held.register("m", "r", "p"), held.register("m", "r", "p")) == (1, 2, 3)
+
+
+def test_boosted_trees_against_plain_growth():
+    """The first tree's root split and leaf values equal those found by trying every split; more rounds fit the labels."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((60, 6)) < 0.5, np.round(rng.normal(size=(60, 6)), 1), 0.0)
+    y = (x[:, 2] > 0.2).astype(int) + (x[:, 4] < -0.3)
+    w = rng.random(60) + 0.5
+    rows = [np.flatnonzero(r) for r in x]
+    m = boosting.Matrix(np.r_[0, np.cumsum([len(r) for r in rows])], np.concatenate(rows).astype(np.int32), x[x != 0], y, w)
+    p = boosting.Boosting(rounds=1, rate=0.3, depth=1, least_rows=5, bins=63)
+    got = boosting.grow(m, 3, p)
+    base = np.log(np.bincount(y, w) / w.sum())
+    q = np.exp(base) / np.exp(base).sum()
+    score = lambda g, h: max(abs(g) - p.l1, 0) ** 2 / (h + p.l2)
+    for k in range(3):
+        g, h = (q[k] - (y == k)) * w, q[k] * (1 - q[k]) * w * 1.5
+        best = (0.0, None)
+        for c in range(6):
+            for t in np.unique(x[:, c])[:-1]:
+                left = x[:, c] <= t
+                if min(left.sum(), (~left).sum()) >= p.least_rows and min(h[left].sum(), h[~left].sum()) >= p.least_weight:
+                    gain = score(g[left].sum(), h[left].sum()) + score(g[~left].sum(), h[~left].sum()) - score(g.sum(), h.sum())
+                    best = max(best, (gain, (c, t)), key=lambda b: b[0])
+        root = got.roots[k]
+        c, t = best[1]
+        assert got.column[root] == c and (x[:, c] <= got.bound[root]).tolist() == (x[:, c] <= t).tolist()
+        left = x[:, c] <= t
+        for child, side in ((got.left[root], left), (got.right[root], ~left)):
+            want = -np.sign(g[side].sum()) * max(abs(g[side].sum()) - p.l1, 0) / (h[side].sum() + p.l2) * p.rate
+            assert abs(got.value[child] - want) < 1e-9
+    more = boosting.grow(m, 3, boosting.Boosting(rounds=40, least_rows=3))
+    assert (more.scores(m.first, m.column, m.value).argmax(axis=1) == y).mean() > 0.95
+    none = boosting.grow(m.rows(np.arange(0)), 3, p)
+    assert none.scores(m.first, m.column, m.value).shape == (60, 3)
+
+
+def test_boosted_model_survives_saving(spark, tmp_path):
+    rows = [(k, Vectors.sparse(4, [k % 3], [1.0 + k]), float(k % 3), 1.0) for k in range(90)]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label", "weight"])
+    model = boosting.BoostedTrees(boosting.Boosting(rounds=5, least_rows=2)).fit(df.repartition(3))
+    model.save(spark, f"file://{tmp_path}/m")
+    a, b = (sorted((r.doc_id, r.prediction, tuple(r.probability)) for r in x.transform(df).collect()) for x in (model, boosting.load(spark, f"file://{tmp_path}/m")))
+    assert a == b and all(p == k % 3 for k, p, _ in a) and df.limit(0).count() == model.transform(df.limit(0)).count()
+    found, accuracy = models.search(df, trials=3)
+    assert accuracy > 0.9 and 50 <= found.rounds <= 300
+
+
+def test_concatenated(spark):
+    rows = [(3, 0, "cc"), (1, 1, None), (1, 0, "a"), (900, 2, "dddd"), (1, 2, "é")]
+    got = stats.concatenated(spark.createDataFrame(rows, "a long, b long, t string"), "t", "a", "b").collect()
+    whole = " ".join(["a", "é", "cc", "dddd"])
+    assert len(got) == 4 and all(whole[r.start : r.start + len(r.t)] == r.t for r in got)
+
+
+def test_inspection(spark):
+    df = spark.createDataFrame([(1, None, 0), (2, "x", 1), (3, None, 1), (4, None, 1)], "id int, text string, label int")
+    assert {r.label: r.n for r in cleaning.null_label_counts(df, "text", "label").collect()} == {0: 1, 1: 2}
+    assert [tuple(r) for r in cleaning.info(df).orderBy("position").collect()] == [(0, "id", "int", 4), (1, "text", "string", 1), (2, "label", "int", 4)]
+    assert [r.id for r in cleaning.tail(df, "id", 2).collect()] == [4, 3] and [r.id for r in cleaning.head(df, "id", 2).collect()] == [1, 2]
+    urls = spark.createDataFrame([("see http://localhost",), ("https://a.b",), ("http:// x",), ("none",)], "t string")
+    assert [r[0] for r in urls.select(F.col("t").rlike(cleaning.URL)).collect()] == [True, True, False, False]
+
+
+def test_cut_takes_the_first_by_hash(spark):
+    df = spark.createDataFrame([(k, k % 4) for k in range(500)] + [(900, None)], "id long, c int")
+    for n in (0, 1, 7, 125, 1000):
+        got = sampling.cut(df, "id", ["c"], lambda total, n=n: F.least(total, F.lit(n))).collect()
+        of = lambda k: hashlib.md5(f"42||{k}".encode()).hexdigest()
+        for c in (0, 1, 2, 3, None):
+            own = sorted((r.id for r in got if r.c == c), key=of)
+            assert {r.id for r in got if r.c == c and r._chosen} == set(own[:n])
 
 
 def test_stream(spark, tmp_path):

@@ -17,10 +17,12 @@ _OWN_ROOT: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; where the session names none (tests), a temporary one."""
+    """The folder that all executors share.  Where the session names none, a temporary one serves a local master alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="spindrift-"))
     return _OWN_ROOT[0]
@@ -74,7 +76,7 @@ atexit.register(release)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
-    """Left join with ``right``, which has one row for each key.
+    """Left join with ``right``, which has one row for each key, text, binary or a whole number that isn't negative.
 
     ``weight`` is how many rows of ``left`` the key has, out of ``total``.  Keys
     with more than a thousandth of them, of which there can't be over a
@@ -86,7 +88,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total
     named = lambda kind: [F.col(key).alias(f"_{kind}"), *[F.col(c).alias(f"_{kind}_{c}") for c in names]]
     hot = right.where(weight > least).select(*named("hot"))
     cold = right.where(weight <= least).select(*named("cold"))
-    spread = F.concat(F.lit("~"), F.xxhash64(*left.columns).cast("string")).cast(left.schema[key].dataType)
+    kind, h = left.schema[key].dataType, F.xxhash64(*left.columns)
+    spread = F.when(h < 0, h).otherwise(-h - 1) if kind.typeName() == "long" else F.concat(F.lit("~"), h.cast("string")).cast(kind)
     met = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     met = met.withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
     out = met.join(cold, F.col("_by") == F.col("_cold"), "left")

@@ -46,6 +46,40 @@ def test_layout(spark):
     assert len(moved) <= len(rows) * 0.30 and sum(moved) / len(moved) < sum(r["size"] for r in got) / len(got) / 2
 
 
+def test_only_affected_files_are_rewritten(spark, monkeypatch):
+    """Blocks that stay whole keep their files; old files of the others aren't read any more; the layout is read from files."""
+    monkeypatch.setattr(op, "BLOCK_ROWS", 16)
+    docs = spark.createDataFrame([(k, "w" * (k * 7 % 900)) for k in range(3000)], "doc_id long, text string").repartition(3)
+    path = op.store(docs)
+    before = set(op.open_store(spark, path).inputFiles())
+    found = op.reshard(spark, path)
+    rows = found.read()
+    files = set(rows.inputFiles())
+    kept, affected = {found._folder(x) for x in found.kept}, {found._folder(x) for x in found.affected}
+    bare = lambda f: f.removeprefix("file:").replace("///", "/")
+    folder = lambda f: bare(f.rsplit("/", 1)[0])
+    plain = lambda fs: {bare(f) for f in fs}
+    assert {folder(f) for f in files & before} == plain(kept) and not plain(kept) & plain(affected)
+    assert {folder(f) for f in before} == plain(kept) | plain(affected)
+    assert all("/rewritten/" in f for f in files - before) and len(affected) < len(kept)
+    got = rows.select("doc_id", "shard", "slot", "moved").collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and 0.2 < sum(r.moved for r in got) / 3000 < 0.3
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(375))
+    written = spark.read.parquet(found.written).count()
+    assert sum(r.moved for r in got) <= written <= sum(r.moved for r in got) + 6 * 2 * 40
+
+
+def test_one_row_repeated(spark, monkeypatch):
+    """Rows that are all the same are still spread over blocks."""
+    monkeypatch.setattr(op, "BLOCK_ROWS", 64)
+    docs = spark.createDataFrame([(1, "same text")] * 1000, "doc_id long, text string")
+    path = op.store(docs)
+    assert max(n for _, n in op.blocks(op.open_store(spark, path)).values()) < 200
+    got = op.layout(docs).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [125] * 8
+
+
 def test_few_and_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert sorted(r.slot for r in op.layout(docs).collect()) == [0, 0]

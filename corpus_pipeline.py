@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from spindrift.llm import exact_dedup, near_dedup, packing, pii, quality
 from spindrift.llm.common import stage
-from spindrift.llm.queries import TOKENIZERS
+from spindrift.llm.queries import tokenizer
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -35,7 +35,7 @@ def mask_personal(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """The pieces of all documents with their ids and places in the training sequences."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("pii", mask_personal), ("packing", pack_sequences)]

@@ -1,8 +1,10 @@
 """BPE encoding and decoding by tree concatenation.
 
 A text is normalised and then halved, wherever its middle falls, until its
-leaves are short; all leaves of a batch are encoded side by side, and tasks
-encode their documents in parallel.  At each join a window around the cut is
+leaves are short; all leaves of a batch are encoded side by side, in array
+operations, and tasks encode their documents in parallel.  The leaves of one
+text stay in one task: a text is a value of one row, which one task holds
+anyway.  At each join a window around the cut is
 encoded again.  It has to begin with a word of the left side that ends before
 the cut and to end with a word of the right side that begins after it; else it
 grows to twice its reach, at most to both sides whole.  Words are found from
@@ -23,7 +25,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +83,34 @@ class Merger:
             reach *= 2
 
 
+def _normalised(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def odd_points(normaliser) -> np.ndarray:
+    """Which code points Python may normalise otherwise than the library, whose Unicode version is another.
+
+    Those that Python doesn't know; those that differ alone, or beside marks of other classes; and the parts of pairs that differ when joined."""
+    out = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    out[0xD800:0xE000] = True
+    known = [chr(c) for c in np.flatnonzero(~out) if c >= 0x80 and not chr(c).isspace()]
+    marks = [c for c in known if unicodedata.category(c)[0] == "M"]
+    pairs = [unicodedata.decomposition(c).split() for c in known]
+    pairs = ["".join(chr(int(x, 16)) for x in p) for p in pairs if len(p) == 2 and p[0][0] != "<"]
+    tried = known + [f"q{c}\u0334" for c in marks] + [f"q\u0305{c}" for c in marks] + pairs
+    for a in range(0, len(tried), 1 << 14):
+        part = tried[a : a + (1 << 14)]
+        got, own = normaliser.normalize_str("|".join(part)).split("|"), _normalised("|".join(part)).split("|")
+        for text, x, y in zip(part, got, own, strict=True):
+            if x != y:
+                out[[ord(c) for c in text if ord(c) >= 0x80 and c not in "\u0334\u0305"]] = True
+    return out
+
+
 class TreeEncoder:
     """Encodes and decodes as the tokenizers library does with this vocabulary, of words with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: np.ndarray | None = None):
         spec = json.load(open(path, encoding="utf-8"))
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
@@ -97,6 +122,8 @@ class TreeEncoder:
         self.special = added
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.letters = dict(enumerate(segment.byte_letters()))
+        self.normaliser = tokenizer.normalizer
+        self.odd = odd_points(self.normaliser) if odd is None else odd
         self.words = segment.Lookup(segment.lower_words, self._word)
 
     def _word(self, word: str) -> list[int]:
@@ -106,12 +133,14 @@ class TreeEncoder:
         vocab = self.merger.vocab
         return [vocab[t] for t, _ in self.merger.tree([*shown[:-1], shown[-1] + END])]
 
-    @staticmethod
-    def normalise(text: str) -> str:
+    def normalise(self, text: str) -> str:
+        """As the library's normaliser, but for white space, which no word holds.  Texts with a code point that Python's tables
+        may see otherwise go through the library itself."""
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+        if self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return self.normaliser.normalize_str(text)
+        return _normalised(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -221,16 +250,24 @@ def _join(left: _Node, right: _Node, span, window: _Node):
     )
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> TreeEncoder:
-    return TreeEncoder(path)
+_encoders: dict[str, TreeEncoder] = {}
+
+
+def encoder(path: str, odd: np.ndarray | None = None) -> TreeEncoder:
+    """The process's encoder; ``odd`` saves finding the odd code points again."""
+    if path not in _encoders:
+        _encoders[path] = TreeEncoder(path, odd)
+    return _encoders[path]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id; ids: little-endian unsigned 32-bit integers; decoded: the text that these ids give."""
+    spark = docs.sparkSession
+    kinds, odd = segment.share(spark), spark.sparkContext.broadcast(encoder(path).odd)
 
     def run(batches):
-        tree = encoder(path)
+        segment.use(kinds)
+        tree = encoder(path, odd.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in segment.chunks(texts):

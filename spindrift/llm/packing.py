@@ -62,17 +62,23 @@ class ByteEncoder:
         parts, owner = [], []
         for k, t in enumerate(texts):
             cut = self.special_at.split(t) if self.special_at and "<|" in t else [t]
+            if len(t) > segment.CHUNK:
+                cut = [x for c in cut for x in segment.parts(c)]
             parts += cut
             owner += [k] * len(cut)
-        start, _, ids, count, at = self.words.words(["" if p in self.special else p for p in parts])
-        total = np.r_[0, np.cumsum(count, dtype=np.int64)][np.searchsorted(start, at)]
         if len(parts) == len(texts):
-            return [ids[a:b] for a, b in zip(total, total[1:], strict=False)]
+            return self._ids(parts)
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        for k, p, a, b in zip(owner, parts, total, total[1:], strict=False):
-            out[k].append(np.array([self.special[p]], np.int32) if p in self.special else ids[a:b])
+        for a, b in segment.chunks(parts):
+            for k, p, ids in zip(owner[a:b], parts[a:b], self._ids(["" if p in self.special else p for p in parts[a:b]]), strict=True):
+                out[k].append(np.array([self.special[p]], np.int32) if p in self.special else ids)
         return [np.concatenate(x) for x in out]
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        start, _, ids, count, at = self.words.words(texts)
+        total = np.r_[0, np.cumsum(count, dtype=np.int64)][np.searchsorted(start, at)]
+        return [ids[a:b] for a, b in zip(total, total[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
@@ -82,7 +88,10 @@ def encoder(path: str) -> ByteEncoder:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece, with its ids as little-endian unsigned 32-bit integers."""
 
+    kinds = segment.share(docs.sparkSession)
+
     def run(batches):
+        segment.use(kinds)
         enc = encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]

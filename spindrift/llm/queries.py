@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, sharding, toxicity, warc
 
-#: Where the vocabularies of public tokenizers lie; a path there is a parameter of each operator that takes one.
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary lies; the path is a parameter of each operator that takes one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark, sf_dir):
@@ -16,7 +21,7 @@ def _documents(spark, sf_dir):
 
 def op1_packing(spark, sf_dir):
     """The checksum is that of the ids which the operator gives, after they have been placed."""
-    packed = packing.pack(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    packed = packing.pack(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -69,7 +74,7 @@ def op9_toxicity(spark, sf_dir):
 
 
 def op10_bpe(spark, sf_dir):
-    out = bpe.encode(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    out = bpe.encode(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

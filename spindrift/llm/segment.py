@@ -2,16 +2,20 @@
 
 A batch of texts becomes one array of code points.  Words are the runs that the
 split patterns of byte-level tokenizers find, told from the class of each code
-point.  Every word gets a 64-bit polynomial hash; ids of words already seen come
-from a direct-mapped table, and only new words are encoded one by one.
+point, which the tokenizers library's own patterns tell.  Every word gets a
+64-bit polynomial hash; ids of words already seen come from a direct-mapped
+table, once their code points are found to be the same, and only new words are
+encoded one by one.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from tokenizers import Regex, pre_tokenizers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points that count as white space (fixed values: Unicode's White_Space).
@@ -25,15 +29,49 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def classes() -> np.ndarray:
+    """The class of each code point by Python's tables."""
     if "classes" not in _tables:
         kind = {"L": LETTER, "N": NUMBER}
         out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
         out[WHITE_SPACE] = SPACE
         _tables["classes"] = out
-        _tables["mix"] = np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return _tables["classes"]
 
 
+def every_point() -> np.ndarray:
+    """All code points that a text can have."""
+    return np.r_[0:0xD800, 0xE000:0x110000]
+
+
+def split_classes() -> np.ndarray:
+    """The class of each code point as the tokenizers library's patterns see it; its Unicode version may differ from Python's."""
+    if "split" not in _tables:
+        points_ = every_point()
+        whole = points_.astype("<u4").tobytes().decode("utf-32-le")
+        out = np.full(0x110000, OTHER, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(whole):
+                out[points_[a:b]] = kind
+        _tables["split"] = out
+    return _tables["split"]
+
+
+def share(spark):
+    """The split classes, made once on the driver and broadcast (a byte for each code point); a task that calls ``use`` with them needn't make its own."""
+    return spark.sparkContext.broadcast(split_classes())
+
+
+def use(shared) -> None:
+    if "split" not in _tables:
+        _tables["split"] = shared.value
+
+
+def _mix_table() -> np.ndarray:
+    if "mix" not in _tables:
+        _tables["mix"] = np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _tables["mix"]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "power" not in _tables or len(_tables["power"]) < n:
         size = max(n, CHUNK + 1)
@@ -52,10 +90,9 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    classes()
     power, inverse = _powers(len(cp) + 1)
     sums = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(_tables["mix"][cp] * power[: len(cp)], out=sums[1:])
+    np.cumsum(_mix_table()[cp] * power[: len(cp)], out=sums[1:])
     h = (sums[end] - sums[start]) * inverse[start]
     h ^= (h >> np.uint64(29)) ^ (end - start).astype(np.uint64)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -63,7 +100,7 @@ def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _runs(cp: np.ndarray, at: np.ndarray):
-    kind = classes()[cp]
+    kind = split_classes()[cp]
     new = np.empty(len(cp), bool)
     new[0] = True
     np.not_equal(kind[1:], kind[:-1], out=new[1:])
@@ -122,7 +159,7 @@ def lower_words(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     begin, stop = start.copy(), end + took
     begin[1:] += took[:-1]
     keep = (kind != SPACE) & (kind != NUMBER) & (stop > begin)
-    digits = np.flatnonzero(classes()[cp] == NUMBER)
+    digits = np.flatnonzero(split_classes()[cp] == NUMBER)
     begin, stop = np.r_[begin[keep], digits], np.r_[stop[keep], digits + 1]
     order = np.argsort(begin, kind="stable")
     return begin[order], stop[order]
@@ -136,7 +173,7 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Ids of words, by hash; ``encode`` gives those of a word not seen yet."""
+    """Ids of words; ``encode`` gives those of a word not seen yet.  A word is known by its code points; its hash only says where to look."""
 
     def __init__(self, split: Callable, encode: Callable[[str], list[int]]):
         self.split, self.encode = split, encode
@@ -148,19 +185,34 @@ class Lookup:
         self.count = np.zeros(_SLOTS, np.int32)
         self.pool = np.zeros(_POOL, np.int32)
         self.used = 0
+        self.place = np.zeros(_SLOTS, np.int64)
+        self.size = np.zeros(_SLOTS, np.int32)
+        self.points = np.zeros(2 * _POOL, np.uint32)
+        self.filled = 0
 
     def words(self, texts: list[str]):
         """Starts, ends, ids of all words and how many ids each word has; with the texts' starts."""
         cp, at = points(texts)
         start, end = self.split(cp, at)
+        size = end - start
         h = hashes(cp, start, end)
         slot = (h >> np.uint64(44)).astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != h)
+        known = (self.key[slot] == h) & (self.size[slot] == size)
+        own = np.flatnonzero(known)
+        known[own[_unlike(cp, start[own], self.points, self.place[slot[own]], size[own])]] = False
+        miss = np.flatnonzero(~known)
         extra = np.empty(0, np.int32)
         first, count = self.first[slot], self.count[slot]
         if len(miss):
-            own, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            joined, encode, ids, n = "".join(texts), self.encode, [], np.empty(len(own), np.int32)
+            _, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            # Words of one hash but other code points than its first word are each looked at alone.
+            odd = (size[miss] != size[miss[where]][back]) if len(miss) else back
+            like = np.flatnonzero(~odd)
+            odd[like[_unlike(cp, start[miss[like]], cp, start[miss[where]][back[like]], size[miss[like]])]] = True
+            if odd.any():
+                back[odd] = len(where) + np.arange(int(odd.sum()))
+                where = np.r_[where, np.flatnonzero(odd)]
+            joined, encode, ids, n = "".join(texts), self.encode, [], np.empty(len(where), np.int32)
             for k, w in enumerate(miss[where]):
                 got = encode(joined[start[w] : end[w]])
                 n[k] = len(got)
@@ -172,16 +224,41 @@ class Lookup:
         first = np.where(first < 0, first + len(pool), first)
         out = pool[spread(first, count)]
         if len(miss):
-            if self.used + len(extra) > _POOL:
+            new = miss[where]
+            total = int(size[new].sum())
+            if self.used + len(extra) > _POOL or self.filled + total > len(self.points):
                 self.clear()
-            if len(extra) <= _POOL:
-                at_slot = (own >> np.uint64(44)).astype(np.int64)
-                self.key[at_slot], self.first[at_slot], self.count[at_slot] = own, begin + self.used, n
+            if len(extra) <= _POOL and total <= len(self.points):
+                at_slot = slot[new]
+                self.key[at_slot], self.first[at_slot], self.count[at_slot] = h[new], begin + self.used, n
+                self.place[at_slot], self.size[at_slot] = self.filled + np.cumsum(size[new]) - size[new], size[new]
                 self.pool[self.used : self.used + len(extra)] = extra
+                self.points[self.filled : self.filled + total] = cp[spread(start[new], size[new])]
                 self.used += len(extra)
+                self.filled += total
         return start, end, out, count, at
 
 
+def _unlike(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of those ranges of a and b, of the same sizes, that don't hold the same."""
+    if not len(size):
+        return np.empty(0, np.int64)
+    wrong = np.flatnonzero(a[spread(a_first, size)] != b[spread(b_first, size)])
+    return np.unique(np.searchsorted(np.cumsum(size), wrong, "right")) if len(wrong) else wrong
+
+
+_SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def parts(text: str, most: int = CHUNK) -> list[str]:
+    """A long text in parts that byte-level patterns split as they split the whole: cut before a blank between two letters."""
+    out, at = [], 0
+    while len(text) - at > most and (m := _SAFE.search(text, at + most)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
 def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of the texts with up to ``most`` code points, or one longer text."""
     begin = size = 0

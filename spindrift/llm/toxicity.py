@@ -58,7 +58,7 @@ def features(texts: list[str], weights: np.ndarray | None = None) -> tuple[np.nd
     keep = np.r_[True, (cp[1:] != _SEPARATOR) | (cp[:-1] != _SEPARATOR)]
     keep[at[:-1]] = True
     owner = np.repeat(np.arange(len(texts)), np.diff(at))[keep]
-    mixed = (segment._tables["mix"][cp[keep]] >> np.uint64(32)).astype(np.uint32)
+    mixed = (segment._mix_table()[cp[keep]] >> np.uint64(32)).astype(np.uint32)
     h, found = mixed.copy(), []
     for n in range(2, max(ORDERS) + 1):
         if len(mixed) < n:

@@ -39,7 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Forms of candidates: a key and a value; digits in groups as in telephone numbers.
-_ASSIGNED = re.compile(r"(?<![^\W_])([A-Za-z][A-Za-z_-]{1,30})\x20?[=:]\x20?([\"']?)([A-Za-z0-9+/_.-]{6,})")
+_ASSIGNED = re.compile(r"(?<![\w-])[_-]*+([A-Za-z][A-Za-z_-]++)\x20?[=:]\x20?([\"']?)([A-Za-z0-9+/_.-]{6,}+)")
 _GROUPED = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 #: Words that announce credentials or telephone numbers (fixed values).
 GAZETTEER = {

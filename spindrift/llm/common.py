@@ -87,6 +87,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total
     least = max(1, total // HOT_KEYS)
     named = lambda kind: [F.col(key).alias(f"_{kind}"), *[F.col(c).alias(f"_{kind}_{c}") for c in names]]
     hot = right.where(weight > least).select(*named("hot"))
+    # A key that no row has keeps this side from being empty: then the plan is the same whatever the data.
+    nobody = {"long": F.lit(-1), "string": F.lit("")}.get(right.schema[key].dataType.typeName(), F.lit(b"")).cast(right.schema[key].dataType)
+    none = left.sparkSession.range(1).select(nobody.alias("_hot"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_hot_{c}") for c in names])
+    hot = hot.unionByName(none)
     cold = right.where(weight <= least).select(*named("cold"))
     kind, h = left.schema[key].dataType, F.xxhash64(*left.columns)
     spread = F.when(h < 0, h).otherwise(-h - 1) if kind.typeName() == "long" else F.concat(F.lit("~"), h.cast("string")).cast(kind)

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,28 +50,50 @@ SHARE = 85
 #: The chance that a link's sketches fall short of the count that the filter asks for.
 MISSED = 1e-9
 #: Members of a list that one task compares, and bytes of full sets, by blocks.
-BLOCK, BLOCK_BYTES = 2048, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Columns of a block's table of shared shingles that are held at a time.
 COLUMNS = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 63-bit numbers."""
-    raw = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts).translate(_LOWER) + b"\n"
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and where it starts."""
     data = np.frombuffer(raw, np.uint8)
-    inside = ~_BREAK[data]
-    change = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+    change = np.flatnonzero(np.diff(np.r_[False, ~_BREAK[data], False].astype(np.int8)))
     start, end = change[::2], change[1::2]
-    at = np.r_[0, np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])]
-    first = np.searchsorted(start, at)
+    return segment.hashes(data, start, end) if len(start) else np.empty(0, np.uint64), start
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    """The hashes of a text's words, some at a time: a long text's arrays would be many times its size."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+    out, at = [], 0
+    while at < len(raw):
+        m = _GAP.search(raw, at + segment.CHUNK)
+        end = m.start() if m else len(raw)
+        out.append(_hashed(raw[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 63-bit numbers."""
+    found = [_word_hashes(t) for t in texts] if len(texts) > 1 and any(len(t) > segment.CHUNK for t in texts) else None
+    if found is None and len(texts) == 1:
+        found = [_word_hashes(texts[0])]
     out = [np.empty(0, np.uint64)] * len(texts)
-    if not len(start):
+    if found is not None:
+        h, first = np.concatenate(found), np.r_[0, np.cumsum([len(x) for x in found])]
+    else:
+        raw = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts).translate(_LOWER) + b"\n"
+        h, start = _hashed(raw)
+        first = np.searchsorted(start, np.r_[0, np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])])
+    if not len(h):
         return out
-    h = segment.hashes(data, start, end)
     rolled = np.zeros(len(h), np.uint64)
     for j in range(WORDS):
         rolled[: max(0, len(h) - j)] += h[j:] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) + 2 * j * j) % 2**64 | 1)

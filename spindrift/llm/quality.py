@@ -10,7 +10,10 @@ makes it the probability of label 1.
 
 Defined results: null and empty texts are one empty line; without labels of
 both kinds all scores are the share of label 1; null ids count as fold 0; rows
-are independent of each other, and extra columns are ignored.
+are independent of each other, so equal texts have equal scores; extra columns
+are ignored, or kept whatever their names.  In training all lines of a document
+have its label, so the chain learns how strongly lines go together, not where a
+document turns.
 """
 
 from __future__ import annotations
@@ -187,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars
     return fit(*sample(docs, labels, "quality", usable, rows, max_chars))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns named by ``keep`` (doc_id), and score."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns named by ``keep`` (doc_id), and the score by a name that isn't among them."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
 
@@ -198,10 +201,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             out = np.empty(len(texts))
             for a, b in segment.chunks(texts):
                 out[a:b] = scores(held.value, texts[a:b])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], names=[*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], names=[*keep, name])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", _score double"
-    return bounded_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema).withColumnRenamed("_score", "score")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
+    return bounded_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,5 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-    out = score(docs.drop("_score"), train(docs, labels), docs.columns)
-    return out.where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)

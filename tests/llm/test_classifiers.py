@@ -59,6 +59,76 @@ def test_rare_toxic_words_count(counts, words):
     assert got[:200].mean() > 0.9 and got[200:].mean() < 0.1
 
 
+def plain_toxicity(texts, y, share, asked):
+    """The fit and the scores once more: sets of n-grams, dense features, plain gradient steps."""
+
+    def grams(t):
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())
+        clean = clean + " " if clean.strip() else " "
+        return {clean[i : i + n] for n in toxicity.ORDERS for i in range(len(clean) - n + 1)}
+
+    held = [grams(t) for t in texts]
+    often = sorted({g for x in held for g in x})
+    often = [g for g in often if sum(g in x for x in held) >= toxicity.LEAST_DOCS]
+    x = np.array([[g in h for g in often] for h in held], float)
+    one, zero = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
+    ratio = np.log((1 + one) / (1 + y.sum()) / ((1 + zero) / (1 + (1 - y).sum())))
+    part, n = y.mean(), one + zero
+    deviance = 2 * (one * np.log(np.maximum(one, 1) / (n * part)) + zero * np.log(np.maximum(zero, 1) / (n * (1 - part))))
+    ratio = ratio * deviance / (deviance + toxicity.NOISE)
+    scaled, w, b = x * ratio, np.zeros(len(often)), 0.0
+    for _ in range(6000):
+        off = 1 / (1 + np.exp(-(scaled @ w + b))) - y
+        w, b = w - 0.01 * (scaled.T @ off + toxicity.RIDGE * w), b - 0.01 * off.sum()
+    b += np.log(share / (1 - share)) - np.log(part / (1 - part))
+    return np.array([1 / (1 + np.exp(-(sum(w[k] * ratio[k] for k, g in enumerate(often) if g in grams(t)) + b))) for t in asked])
+
+
+def test_toxicity_against_a_plain_fit(monkeypatch):
+    monkeypatch.setattr(toxicity, "least", lambda loss, x, rounds: labelled.least(loss, x, 400, close=1e-7))
+    rng = np.random.default_rng(2)
+    texts, y = toxic_corpus(rng, ["grumble"], (15, 25)), (np.arange(40) < 15).astype(float)
+    asked = [*toxic_corpus(rng, ["grumble"], (5, 5)), "", "12 !?"]
+    model = toxicity.fit(texts, y, 0.2)
+    doc, bucket = toxicity.features(asked)
+    got = labelled.sigmoid(model.bias + np.bincount(doc, model.weights[bucket], len(asked)))
+    assert np.abs(got - plain_toxicity(texts, y, 0.2, asked)).max() < 2e-3
+
+
+def test_quality_scores_by_every_labelling():
+    """A document's score from the chain's marginals by brute force, its lines' lengths and the fitted curve."""
+    rng = np.random.default_rng(4)
+    line = lambda good: " ".join(rng.choice(["mellow", "river", "stone", "and"], rng.integers(2, 9))) + ("." if good else " !!! ##")
+    texts = ["\n".join(line(k % 2) for _ in range(rng.integers(1, 6))) for k in range(60)]
+    model = quality.fit(texts, np.arange(60) % 2.0, 0.5, rounds=30)
+    asked = [*texts[:6], "", "one line", "a\n\nb"]
+    x, weight, first = quality.lines(asked)
+    good = quality.around(np.clip((x - model.mean) / model.scale, -5, 5), first) @ model.weights
+    want = []
+    for a, b in zip(first, first[1:], strict=False):
+        p, _ = brute_marginals(good[a:b], model.pairs)
+        want.append(1 / (1 + np.exp(-(model.curve[0] * ((p * weight[a:b]).sum() / weight[a:b].sum() - 0.5) + model.curve[1]))))
+    assert np.allclose(quality.scores(model, asked), want)
+    assert [w - 1 for w in weight[first[0] : first[1]]] == [len(t) for t in asked[0].split("\n")]
+
+
+def test_long_documents_stay_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, "".join(chr(97 + (k + i) % 26) for k in range(95 + i))) for i in range(40)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    texts, y, _ = labelled.sample(docs, known, "toxic", F.lit(True), 1000, 30)
+    assert len(texts) == 40 and all(0 < len(t) <= 30 for t in texts) and y.sum() == 20
+
+
+def test_ties_and_extra_columns(spark):
+    """Equal texts have equal scores, whatever stands beside them."""
+    docs = spark.createDataFrame([(i, "same text", "x", i % 3) for i in range(30)], "doc_id long, text string, held_out string, predicted int")
+    known = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.classify(docs, known).collect()
+    assert len({r.score for r in got}) == 1 and len(got) == 30
+
+
 @pytest.mark.parametrize(("operator", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_accuracy_and_edges(spark, operator, label):
     rng = np.random.default_rng(5)

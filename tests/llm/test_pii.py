@@ -1,6 +1,9 @@
 import hashlib
+import math
+import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,5 +59,66 @@ def test_long_secrets_are_masked_whole():
     pii.candidates("key=" + "a1" * 500_000, [])
 
 
+def test_keys_of_any_length():
+    key = "a_very_long_configuration_name_of_some_service_password"
+    assert [(a, b) for _, a, b, _ in pii.candidates(f"{key}=abc123def456", [])] == [(len(key) + 1, len(key) + 13)]
+    assert [(a, b) for _, a, b, _ in pii.candidates("__token=abc123def456 x.key: zzzzzz99", [])] == [(8, 20), (28, 36)]
+    pii.candidates("a-" * 300_000 + "_" * 300_000 + "b" * 300_000, [])
+
+
+def plain_em(votes, rounds=60):
+    """Expectation-maximisation over single rows, by dictionaries: P(personal) of each."""
+    p = [1 / (1 + math.exp(-2 * sum(v - 1 for v in row))) for row in votes]
+    for _ in range(rounds):
+        seen = {}
+        for y in (0, 1):
+            for j in range(len(votes[0])):
+                n = [1 + sum(q if y else 1 - q for q, row in zip(p, votes, strict=True) if row[j] == v) for v in range(3)]
+                seen.update({(y, j, v): n[v] / sum(n) for v in range(3)})
+        prior = (1 + sum(p)) / (2 + len(p))
+        like = [[math.log(b) + sum(math.log(seen[y, j, v]) for j, v in enumerate(row)) for y, b in ((0, 1 - prior), (1, prior))] for row in votes]
+        p = [1 / (1 + math.exp(a - b)) for a, b in like]
+    return p
+
+
+def test_reliabilities_against_plain_em():
+    rng = random.Random(6)
+    truth = [rng.random() < 0.3 for _ in range(300)]
+    votes = [[(2 if t == (rng.random() < sure) else 0) if rng.random() < 0.8 else 1 for sure in (0.95, 0.9, 0.8, 0.55)] for t in truth]
+    different = sorted(set(map(tuple, votes)))
+    counts = [sum(tuple(v) == d for v in votes) for d in different]
+    p, table, prior = pii.reliabilities(np.array(different), np.array(counts, float))
+    own = dict(zip(different, p, strict=True))
+    assert max(abs(own[tuple(v)] - q) for v, q in zip(votes, plain_em(votes), strict=True)) < 1e-6
+    assert sum((own[tuple(v)] > 0.5) == t for v, t in zip(votes, truth, strict=True)) > 0.9 * len(votes) and 0.2 < prior < 0.4
+    assert table[1, 0, 2] > table[1, 3, 2]  # the surer labeler counts as the more reliable one
+
+
+def test_added_spans_on_labelled_texts(spark):
+    """Planted credentials are found and plain values left alone: precision and recall of the method's own spans."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(600):
+        if i % 3 == 0:
+            key, value = rng.choice(["password", "api_key", "token", "secret"]), "".join(rng.choice("abcdef0123456789") for _ in range(rng.randrange(18, 40)))
+            text = f"Set {key}={value} first."
+            want.add((i, text.index(value), text.index(value) + len(value) + 1))
+        elif i % 3 == 1:
+            text = f"The chapter: {rng.choice(['introduction', 'gardening', 'afterwards'])} is long."
+        else:
+            text = f"Mode={rng.choice(['default', 'advanced', 'simple'])} was chosen."
+        rows.append((i, text))
+    got = {(r.doc_id, int(a), int(b)) for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for _, a, b in (s.split(":") for s in r.spans.split(",") if s)}
+    near = {(i, a) for i, a, _ in want}
+    assert len({(i, a) for i, a, _ in got} & near) > 0.97 * len(near) and len(got) <= 1.03 * len(near)
+
+
+def test_very_long_text_and_repeats(spark):
+    text = "word " * 200_000 + "mail a@b.example.org or token=0641917ea4e9feb9cda83477ff now " * 20
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
+    got = pii.report(docs).collect()
+    assert len({(r.n_email, r.base_sha256, r.spans) for r in got}) == 1 and got[0].n_email == 20
+
+
 def test_empty(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -65,3 +65,10 @@ def test_damage_is_noticed():
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_id_with_an_equal_payload(spark):
+    """Each row of the smallest id is a response; other ids revisit it."""
+    pages = spark.createDataFrame([(3, "u", "same"), (3, "u", "same"), (5, "u", "same"), (None, "u", "same"), (4, None, None)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=repr)
+    assert got == sorted([(3, "response", None), (3, "response", None), (5, "revisit", 3), (None, "revisit", 3), (4, "response", None)], key=repr)

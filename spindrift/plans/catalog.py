@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,19 +140,76 @@ def cleaned(spark, sf_dir) -> DataFrame:
 # Sources -----------------------------------------------------------------------------------------
 
 
+def _scratch(spark, name: str) -> str:
+    """A new place in the session's shared folder; in the warehouse, where it names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/spindrift-{uuid.uuid4().hex}/{name}"
+
+
+def _as_csv(spark, sf_dir, name: str) -> str:
+    """The comments as CSV files, as the scans find them; their path."""
+    path = _scratch(spark, name)
+    tables.write_csv(comments(spark, sf_dir), path)
+    return path
+
+
+_SCANNED = "doc_id bigint, clean_comment string, category int"
+
+
 @query(lambda: f"WITH {_COMMENTS} SELECT doc_id, CASE WHEN clean_comment NOT IN ({_listed(cleaning.NA_TOKENS)}) THEN clean_comment END AS clean_comment, category FROM comments")
-def s01_scan_with_na_tokens(spark, sf_dir):
-    return comments(spark, sf_dir).select("doc_id", cleaning.na_to_null(F.col("clean_comment")).alias("clean_comment"), "category")
+def s01_csv_scan(spark, sf_dir):
+    return tables.read_csv(spark, _as_csv(spark, sf_dir, "comments"), _SCANNED)
 
 
 @query(lambda: f"WITH {_COMMENTS} SELECT doc_id, coalesce(clean_comment, '') AS clean_comment, category FROM comments")
 def s02_scan_filled(spark, sf_dir):
-    return comments(spark, sf_dir).na.fill("")
+    return tables.read_filled(spark, _as_csv(spark, sf_dir, "comments"), _SCANNED)
 
 
 @query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL")
 def s03_scan_preprocessed(spark, sf_dir):
-    return cleaning.drop_null(comments(spark, sf_dir), ["clean_comment", "category"])
+    return tables.read_preprocessed(spark, _as_csv(spark, sf_dir, "comments"), ["clean_comment", "category"], _SCANNED)
+
+
+@query(lambda: f"""WITH {_COMMENTS} SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY category) * 0.2) AS is_test
+  FROM comments WHERE category IS NOT NULL""")
+def s04_split_sink(spark, sf_dir):
+    """Both parts of a split, written and read back."""
+    path = _scratch(spark, "split")
+    tables.write_split(*sampling.train_test(_labelled_comments(spark, sf_dir), "doc_id", stratify="category"), path)
+    parts = [spark.read.parquet(f"{path}/{name}").select("doc_id", "category", F.lit(name == "test").alias("is_test")) for name in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(lambda: f"WITH {_CLEANED} SELECT doc_id, nullif(cleaned, '') AS clean_comment, category FROM cleaned WHERE category IS NOT NULL AND cleaned NOT IN ({_listed(w for w in cleaning.NA_TOKENS if w)})")
+def s05_processed_sink(spark, sf_dir):
+    """Processed comments, written as CSV; read back, empty ones are null."""
+    path = _scratch(spark, "interim")
+    tables.write_csv(cleaned(spark, sf_dir).where("category is not null").select("doc_id", F.col("cleaned").alias("clean_comment"), "category"), path)
+    return tables.read_csv(spark, path, _SCANNED)
+
+
+@query(lambda: f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments WHERE category IS NOT NULL GROUP BY 1")
+def s06_single_csv(spark, sf_dir):
+    path = _scratch(spark, "counts")
+    tables.write_single_csv(stats.class_counts(_labelled_comments(spark, sf_dir)), path)
+    return tables.read_csv(spark, path, "category int, n long")
+
+
+@query(lambda: f"WITH {_sql_terms(1, 1, 1000)} SELECT doc_id, count(*) AS n_terms FROM terms JOIN vocab USING (term) GROUP BY 1")
+def s09_saved_vectorizer(spark, sf_dir):
+    """How many terms a vectorizer finds after it was saved and loaded."""
+    df, path = comments(spark, sf_dir), _scratch(spark, "vectorizer")
+    features.Vectorizer(1000, (1, 1)).fit(df, "clean_comment").save(path)
+    found = features.Vectorizer(1000, (1, 1)).load(path).transform(df, "clean_comment")
+    return found.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x != 0)).cast("long").alias("n_terms")).where("n_terms > 0")
+
+
+@query(lambda: "SELECT 'run-1' AS run_id, 'models/one' AS model_path")
+def s10_run_pointer(spark, sf_dir):
+    path = _scratch(spark, "pointer")
+    tables.write_pointer(spark, "run-1", "models/one", path)
+    return tables.read_pointer(spark, path)
 
 
 def _bodies(spark, sf_dir):
@@ -895,12 +953,6 @@ def e05_confusion_artifact(spark, sf_dir):
 # Registry ----------------------------------------------------------------------------------------
 
 
-def _scratch(spark, name: str) -> str:
-    """A new place in the session's shared folder; in the warehouse, where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/spindrift-{uuid.uuid4().hex}/{name}"
-
-
 @query(lambda: f"""WITH {_PREDICTED} SELECT 'run' AS run_id, 'sentiment' AS experiment, 'accuracy' AS metric, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS value FROM predicted""")
 def r01_run(spark, sf_dir):
     """A run's metric as it is read back."""

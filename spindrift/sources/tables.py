@@ -18,8 +18,6 @@ SENTIMENT_COUNTS = "sentiment_counts map<string, bigint>"
 PAGE = "items array<struct<snippet struct<topLevelComment struct<snippet struct<textOriginal string, publishedAt string, authorChannelId struct<value string>>>>>>, nextPageToken string"
 #: What a request without content is told (fixed values).
 MISSING = {"comments": "No comments provided", "sentiment_counts": "No sentiment counts provided", "sentiment_data": "No sentiment data provided"}
-#: Files of a table below which :func:`spread` deals its rows anew, whatever the cores.
-SMALL_FILES = 64
 #: A watch page's address, with the video's id (fixed value).
 VIDEO_URL = r"^https://(?:www\.)?youtube\.com/watch\?v=([\w-]{11})"
 
@@ -36,8 +34,8 @@ def read_filled(spark: SparkSession, path: str, schema: str = COMMENTS) -> DataF
     return read_csv(spark, path, schema).na.fill("")
 
 
-def read_preprocessed(spark: SparkSession, path: str, subset: list[str] | None = None) -> DataFrame:
-    return cleaning.drop_null(read_csv(spark, path), subset)
+def read_preprocessed(spark: SparkSession, path: str, subset: list[str] | None = None, schema: str = COMMENTS) -> DataFrame:
+    return cleaning.drop_null(read_csv(spark, path, schema), subset)
 
 
 def write_split(train: DataFrame, test: DataFrame, folder: str) -> None:
@@ -46,6 +44,11 @@ def write_split(train: DataFrame, test: DataFrame, folder: str) -> None:
     test.write.mode("overwrite").parquet(f"{folder}/test")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with headers, one for each partition."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_single_csv(df: DataFrame, path: str) -> None:
     """One CSV file; for small results."""
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
@@ -104,9 +107,11 @@ def request_sentiments(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores: one of fewer files than cores would leave most of them idle.  Tables of more files stay as they are."""
+    """A small table dealt to all cores: one of fewer files than cores, and of no more splits, would leave most of them idle.
+
+    Tables of more files or splits, as large ones are, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(cores, SMALL_FILES) else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores else df
 
 
 def comment_pages(pages: DataFrame, page: str = "page", at_most: int = 500) -> DataFrame:

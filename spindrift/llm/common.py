@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def release() -> None:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is already gone
+        except (Py4JError, ConnectionError, AttributeError):  # the session's JVM is already gone
             pass
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, sharding, toxicity, warc
+from spindrift.sources import tables
 
 
 
@@ -16,7 +17,7 @@ def tokenizer(name: str) -> str:
 
 
 def _documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_packing(spark, sf_dir):

@@ -15,8 +15,8 @@ BLOCK = 4096
 
 
 def draw(key: str, seed: int = SEED, salt: str = "") -> Column:
-    """A hash that orders rows at random, but always alike."""
-    return F.md5(F.concat(F.lit(f"{seed}|{salt}|"), F.col(key).cast("string")))
+    """A hash that orders rows at random, but always alike; a null key has that of an empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}|{salt}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def uniform(*parts: Column) -> Column:

@@ -118,7 +118,8 @@ def concatenated(df: DataFrame, text: str, order: str, then: str) -> DataFrame:
     summed up in ranges of ``order``, then over the ranges, of which there are few.  Null texts are left out."""
     rows = df.where(F.col(text).isNotNull()).select(order, then, text, (F.char_length(text) + 1).cast("long").alias("_n"))
     span = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    bucket = F.floor((F.col(order) - F.col("_lo")) * F.lit(RANGES) / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    real = lambda c: F.col(c).cast("double")
+    bucket = F.floor((real(order) - real("_lo")) * F.lit(RANGES) / (real("_hi") - real("_lo") + 1)).cast("int")
     placed = rows.crossJoin(F.broadcast(span)).withColumn("_b", bucket).drop("_lo", "_hi")
     sums = placed.groupBy("_b").agg(F.sum("_n").alias("_s"))
     earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -38,7 +38,7 @@ from spindrift.llm.common import skew_join, stage
 
 NEIGHBOURS, DIMENSIONS, CONFIDENCE = 10, 8, 0.95
 #: Bytes of a cell's vectors, the sample that places the cells, and the points of a kd-tree's leaf.
-CELL_BYTES, SAMPLE_POINTS, LEAF_POINTS = 32 << 20, 10_000, 128
+CELL_BYTES, SAMPLE_POINTS, LEAF_POINTS = 32 << 20, 10_000, 64
 #: Queries that a cell answers at a time, and points that a search carries beyond those asked for, as products round.
 QUERIES, SPARE = 512, 6
 SEED = 11

@@ -89,11 +89,9 @@ def lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last, lead = kind[end - 1] if len(end) else kind[:0], kind[begin] if len(begin) else kind[:0]
     share = lambda mask: np.bincount(of[mask], minlength=len(stop)) / np.maximum(n_words, 1)
     odd = (last != _LOWER) & (last != _UPPER) & (last != _LETTER) & (last != _END) & (last != _COMMA) & (last != _NUMBER)
-    row = np.concatenate([start, [len(cp)]])
     seen = segment.hashes(cp, start, stop)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     _, back, times = np.unique(np.c_[owner.astype(np.uint64), seen], axis=0, return_inverse=True, return_counts=True) if len(seen) else (None, np.empty(0, int), np.empty(0, int))
-    del row
     out = np.concatenate([
         counts / np.maximum(length, 1)[:, None],
         np.stack([

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from spindrift.llm import segment
-from spindrift.llm.common import bounded_batches
+from spindrift.llm.common import bounded_batches, tidy
 
 #: Code points of a leaf, and how far the first window reaches to either side of a cut.
 LEAF, REACH = 4096, 48
@@ -277,4 +277,4 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "ids", "decoded"],
                 )
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

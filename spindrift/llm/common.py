@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,21 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run):
+    """``run``, a function of batches, after which the worker hands freed memory back: workers stay alive between tasks, and several beside each other."""
+
+    def tidied(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # others keep what they are given back
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc can
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the session's process ends."""
     path = f"{shared_root(spark)}/spindrift/{uuid.uuid4().hex}/{name}"
@@ -65,12 +83,10 @@ def release() -> None:
     """Remove every staged table; results that read them can't be used any more."""
     while _STAGED:
         spark, path = _STAGED.pop()
-        try:
+        with contextlib.suppress(Py4JError, ConnectionError, AttributeError):  # the session's JVM may be gone
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except (Py4JError, ConnectionError, AttributeError):  # the session's JVM is already gone
-            pass
 
 
 atexit.register(release)
@@ -84,7 +100,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total
     thousand, are broadcast; the rest are shuffled, and rows that have met their
     hot key are dealt out by their content so that they don't gather anywhere.
     """
-    names = [c for c in right.columns if c != key]
+    # Written once, as both parts are taken from it: else each would be computed anew, and its sorts held beside those of the joins.
+    size = "_weight"
+    right = stage(right.withColumn(size, weight), "joined-by-key")
+    weight, names = F.col(size), [c for c in right.columns if c not in (key, size)]
     least = max(1, total // HOT_KEYS)
     named = lambda kind: [F.col(key).alias(f"_{kind}"), *[F.col(c).alias(f"_{kind}_{c}") for c in names]]
     hot = right.where(weight > least).select(*named("hot"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import filters
-from spindrift.llm.common import shared_path, skew_join, stage
+from spindrift.llm.common import shared_path, skew_join, stage, tidy
 
 #: White space that the normalisation deletes.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -128,7 +128,7 @@ class Index:
         """Merge ``entries`` by digest into a run of ``level``, with its filters."""
         run, self.made = self.made, self.made + 1
         dealt = entries.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket")
-        merged = dealt.sortWithinPartitions("digest", F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), "row").drop("bucket").mapInArrow(_merge, _RUN)
+        merged = dealt.sortWithinPartitions("digest", F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), "row").drop("bucket").mapInArrow(tidy(_merge), _RUN)
         merged.withColumn("bucket", self._bucket()).write.option("compression", "zstd").partitionBy("bucket").parquet(self._at(run))
         n = self._read([run]).count()
         self.runs[run] = (level, n)
@@ -153,7 +153,7 @@ class Index:
 
     def add(self, rows: DataFrame) -> None:
         """``rows``: digest, n_points, doc_id, row.  A batch becomes a run; then levels that are full are compacted."""
-        flushed = stage(rows.select("digest", F.col("n_points").cast("int").alias("n_points"), "doc_id", "row", F.lit(1).cast("long").alias("members")).mapInArrow(_memtable, _RUN), "flushed")
+        flushed = stage(rows.select("digest", F.col("n_points").cast("int").alias("n_points"), "doc_id", "row", F.lit(1).cast("long").alias("members")).mapInArrow(tidy(_memtable), _RUN), "flushed")
         self._write(flushed, 0)
         self.compact()
 
@@ -173,7 +173,7 @@ class Index:
         if len(self.runs) == 1:
             return held.drop("bucket")
         dealt = held.repartition(self.buckets, "bucket").sortWithinPartitions("digest", F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), "row")
-        return dealt.drop("bucket").mapInArrow(_merge, _RUN)
+        return dealt.drop("bucket").mapInArrow(tidy(_merge), _RUN)
 
     def lookup(self, asked: DataFrame) -> DataFrame:
         """The entries of ``asked.digest``, from those buckets of runs alone whose filters may hold one of them."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,9 +96,9 @@ def probe(spark, held: Filter):
     """A function of a column of digests: whether each may be a member."""
     shared = spark.sparkContext.broadcast(held)
 
-    @F.pandas_udf("boolean")
-    def maybe(digests: pd.Series) -> pd.Series:
-        return pd.Series(holds(shared.value.words, digests.tolist(), shared.value.k) if len(digests) else np.empty(0, bool))
+    @F.arrow_udf("boolean")
+    def maybe(digests: pa.Array) -> pa.Array:
+        return pa.array(holds(shared.value.words, digests.to_pylist(), shared.value.k) if len(digests) else np.empty(0, bool))
 
     return maybe
 

@@ -4,7 +4,7 @@ One hash function maps a document's distinct five-word shingles to numbers; the
 k smallest are its sketch.  Documents with equal sets collapse to one
 representative.  The 32 smallest numbers of each representative open inverted
 lists.  Documents with a similarity of 0.85 share at least so many of these 32
-numbers (but for one pair in a billion) that it is enough for each to list some
+numbers (but for one pair in a million) that it is enough for each to list some
 of its rarest; that keeps passages which very many documents share out of the
 lists.  Of lists with the same members one is compared.
 
@@ -13,7 +13,7 @@ overlap of each pair of similar size.  Below the smaller of both sketches' last
 numbers the sketches hold everything, so the ratio of shared to all numbers
 there estimates the similarity (and is the similarity, for sets within k).
 Pairs below the lowest count that a link's sketches can show, but for one link
-in a billion, are dropped.  Of the others a list first emits a spanning forest,
+in a million, are dropped.  Of the others a list first emits a spanning forest,
 strongest first, which is verified on the full sets by exact Jaccard; linked
 documents become components.  A second pass looks at lists whose members are
 still in different components: members with a doubtful partner meet in blocks
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import filters, segment
-from spindrift.llm.common import bounded_batches, skew_join, stage
+from spindrift.llm.common import bounded_batches, skew_join, stage, tidy
 from spindrift.llm.components import components
 
 WORDS = 5
@@ -48,9 +48,9 @@ K, LISTED = 256, 32
 #: A link: SHARE of 100 parts of the union are shared.
 SHARE = 85
 #: The chance that a link's sketches fall short of the count that the filter asks for.
-MISSED = 1e-9
+MISSED = 1e-6
 #: Members of a list that one task compares, and bytes of full sets, by blocks.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 #: Columns of a block's table of shared shingles that are held at a time.
 COLUMNS = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
@@ -161,7 +161,7 @@ def _text_key():
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id (a null as the largest number), a key of the text, n_shingles, a key of the whole set, its smallest numbers, its sketch."""
     keyed = docs.select("doc_id", "text", _text_key().alias("text_key"))
-    return keyed.mapInArrow(_sketches, "doc_id long, text_key binary, n_shingles long, set_key binary, low array<long>, sketch binary")
+    return keyed.mapInArrow(tidy(_sketches), "doc_id long, text_key binary, n_shingles long, set_key binary, low array<long>, sketch binary")
 
 
 def lists(reps: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _dealt(members: DataFrame, blocks, data: DataFrame, columns: tuple[str, ...]
 def candidate_pairs(members: DataFrame, sketched: DataFrame) -> DataFrame:
     """``members``: number, node, members, label.  Pairs (a, b, sure) of different labels, each once."""
     dealt = _dealt(members, F.ceil(F.col("members") / BLOCK), sketched, _SKETCHED)
-    pairs = dealt.mapInArrow(_by_unit(_SKETCHED, _first_of_unit, _pair_rows), "a long, b long, sure boolean")
+    pairs = dealt.mapInArrow(tidy(_by_unit(_SKETCHED, _first_of_unit, _pair_rows)), "a long, b long, sure boolean")
     return stage(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
 
 
@@ -404,7 +404,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     wanted = stage(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "rep", "set_key"), "asked")
     maybe = filters.probe(docs.sparkSession, filters.of(wanted.select(_key(F.col("rep")).alias("digest"))))
     texts = docs.where("doc_id is not null").select("doc_id", "text").where(maybe(_key(F.col("doc_id"))))
-    made = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(_full_sets, "set_key binary, shingles binary")
+    made = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(tidy(_full_sets), "set_key binary, shingles binary")
     return stage(made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.min("shingles").alias("shingles")), "full-sets")
 
 
@@ -431,7 +431,7 @@ def first_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes:
         return out
     sets = full_sets(docs, nodes, doubtful.select(F.explode(F.array("a", "b")).alias("node")))
     joined = doubtful.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return stage(out.unionByName(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")), "links")
+    return stage(out.unionByName(joined.select("a", "b", "x", "y").mapInArrow(tidy(_verify), "a long, b long")), "links")
 
 
 def further_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame | None:
@@ -441,7 +441,7 @@ def further_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, node
     apart = labelled.groupBy("number").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("members").alias("_members")).where("_lo <> _hi").select("number", "_members")
     rest = stage(skew_join(labelled, apart, "number", F.col("_members"), labelled.count()).where("_members is not null").drop("_members"), "lists-apart")
     dealt = _dealt(rest, F.ceil(F.col("members") / BLOCK), sketched, _SKETCHED)
-    open_ = stage(dealt.mapInArrow(_by_unit(_SKETCHED, _doubtful_of_unit, _member_rows), "number long, node long").distinct(), "doubtful")
+    open_ = stage(dealt.mapInArrow(tidy(_by_unit(_SKETCHED, _doubtful_of_unit, _member_rows)), "number long, node long").distinct(), "doubtful")
     if open_.isEmpty():
         return None
     held = open_.join(nodes.select("node", "n_shingles"), "node")
@@ -450,7 +450,7 @@ def further_links(docs: DataFrame, members: DataFrame, sketched: DataFrame, node
     both = stage(skew_join(held, sizes, "number", F.col("members"), held.count()), "doubtful-lists")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES))
     whole = _dealt(both.drop("n_shingles"), blocks, full_sets(docs, nodes, open_), _WHOLE)
-    return stage(whole.mapInArrow(_by_unit(_WHOLE, _exact_of_unit, _pair_rows), "a long, b long, sure boolean").select("a", "b").distinct(), "further-links")
+    return stage(whole.mapInArrow(tidy(_by_unit(_WHOLE, _exact_of_unit, _pair_rows)), "a long, b long, sure boolean").select("a", "b").distinct(), "further-links")
 
 
 def representatives(found: DataFrame) -> DataFrame:
@@ -470,6 +470,18 @@ def representatives(found: DataFrame) -> DataFrame:
     return stage(held.withColumn("node", own).drop("_rep", "_is"), "nodes")
 
 
+def merged(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b): those that are linked become one.  Only these go through the steps again."""
+    label = lambda c: F.coalesce(F.col(c), F.col(c[1:]))
+    of = lambda c: joined.select(F.col("node").alias(f"_n{c}"), F.col("component").alias(f"_{c}"))
+    met = more.join(of("a"), F.col("a") == F.col("_na"), "left").join(of("b"), F.col("b") == F.col("_nb"), "left")
+    again = stage(components(met.select(label("_a").alias("u"), label("_b").alias("v"))), "merged").select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    old = joined.join(again, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("_new", "component").alias("component"))
+    # Nodes that had no link before are components of their own.
+    first = again.join(joined.select(F.col("component").alias("_known")).distinct(), F.col("_old") == F.col("_known"), "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("component"))
+    return stage(old.unionByName(first), "components")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the largest number for none), n_shingles, set_key, text_key of every row."""
     found = stage(sketches(bounded_batches(docs)), "sketches")
@@ -484,7 +496,7 @@ def classes(docs: DataFrame) -> DataFrame:
     joined = stage(components(linked.toDF("u", "v")), "components")
     more = further_links(docs, members, sketched, nodes, joined)
     if more is not None and not more.isEmpty():
-        joined = stage(components(linked.unionByName(more).toDF("u", "v")), "components")
+        joined = merged(joined, more)
     named = reps.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"), "copies")
     # A component's number is its smallest node; where that stands for a repeated id, the id is looked up.
     stand_ins = reps.where("node <> rep").select(F.col("node").alias("_stand"), F.col("rep").alias("_for"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import skew_join, stage
+from spindrift.llm.common import skew_join, stage, tidy
 
 NEIGHBOURS, DIMENSIONS, CONFIDENCE = 10, 8, 0.95
 #: Bytes of a cell's vectors, the sample that places the cells, and the points of a kd-tree's leaf.
@@ -297,7 +297,7 @@ def nearest(rows: DataFrame, is_query, vector: str = "embedding", k: int = NEIGH
         columns = ["cell", "part", "kind", "key", "vector", "ids", "bound"]
         both = index.withColumns({"kind": F.lit(0), "bound": F.lit(0.0)}).select(*columns)
         both = both.unionByName(visits.withColumns({"kind": F.lit(1), "ids": F.lit(None).cast("array<long>")}).select(*columns))
-        return both.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind").mapInArrow(_searching(k + 1, dimensions, stop), _FOUND)
+        return both.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind").mapInArrow(tidy(_searching(k + 1, dimensions, stop)), _FOUND)
 
     # A point more than asked for, as a query's own may be among them.
     order = Window.partitionBy("asked").orderBy("score", "key")

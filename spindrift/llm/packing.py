@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import segment
-from spindrift.llm.common import bounded_batches, stage
+from spindrift.llm.common import bounded_batches, stage, tidy
 
 CAPACITY = 2048
 #: The id that ends every document.
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, _PIECES)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), _PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> Counter:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import bounded_batches, stage
+from spindrift.llm.common import bounded_batches, stage, tidy
 from spindrift.llm.labelled import Adam, sigmoid
 
 #: Kinds of spans in the order in which they sort; the last two are the method's own.
@@ -144,7 +144,7 @@ def find(docs: DataFrame) -> DataFrame:
             lists = [pa.array([[dict(zip(kinds, s, strict=False)) for s in x] for x in col], pa.list_(pa.struct([(n, pa.int32()) for n in kinds[:width]]))) for col, width in ((base, 3), (more, 4))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "base", "more"])
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def _decode(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,4 +236,4 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = pa.array([t if t is None else masked(t, accepted.value) for t in batch.column("text").to_pylist()], pa.string())
             yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import segment
-from spindrift.llm.common import bounded_batches
+from spindrift.llm.common import bounded_batches, tidy
 from spindrift.llm.labelled import Adam, fold, prior_shift, sample, sigmoid
 
 #: The bound of the training sample: so many documents, of up to so many characters each.
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], names=[*keep, name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
-    return bounded_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

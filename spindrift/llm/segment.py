@@ -15,15 +15,14 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from tokenizers import Regex, pre_tokenizers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points that count as white space (fixed values: Unicode's White_Space).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points taken at a time; a longer text comes alone.
-CHUNK = 1 << 18
-_SLOTS = 1 << 20
-_POOL = 1 << 22
+CHUNK = 1 << 16
+_SLOT_BITS = 19
+_POOL = 1 << 21
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
@@ -46,6 +45,8 @@ def every_point() -> np.ndarray:
 def split_classes() -> np.ndarray:
     """The class of each code point as the tokenizers library's patterns see it; its Unicode version may differ from Python's."""
     if "split" not in _tables:
+        from tokenizers import Regex, pre_tokenizers  # not for those who only hash words
+
         points_ = every_point()
         whole = points_.astype("<u4").tobytes().decode("utf-32-le")
         out = np.full(0x110000, OTHER, np.uint8)
@@ -180,13 +181,13 @@ class Lookup:
         self.clear()
 
     def clear(self):
-        self.key = np.zeros(_SLOTS, np.uint64)
-        self.first = np.zeros(_SLOTS, np.int64)
-        self.count = np.zeros(_SLOTS, np.int32)
+        self.key = np.zeros(1 << _SLOT_BITS, np.uint64)
+        self.first = np.zeros(1 << _SLOT_BITS, np.int64)
+        self.count = np.zeros(1 << _SLOT_BITS, np.int32)
         self.pool = np.zeros(_POOL, np.int32)
         self.used = 0
-        self.place = np.zeros(_SLOTS, np.int64)
-        self.size = np.zeros(_SLOTS, np.int32)
+        self.place = np.zeros(1 << _SLOT_BITS, np.int64)
+        self.size = np.zeros(1 << _SLOT_BITS, np.int32)
         self.points = np.zeros(2 * _POOL, np.uint32)
         self.filled = 0
 
@@ -196,7 +197,7 @@ class Lookup:
         start, end = self.split(cp, at)
         size = end - start
         h = hashes(cp, start, end)
-        slot = (h >> np.uint64(44)).astype(np.int64)
+        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         known = (self.key[slot] == h) & (self.size[slot] == size)
         own = np.flatnonzero(known)
         known[own[_unlike(cp, start[own], self.points, self.place[slot[own]], size[own])]] = False

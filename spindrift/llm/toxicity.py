@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import segment
-from spindrift.llm.common import bounded_batches
+from spindrift.llm.common import bounded_batches, tidy
 from spindrift.llm.labelled import fold, least, prior_shift, sample, sigmoid
 
 BITS = 20
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[a:b] += np.bincount(doc, weights[bucket], b - a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(out))], names=["doc_id", "score"])
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

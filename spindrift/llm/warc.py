@@ -32,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import bounded_batches, skew_join, stage
+from spindrift.llm.common import bounded_batches, skew_join, stage, tidy
 
 #: Bytes of records in an archive, and of those at its beginning that train its dictionary of at most so many bytes.
 ARCHIVE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 64 << 20, 4 << 20, 110 << 10
 LEVEL = 3
+#: Tasks that read archives at most; with more archives each reads several, one after the other.
+MOST_READERS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 #: Magic number of the skippable frame that holds a dictionary (fixed value).
 MAGIC = 0x184D2A5D
@@ -170,7 +172,7 @@ def write(pages: DataFrame) -> DataFrame:
         if out:
             yield _rows(out)
 
-    return stage(marked(bounded_batches(pages)).mapInArrow(run, FRAMES), "archives")
+    return stage(marked(bounded_batches(pages)).mapInArrow(tidy(run), FRAMES), "archives")
 
 
 def _rows(out) -> pa.RecordBatch:
@@ -199,8 +201,13 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    dealt = archives.repartition("archive").sortWithinPartitions("archive", "offset")
-    return dealt.select("archive", "frame").mapInArrow(run, READ)
+    return _in_order(archives).select("archive", "frame").mapInArrow(tidy(run), READ)
+
+
+def _in_order(archives: DataFrame) -> DataFrame:
+    """Frames in order, about an archive to a task, as long as there are no more than MOST_READERS archives."""
+    n = archives.select("archive").distinct().count()
+    return archives.repartition(min(max(n, 1), MOST_READERS), "archive").sortWithinPartitions("archive", "offset")
 
 
 def export(archives: DataFrame, folder: str) -> None:
@@ -221,7 +228,7 @@ def export(archives: DataFrame, folder: str) -> None:
             os.replace(f"{folder}/.{name}", f"{folder}/{name}.warc.zst")
         yield from ()
 
-    archives.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, "x int").write.format("noop").mode("overwrite").save()
+    _in_order(archives).mapInArrow(run, "x int").write.format("noop").mode("overwrite").save()
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_every_code_point(library):
 
 def test_words_of_one_hash(monkeypatch):
     """Words are told apart by their code points, whatever their hashes."""
-    monkeypatch.setattr(segment, "hashes", lambda cp, start, end: (end - start).astype(segment.np.uint64) << segment.np.uint64(44) | segment.np.uint64(1))
+    monkeypatch.setattr(segment, "hashes", lambda cp, start, end: (end - start).astype(segment.np.uint64) << segment.np.uint64(64 - segment._SLOT_BITS) | segment.np.uint64(1))
     seen = segment.Lookup(segment.byte_words, lambda w: [len(w), *map(ord, w)])
     for texts in (["ab cd ab", "xy"], ["cd ab xy zz", "zz"], ["ab"]):
         start, end, ids, count, _ = seen.words(texts)

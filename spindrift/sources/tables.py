@@ -110,7 +110,10 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table dealt to all cores: one of fewer files than cores, and of no more splits, would leave most of them idle.
 
     Tables of more files or splits, as large ones are, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    context = getattr(df.sparkSession, "sparkContext", None)  # a remote session has none
+    if context is None:
+        return df
+    cores = context.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores else df
 
 

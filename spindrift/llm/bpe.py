@@ -268,6 +268,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         segment.use(kinds)
         tree = encoder(path, odd.value)
+        try:
+            yield from encoded(tree, batches)
+        finally:
+            tree.words.clear()  # what is known of words would stay with a worker that waits
+
+    def encoded(tree, batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in segment.chunks(texts):

@@ -93,6 +93,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches):
         segment.use(kinds)
         enc = encoder(path)
+        try:
+            yield from cut(enc, batches)
+        finally:
+            enc.words.clear()  # what is known of words would stay with a worker that waits
+
+    def cut(enc, batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("doc_id")

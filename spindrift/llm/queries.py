@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, sharding, toxicity, warc
+from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, rolling, sharding, toxicity, warc
 from spindrift.sources import tables
 
 
@@ -79,9 +79,31 @@ def op10_bpe(spark, sf_dir):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_rolling(spark, sf_dir):
+    return rolling.windows_of_documents(_documents(spark, sf_dir))
+
+
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def _op11_sql() -> str:
+    def of(width: int) -> str:
+        frame = f"OVER (PARTITION BY source ORDER BY event_s RANGE BETWEEN {width} PRECEDING AND 1 PRECEDING)"
+        return f"""SELECT doc_id, {width} AS window_s, event_s, count(*) {frame} AS n_events, sum(n) {frame} AS total, count(DISTINCT lang) {frame} AS n_langs,
+    list_sort(list(n) FILTER (WHERE n IS NOT NULL) {frame}) AS held FROM e"""
+
+    return f"""WITH steps AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: {_CRC_STEP}) AS v FROM range(256) AS r(i)), tab AS (SELECT list(v ORDER BY i) AS t FROM steps),
+ h AS (SELECT doc_id, source, lang, length(text) AS n, {_CRC} AS h FROM documents, tab),
+ e AS (SELECT doc_id, source, lang, n, 60 * CAST(floor((doc_id + h % 10000) / 6) AS BIGINT) AS event_s FROM h),
+ w AS ({of(600)} UNION ALL {of(43200)})
+SELECT doc_id, CAST(window_s AS BIGINT) AS window_s, event_s, CAST(n_events AS BIGINT) AS n_events, CAST(coalesce(total, 0) AS BIGINT) AS sum_chars, CAST(n_langs AS BIGINT) AS n_langs,
+ CAST(held[(len(held) + 1) // 2] AS BIGINT) AS median_chars, CAST(held[(9 * len(held) + 9) // 10] AS BIGINT) AS high_chars FROM w"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe, op11_rolling)}
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op11_rolling": _op11_sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, rolling, sharding, toxicity, warc
+from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, ranking, rolling, sharding, toxicity, warc
 from spindrift.sources import tables
 
 
@@ -101,9 +101,29 @@ SELECT doc_id, CAST(window_s AS BIGINT) AS window_s, event_s, CAST(n_events AS B
  CAST(held[(len(held) + 1) // 2] AS BIGINT) AS median_chars, CAST(held[(9 * len(held) + 9) // 10] AS BIGINT) AS high_chars FROM w"""
 
 
+def op13_ranking(spark, sf_dir):
+    return ranking.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_TERMS = r"regexp_extract_all(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\x00', ' ', 'g'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+ w AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM w),
+ each AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM w),
+ p AS (SELECT doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+ f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, s),
+ scored AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+   FROM q JOIN p USING (term) JOIN v USING (term), s GROUP BY 1, 2),
+ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe, op11_rolling)}
+    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe, op11_rolling, op13_ranking)}
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL, "op11_rolling": _op11_sql()}
+    return {"op5_exact_dedup": OP5_SQL, "op11_rolling": _op11_sql(), "op13_ranking": OP13_SQL}

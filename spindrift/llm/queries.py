@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, near_dedup, neighbours, packing, pii, quality, ranking, rolling, sharding, toxicity, warc
+from spindrift.llm import bpe, exact_dedup, language, near_dedup, neighbours, packing, pii, quality, ranking, rolling, sharding, toxicity, warc
 from spindrift.sources import tables
 
 
@@ -101,6 +101,10 @@ SELECT doc_id, CAST(window_s AS BIGINT) AS window_s, event_s, CAST(n_events AS B
  CAST(held[(len(held) + 1) // 2] AS BIGINT) AS median_chars, CAST(held[(9 * len(held) + 9) // 10] AS BIGINT) AS high_chars FROM w"""
 
 
+def op12_language(spark, sf_dir):
+    return language.classify(_documents(spark, sf_dir))
+
+
 def op13_ranking(spark, sf_dir):
     return ranking.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -122,7 +126,7 @@ SELECT * FROM ranked WHERE rank <= 10
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe, op11_rolling, op13_ranking)}
+    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_near_dedup, op4_sharding, op5_exact_dedup, op6_quality, op7_warc, op8_pii, op9_toxicity, op10_bpe, op11_rolling, op12_language, op13_ranking)}
 
 
 def oracle_sql():

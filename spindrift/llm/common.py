@@ -94,6 +94,29 @@ def release() -> None:
 atexit.register(release)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or with marks added what no column of the frames begins with, upper or lower case."""
+    taken = [c.lower() for df in frames for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their place: functions of batches can't take every name."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def _content(df: DataFrame) -> Column:
+    """A hash of a row's columns, but for those that hold maps, which Spark doesn't hash."""
+    return F.xxhash64(*[column(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
     """Left join with ``right``, which has one row for each key, text, binary or a whole number that isn't negative.
 
@@ -101,22 +124,24 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total
     with more than a thousandth of them, of which there can't be over a
     thousand, are broadcast; the rest are shuffled, and rows that have met their
     hot key are dealt out by their content so that they don't gather anywhere.
+    Columns of ``left`` may have any name but those of ``right``'s own.
     """
     # Written once, as both parts are taken from it: else each would be computed anew, and its sorts held beside those of the joins.
-    size = "_weight"
+    own = fresh("_join", left, right)
+    size, by = f"{own}_weight", f"{own}_by"
+    names = [c for c in right.columns if c != key]
     right = stage(right.withColumn(size, weight), "joined-by-key")
-    weight, names = F.col(size), [c for c in right.columns if c not in (key, size)]
     least = max(1, total // HOT_KEYS)
-    named = lambda kind: [F.col(key).alias(f"_{kind}"), *[F.col(c).alias(f"_{kind}_{c}") for c in names]]
-    hot = right.where(weight > least).select(*named("hot"))
+    named = lambda kind: [column(key).alias(f"{own}_{kind}"), *[column(c).alias(f"{own}_{kind}_{c}") for c in names]]
+    hot = right.where(F.col(size) > least).select(*named("hot"))
     # A key that no row has keeps this side from being empty: then the plan is the same whatever the data.
     nobody = {"long": F.lit(-1), "string": F.lit("")}.get(right.schema[key].dataType.typeName(), F.lit(b"")).cast(right.schema[key].dataType)
-    none = left.sparkSession.range(1).select(nobody.alias("_hot"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_hot_{c}") for c in names])
+    none = left.sparkSession.range(1).select(nobody.alias(f"{own}_hot"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"{own}_hot_{c}") for c in names])
     hot = hot.unionByName(none)
-    cold = right.where(weight <= least).select(*named("cold"))
-    kind, h = left.schema[key].dataType, F.xxhash64(*left.columns)
+    cold = right.where(F.col(size) <= least).select(*named("cold"))
+    kind, h = left.schema[key].dataType, _content(left)
     spread = F.when(h < 0, h).otherwise(-h - 1) if kind.typeName() == "long" else F.concat(F.lit("~"), h.cast("string")).cast(kind)
-    met = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    met = met.withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
-    out = met.join(cold, F.col("_by") == F.col("_cold"), "left")
-    return out.select(*left.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names])
+    met = left.join(F.broadcast(hot), column(key) == F.col(f"{own}_hot"), "left")
+    met = met.withColumn(by, F.when(F.col(f"{own}_hot").isNull(), column(key)).otherwise(spread))
+    out = met.join(cold, F.col(by) == F.col(f"{own}_cold"), "left")
+    return out.select(*[column(c) for c in left.columns], *[F.coalesce(column(f"{own}_hot_{c}"), column(f"{own}_cold_{c}")).alias(c) for c in names])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import skew_join, stage
+from spindrift.llm.common import column, fresh, skew_join, stage
 
 #: Bits for each member, up to MOST_BITS in all (64 MiB): a filter of more members lets more strangers pass, but never loses a member.
 MEMBER_BITS, MOST_BITS, LEAST_BITS = 16, 1 << 29, 1 << 16
@@ -108,10 +108,13 @@ def kept_rows(docs: DataFrame, key: Column, verdicts: DataFrame, extra: int = 0)
 
     ``verdicts``: key and stays, a row for each row of ``docs``, and ``extra`` more for a key that stays.  A filter of the keys that go, or that several
     rows have, decides which rows travel; all others stay where they are, so what is shuffled is about what is dropped."""
-    per = verdicts.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("stays").alias("_stays"))
-    moved = stage(per.where(f"_n > {1 + extra} or not _stays"), "moved")
-    maybe = probe(docs.sparkSession, of(moved.select(F.col("key").alias("digest"))))
-    own = docs.withColumn("_key", key)
-    rest = skew_join(own.where(maybe("_key")), moved.withColumnRenamed("key", "_key"), "_key", F.col("_n"), moved.agg(F.sum("_n")).first()[0] or 0)
-    settled = rest.where(F.coalesce("_stays", F.lit(True))).dropDuplicates(["_key"])
-    return own.where(~maybe("_key")).select(*docs.columns).unionByName(settled.select(*docs.columns))
+    own = fresh("_kept", docs)
+    k, n, stays = f"{own}_key", f"{own}_n", f"{own}_stays"
+    per = verdicts.select(F.col("key").alias(k), "stays").groupBy(k).agg(F.count(F.lit(1)).alias(n), F.max("stays").alias(stays))
+    moved = stage(per.where((F.col(n) > 1 + extra) | ~F.col(stays)), "moved")
+    maybe = probe(docs.sparkSession, of(moved.select(F.col(k).alias("digest"))))
+    columns = [column(c) for c in docs.columns]
+    held = docs.withColumn(k, key)
+    rest = skew_join(held.where(maybe(k)), moved, k, F.col(n), moved.agg(F.sum(n)).first()[0] or 0)
+    settled = rest.where(F.coalesce(stays, F.lit(True))).dropDuplicates([k])
+    return held.where(~maybe(k)).select(*columns).unionByName(settled.select(*columns))

@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     The bound: ``rows`` documents of up to ``max_chars`` characters each; which
     ones is decided by a hash of the id.  A longer document is not left out: it
     is cut into pieces of that length, one of which its id's hash picks.  Rows
-    without label, id or text and rows whose fold is held out are not used.
+    without label, id or text and rows whose fold is held out are not used; of rows
+    that share an id one counts, and of labels that do the smaller.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -27,10 +28,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(rows // 2)
         drawn = part if drawn is None else drawn.unionByName(part)
-    drawn = drawn.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "y")
+    drawn = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.min("y").alias("y"))
     pieces = F.greatest(F.ceil(F.char_length("text") / max_chars), F.lit(1))
     piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), pieces) * max_chars + 1).cast("int"), F.lit(max_chars))
-    got = docs.where(F.col("text").isNotNull()).select("doc_id", piece.alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
+    met = docs.where(F.col("text").isNotNull()).select("doc_id", piece.alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    # One row of an id, the least text, so that ids that many rows repeat don't break the bound; summed up before the shuffle.
+    got = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toArrow().sort_by("doc_id")
     return got["text"].to_pylist(), got["y"].to_numpy().astype(np.float64), share
 
 

@@ -171,19 +171,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """``number``: gapless from 0 within each length."""
+    """``number``: gapless from 0 within each length; ``row``, a number of its own for each piece, deals them out."""
     buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("length").alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    nth = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece"))
+    nth = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("row"))
     out = dealt.withColumn("_nth", nth).join(sizes, F.expr("length = _l and _bucket = _b"))
     return out.withColumn("number", F.col("_first") + F.col("_nth") - 1).drop("_bucket", "_l", "_b", "_first", "_nth")
 
 
 def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``found``: doc_id, piece, length and more, read from a table.  Adds sequence_id and offset."""
+    """``found``: row, length and more, read from a table.  Adds sequence_id and offset."""
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most `capacity` rows
     steps, _ = plan(counts, capacity)
     held = found.sparkSession.sparkContext.broadcast(steps)
@@ -207,8 +207,8 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """Every piece with its sequence and its place there; its ids, or their CRC-32 alone."""
     found = pieces(docs, path, capacity)
-    found = found.withColumn("ids_crc32", F.crc32("ids"))
-    return place(stage(found if keep_ids else found.drop("ids"), "pieces"), capacity)
+    found = found.withColumns({"ids_crc32": F.crc32("ids"), "row": F.monotonically_increasing_id()})
+    return place(stage(found if keep_ids else found.drop("ids"), "pieces"), capacity).drop("row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import bounded_batches, stage, tidy
+from spindrift.llm.common import bounded_batches, numbered_columns, stage, tidy
 from spindrift.llm.labelled import Adam, sigmoid
 
 #: Kinds of spans in the order in which they sort; the last two are the method's own.
@@ -38,12 +38,18 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Forms of candidates: a key and a value; digits in groups as in telephone numbers.
-_ASSIGNED = re.compile(r"(?<![\w-])[_-]*+([A-Za-z][A-Za-z_-]++)\x20?[=:]\x20?([\"']?)([A-Za-z0-9+/_.-]{6,}+)")
+#: What stands before a value: a key, perhaps in quotes, a sign, perhaps how it authorises, perhaps a quote.
+_ASSIGNED = re.compile(r"(?<![\w-])[_-]*+([A-Za-z][A-Za-z0-9_-]++)[\"']?[\x20\t]*+(=>|:=|[=:])[\x20\t]*+(?:(?:Bearer|Basic|Token)[\x20\t]++)?([\"']?)")
+_LINE, _BLANK = re.compile(r"[\n\r]"), re.compile(r"\s")
+#: Characters that end a value's sentence or brackets rather than the value (fixed values).
+_AFTER = ",;.)]}>\"'"
+#: The least length of a value.
+_SHORTEST = 6
+#: Digits in groups as in telephone numbers.
 _GROUPED = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 #: Words that announce credentials or telephone numbers (fixed values).
 GAZETTEER = {
-    "secret": ["password", "passwd", "pwd", "pass", "secret", "token", "apikey", "api_key", "api-key", "key", "access_key", "auth", "credential", "login", "contraseña", "clave", "passwort", "kennwort", "geheimnis", "mot_de_passe", "jeton"],
+    "secret": ["password", "passwd", "pwd", "pass", "secret", "token", "apikey", "api_key", "api-key", "key", "access_key", "auth", "authorization", "bearer", "credential", "login", "contraseña", "clave", "passwort", "kennwort", "geheimnis", "mot_de_passe", "jeton"],
     "number": ["phone", "tel", "telephone", "mobile", "cell", "call", "fax", "contact", "teléfono", "móvil", "llame", "telefon", "handy", "anruf", "téléphone", "portable", "appelez"],
 }
 _LISTED = {k: frozenset(v) for k, v in GAZETTEER.items()}
@@ -88,17 +94,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def _votes(kind: int, text: str, start: int, stop: int, key: str, quoted: bool) -> int:
-    """The pattern: four votes (0 against, 1 none, 2 for), then the value's length and its share of digits, in steps, then the kind."""
+def _votes(kind: int, text: str, start: int, stop: int, key: str, sure: bool) -> int:
+    """The pattern: four votes (0 against, 1 none, 2 for), then the value's length and its share of digits, in steps, then the kind.
+
+    ``sure``: a quoted value, or one after a sign that assigns."""
     value, listed = text[start:stop], _LISTED[KINDS[kind]]
     before = _WORD.findall(text[max(0, start - 40) : start])[-3:]
-    near = {w.lower() for w in before} | {key.lower()} if key else {w.lower() for w in before}
+    near = {w.lower() for w in before} | _names(key)
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
     if kind == 4:
-        form = 2 if _STRONG.fullmatch(value) else 0 if value.isalpha() else 1
-        signs = 2 if quoted or text[start - 1] == "=" else 1 if text[start - 1] == ":" else 0
-        mix = 2 if digits >= 3 and letters >= 3 else 0 if not digits or not letters else 1
+        blank = any(c.isspace() for c in value)
+        every = 0 < digits and 0 < letters and digits + letters < len(value) and not blank
+        address = "://" in value or value[0] in "/.#"
+        form = 0 if value.isalpha() or address else 2 if _STRONG.fullmatch(value) or every and len(value) >= 8 else 1
+        signs = 2 if sure else 1
+        mix = 2 if digits >= 3 and letters >= 3 or every else 0 if not digits or not letters else 1
     else:
         form = 2 if value[0] == "(" or "-" in value else 1
         signs = 2 if text[start - 1 : start] == ":" or text[start - 2 : start] == ": " else 1
@@ -112,23 +123,69 @@ def _votes(kind: int, text: str, start: int, stop: int, key: str, quoted: bool)
     return ((code * 5 + step) * 4 + share) * 2 + kind - 4
 
 
+def _names(key: str) -> set[str]:
+    """A key, and the words it is made of, without digits at their ends."""
+    whole = key.lower()
+    return {w.strip("0123456789") for w in (whole, *re.split("[_-]", whole))} - {""}
+
+
+class _Ahead:
+    """Where something next occurs in a text, looked for once however often it is asked in order."""
+
+    def __init__(self, text: str, what):
+        self.text, self.what, self.at = text, what, -1
+
+    def after(self, start: int) -> int:
+        if self.at < start:
+            m = self.what.search(self.text, start)
+            self.at = m.start() if m else len(self.text)
+        return self.at
+
+
+_ADDRESS = re.compile("://")
+
+
+def _assigned(text: str) -> list[tuple[int, int, int, str, bool]]:
+    """(start, end, kind, key, sure) of values that a key announces: to the closing quote, or without one to white space."""
+    out, last = [], 0
+    line, blank, address = _Ahead(text, _LINE), _Ahead(text, _BLANK), _Ahead(text, _ADDRESS)
+    for m in _ASSIGNED.finditer(text):
+        start, quote = m.end(), m[3]
+        if out and m.start() == out[-1][0] and not out[-1][4] and not _names(out[-1][3]) & _LISTED["secret"]:
+            last = out.pop()[0]  # what follows a colon is a key of its own
+        if start < last:
+            continue
+        stop = text.find(quote, start, line.after(start)) if quote else -1
+        closed = stop >= 0
+        if not closed:
+            stop = blank.after(start)
+            # An address is no value, but what it hands over may be one.
+            if text.startswith("//", start) or address.after(start) < stop:
+                continue
+            while stop > start and text[stop - 1] in _AFTER:
+                stop -= 1
+        if stop - start >= _SHORTEST:
+            out.append((start, stop, 4, m[1], closed or "=" in m[2]))
+            last = stop
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(kind, start, end, pattern) of candidates that touch no base span, nor each other."""
-    found = []
-    if "=" in text or ":" in text:
-        for m in _ASSIGNED.finditer(text):
-            found.append((m.start(3), m.end(3), 4, m[1], bool(m[2])))
+    """(kind, start, end, pattern) of candidates that don't touch each other, nor base spans; a value whose key is listed may reach beyond these."""
+    found = _assigned(text) if "=" in text or ":" in text else []
     for m in _GROUPED.finditer(text):
         found.append((*m.span(), 5, "", False))
     if not found:
         return []
     taken = sorted((s, e) for _, s, e in base)
     out, last, k = [], 0, 0
-    for start, stop, kind, key, quoted in sorted(found):
+    for start, stop, kind, key, sure in sorted(found):
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if start >= last and (k == len(taken) or taken[k][0] >= stop):
-            out.append((kind, start, stop, _votes(kind, text, start, stop, key, quoted)))
+        free = k == len(taken) or taken[k][0] >= stop
+        beyond = not free and kind == 4 and (taken[k][0] > start or taken[k][1] < stop) and bool(_names(key) & _LISTED["secret"])
+        if start >= last and (free or beyond):
+            out.append((kind, start, stop, _votes(kind, text, start, stop, key, sure)))
             last = stop
     return out
 
@@ -233,7 +290,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([t if t is None else masked(t, accepted.value) for t in batch.column("text").to_pylist()], pa.string())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+            texts = pa.array([t if t is None else masked(t, accepted.value) for t in batch.column(at).to_pylist()], pa.string())
+            yield batch.set_column(at, batch.schema.names[at], texts)
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    at, held = docs.columns.index("text"), numbered_columns(docs)
+    return held.mapInArrow(tidy(run), held.schema).toDF(*docs.columns)

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spindrift.llm import segment
-from spindrift.llm.common import bounded_batches, tidy
+from spindrift.llm.common import bounded_batches, column, fresh, numbered_columns, tidy
 from spindrift.llm.labelled import Adam, fold, prior_shift, sample, sigmoid
 
 #: The bound of the training sample: so many documents, of up to so many characters each.
@@ -192,17 +193,19 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     """The columns named by ``keep`` (doc_id), and the score by a name that isn't among them."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
+    wide = list(dict.fromkeys([*keep, "text"]))
+    at, rows = wide.index("text"), numbered_columns(docs.select(*[column(c) for c in wide]))
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             out = np.empty(len(texts))
             for a, b in segment.chunks(texts):
                 out[a:b] = scores(held.value, texts[a:b])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out)], names=[*batch.schema.names[: len(keep)], "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
-    return bounded_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
+    schema = StructType(rows.schema.fields[: len(keep)]).add("score", "double")
+    return bounded_batches(rows).mapInArrow(tidy(run), schema).toDF(*keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,7 +216,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
+    name = fresh("_score", docs)
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= THRESHOLD).select(*[column(c) for c in docs.columns])

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import labelled, quality, toxicity
 
@@ -170,3 +171,11 @@ def test_keep_good_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "Plain words here.", "en", "s", 17)], "doc_id long, text string, lang string, source string, n_chars long")
     known = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.keep_good(docs, known).collect()[0].asDict() == docs.collect()[0].asDict()
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    """Thousands of rows of one id, and of one label, give one text."""
+    docs = spark.createDataFrame([(1, f"text {k:05d}") for k in range(3000)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0), (2, 1)], "doc_id long, toxic int")
+    texts, y, _ = labelled.sample(docs, labels, "toxic", F.lit(True), 10, 100)
+    assert texts == ["text 00000", "other"] and y.tolist() == [0, 1]

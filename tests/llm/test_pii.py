@@ -113,6 +113,37 @@ def test_added_spans_on_labelled_texts(spark):
     assert len({(i, a) for i, a, _ in got} & near) > 0.97 * len(near) and len(got) <= 1.03 * len(near)
 
 
+def test_every_form_of_a_secret_is_masked_whole(spark):
+    """Signs in values, blanks around the sign, quotes around keys and values, digits in keys, schemes; beside clean texts."""
+    rng = random.Random(11)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    forms = [
+        lambda: (some(letters, 6) + some("23456789", 3) + "!!x" + some("23456789", 2), "password = {} and so on"), lambda: (some(letters, 8) + some("0123456789", 8), '{{"api_key": "{}", "n": 3}}'),
+        lambda: (some("0123456789abcdef", 32), "api_key={}"), lambda: ("p@ss" + some(letters, 3) + "!9" + some("0123456789", 3) + "Xy", "key1={}, then more"), lambda: (some(letters, 9) + some("0123456789", 5), "secret  =  '{}'"),
+        lambda: (some(letters + "0123456789", 40) + "." + some(letters + "0123456789", 40) + "9a", "Authorization: Bearer {}\nnext"), lambda: (f"{some(letters, 5)} {some(letters, 5)} {some('0123456789', 4)}", 'db_password: "{}"'),
+        lambda: (some(letters, 9) + some("0123456789", 4), "see https://x.example.org/a?token={} there"), lambda: (f"{some(letters, 4)}9@mail.example.org7#{some('0123456789', 4)}", "password={} end"),
+    ]
+    secrets = [form() for _ in range(60) for form in forms]
+    rows = [(i, "The text before it: " + form.format(secret) + " goes on.") for i, (secret, form) in enumerate(secrets)]
+    clean = ["The chapter: introduction is long.", "He said: \"I will go there tomorrow\" and went.", "Mode=default was chosen.", "At 12:30:45 it rained.", "see https://x.example.org/path/to/page for more", "ratio: 12345678 or so", "a = b and c := d"]
+    rows += [(1000 + k, clean[k % len(clean)]) for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    left = [got[i] for i, (secret, _) in enumerate(secrets) if any(part in got[i] for part in (secret[k : k + 4] for k in range(0, len(secret) - 3)))]
+    assert not left, left[:5]
+    assert sum(got[i] == t for i, t in rows if i >= 1000) >= 0.98 * 700
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    for i, (secret, _) in enumerate(secrets):
+        at = rows[i][1].index(secret)
+        assert f"secret:{at}:{at + len(secret)}" in spans[i].split(",")
+
+
+def test_many_keys_stay_linear():
+    for text in ("a1=" * 300_000, 'a1="' * 200_000, "a1=://" * 200_000, "a1 = \t" * 200_000, "a1='\n" * 200_000):
+        pii.candidates(text, [])
+
+
 def test_very_long_text_and_repeats(spark):
     text = "word " * 200_000 + "mail a@b.example.org or token=0641917ea4e9feb9cda83477ff now " * 20
     docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")

@@ -21,14 +21,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     without label, id or text and rows whose fold is held out are not used; of rows
     that share an id one counts, and of labels that do the smaller.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     drawn = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(rows // 2)
         drawn = part if drawn is None else drawn.unionByName(part)
-    drawn = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.min("y").alias("y"))
+    drawn = drawn.select(F.col("doc_id").alias("_id"), "y")
     pieces = F.greatest(F.ceil(F.char_length("text") / max_chars), F.lit(1))
     piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), pieces) * max_chars + 1).cast("int"), F.lit(max_chars))
     met = docs.where(F.col("text").isNotNull()).select("doc_id", piece.alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))

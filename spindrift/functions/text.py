@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space, as the inside of a character class (fixed values; written so that Java's and RE2's regular expressions agree).
@@ -39,15 +39,15 @@ VECTORIZER_STOP_WORDS = (
     "towards twelve twenty two un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon "
     "wherever whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves"
 ).split()
-#: Suffix rules for nouns, tried in this order against a lexicon (fixed values).
-NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
+#: Suffix rules for nouns, tried against a lexicon (fixed values); the last two are added for plurals that lists of exceptions have elsewhere.
+NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"), ("oes", "o"), ("zzes", "z")]
 #: Irregular plurals, and words that look like plurals but are none (fixed values).
 NOUN_EXCEPTIONS = {
     "aches": "ache", "calves": "calf", "children": "child", "cookies": "cookie", "elves": "elf", "feet": "foot", "geese": "goose", "halves": "half", "knives": "knife",
-    "leaves": "leaf", "lives": "life", "loaves": "loaf", "mice": "mouse", "movies": "movie", "oxen": "ox", "people": "people", "scarves": "scarf", "selfies": "selfie",
+    "leaves": "leaf", "lives": "life", "loaves": "loaf", "men": "man", "mice": "mouse", "movies": "movie", "oxen": "ox", "people": "people", "scarves": "scarf", "selfies": "selfie",
     "shelves": "shelf", "teeth": "tooth", "thieves": "thief", "wives": "wife", "wolves": "wolf", "zombies": "zombie",
 }
-NO_PLURALS = "abdomen acumen always amen besides cosmos gas lens news omen perhaps ramen regimen series sometimes specimen species towards whereas".split()
+NO_PLURALS = "abdomen acumen always amen besides cosmos gas lens news omen perhaps ramen regimen series sometimes specimen species thus towards whereas".split()
 #: Words of a vectorizer: two or more letters, numbers or underscores in a row.
 _ANALYZER = r"[\p{L}\p{N}_]{2,}"
 
@@ -129,68 +129,6 @@ def counted(words: Column) -> Column:
     return F.when(F.size(words) > 0, let(F.sort_array(words), runs))
 
 
-def lemma(word: Column) -> Column:
-    """The singular of a plural noun, by the word alone: exceptions, then endings.
-
-    No lexicon and no other text is asked, so a comment has the same lemmas wherever it stands.
-    Words of up to three letters and those in -ss, -us and -is stay as they are."""
-    short = F.substring(word, F.lit(1), F.char_length(word) - 1)
-    shorter = F.substring(word, F.lit(1), F.char_length(word) - 2)
-    irregular = F.create_map(*[F.lit(x) for pair in NOUN_EXCEPTIONS.items() for x in pair])
-    return (
-        F.when(~F.endswith(word, F.lit("s")) & ~word.isin(list(NOUN_EXCEPTIONS)) & ~F.endswith(word, F.lit("men")), word)
-        .when(word.isin(list(NOUN_EXCEPTIONS)), F.try_element_at(irregular, word))
-        .when((F.char_length(word) < 4) & (word != "men") | word.isin(NO_PLURALS) | word.rlike("(ss|us|is)$"), word)
-        .when(F.endswith(word, F.lit("men")), F.concat(shorter, F.lit("an")))
-        .when(F.endswith(word, F.lit("ies")) & (F.char_length(word) > 4), F.concat(F.substring(word, F.lit(1), F.char_length(word) - 3), F.lit("y")))
-        .when(word.rlike("(ch|sh|ss|x|z)es$"), shorter)
-        .otherwise(short)
-    )
-
-
-def normalised(c: Column) -> Column:
-    """The full normaliser: ``clean`` and noun lemmas.  Null stays null."""
-    return joined(F.transform(tokens(clean(c)), lemma))
-
-
-def lemma_candidates(word: Column) -> Column:
-    """(rank, candidate): the word itself, its irregular singular, and what the suffix rules make of it."""
-    cands = [F.struct(F.lit(0).alias("rank"), word.alias("candidate"))]
-    irregular = F.create_map(*[F.lit(x) for pair in NOUN_EXCEPTIONS.items() for x in pair])
-    cands.append(F.struct(F.lit(1).alias("rank"), F.try_element_at(irregular, word).alias("candidate")))
-    for k, (old, new) in enumerate(NOUN_RULES, 2):
-        stem = F.substring(word, F.lit(1), F.char_length(word) - len(old))
-        cands.append(F.struct(F.lit(k).alias("rank"), F.when(F.endswith(word, F.lit(old)), F.concat(stem, F.lit(new))).alias("candidate")))
-    return F.filter(F.array(*cands), lambda x: x["candidate"].isNotNull() & (x["candidate"] != ""))
-
-
-def lemma_map(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, lemma) for every different word: of the candidates that the lexicon (a column ``word``) has, the shortest, then the first by rule; else the word."""
-    words = words.select("word").distinct()
-    known = lexicon.select(F.col("word").alias("candidate")).distinct()
-    tried = words.select("word", F.explode(lemma_candidates(F.col("word"))).alias("x")).select("word", "x.rank", "x.candidate")
-    best = F.min(F.struct(F.char_length("candidate").alias("n"), "rank", "candidate"))
-    found = tried.join(known, "candidate").groupBy("word").agg(best.alias("b")).select("word", F.col("b.candidate").alias("lemma"))
-    return words.join(found, "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
-
-
-def normalise(df: DataFrame, key: str, text: str, out: str, lexicon: DataFrame | None = None) -> DataFrame:
-    """``df`` with the normalised text.  Without a lexicon of nouns :func:`lemma` serves, within the row.
-
-    With one, the words of all texts are looked up; only words that change are joined back, so what is
-    shuffled is small.  Null stays null; all rows stay."""
-    if lexicon is None:
-        return df.withColumn(out, normalised(F.col(text)))
-    cleaned = df.withColumn("_words", tokens(clean(F.col(text))))
-    words = cleaned.select(F.explode("_words").alias("word"))
-    changed = lemma_map(words, lexicon).where("word <> lemma")
-    placed = cleaned.select(key, F.explode("_words").alias("word")).distinct().join(changed, "word")
-    edits = placed.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "lemma"))).alias("_edits")).withColumnRenamed(key, "_key")
-    both = cleaned.join(edits, F.col(key) == F.col("_key"), "left")
-    edited = F.transform("_words", lambda w: F.coalesce(F.try_element_at("_edits", w), w))
-    return both.withColumn(out, joined(F.when(F.col("_edits").isNull(), F.col("_words")).otherwise(edited))).drop("_words", "_edits", "_key")
-
-
 def fixed(c: Column, digits: int = 2) -> Column:
     """Fixed-point rounding, half up, of a decimal."""
     return F.round(c.cast("decimal(38,12)"), digits).cast(f"decimal(38,{digits})")

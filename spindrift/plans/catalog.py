@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import cleaning, evaluate, features, kpi, models, sampling, stats
+from spindrift.operators.lemmas import Lemmatizer
 from spindrift.plans.registry import Models, Runs, remove, signature, signature_rows
 from spindrift.sources import tables
 
@@ -437,21 +438,43 @@ _scalar("t21_percent_label", lambda c: T.percent_label(F.char_length(c) / 4), f"
 
 
 
-def _sql_lemma(w: str) -> str:
-    irregular = " ".join(f"WHEN {w} = '{old}' THEN '{new}'" for old, new in T.NOUN_EXCEPTIONS.items())
-    return f"""CASE {irregular} WHEN {w} = 'men' THEN 'man' WHEN length({w}) < 4 OR {w} IN ({_listed(T.NO_PLURALS)}) OR regexp_matches({w}, '(ss|us|is)$') THEN {w}
-  WHEN ends_with({w}, 'men') THEN left({w}, length({w}) - 2) || 'an' WHEN NOT ends_with({w}, 's') THEN {w} WHEN ends_with({w}, 'ies') AND length({w}) > 4 THEN left({w}, length({w}) - 3) || 'y'
-  WHEN regexp_matches({w}, '(ch|sh|ss|x|z)es$') THEN left({w}, length({w}) - 2) ELSE left({w}, length({w}) - 1) END"""
+def _sql_lemmas() -> str:
+    """``lemmas`` (word, lemma) of the words of ``cleaned``: what the rules make of a word, if it is a word too; the shortest, then by rule."""
+    rules = " UNION ALL ".join(f"SELECT word, {k} AS rank, left(word, length(word) - {len(old)}) || '{new}' AS c FROM lex WHERE ends_with(word, '{old}') AND length(word) > {len(old)}" for k, (old, new) in enumerate(T.NOUN_RULES))
+    irregular = ", ".join(f"('{old}', '{new}')" for old, new in T.NOUN_EXCEPTIONS.items())
+    return f"""lex AS (SELECT DISTINCT unnest({_sql_tokens('cleaned')}) AS word FROM cleaned), irregular AS (SELECT * FROM (VALUES {irregular}) AS t(word, lemma)), tried AS ({rules}),
+ found AS (SELECT word, arg_min(c, struct_pack(n := length(c), r := rank)) AS lemma FROM tried WHERE c IN (SELECT word FROM lex) AND length(word) >= 4 AND NOT ends_with(word, 'ss')
+   AND word NOT IN ({_listed(T.NO_PLURALS)}) GROUP BY 1),
+ lemmas AS (SELECT word, coalesce(i.lemma, f.lemma, word) AS lemma FROM lex LEFT JOIN irregular i USING (word) LEFT JOIN found f USING (word))"""
 
 
-@query(lambda: f"WITH {_CLEANED}, words AS (SELECT DISTINCT unnest({_sql_tokens('cleaned')}) AS word FROM cleaned) SELECT word, {_sql_lemma('word')} AS lemma FROM words")
+def _lemmatizer(spark, df: DataFrame) -> Lemmatizer:
+    return Lemmatizer(spark, _scratch(spark, "lexicon")).fit(df, "clean_comment")
+
+
+@query(lambda: f"WITH {_CLEANED}, {_sql_lemmas()} SELECT word, lemma FROM lemmas")
 def t07_lemmas(spark, sf_dir):
-    return cleaned(spark, sf_dir).select(F.explode(T.tokens(F.col("cleaned"))).alias("word")).distinct().withColumn("lemma", T.lemma(F.col("word")))
+    lemmas = _lemmatizer(spark, comments(spark, sf_dir))
+    return lemmas.lemmas(lemmas.lexicon().select("word"))
+
+
+_NORMALISED = """placed AS (SELECT doc_id, category, unnest({tokens}) AS word, generate_subscripts({tokens}, 1) AS nth FROM cleaned),
+ joined AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY nth) AS t FROM placed JOIN lemmas USING (word) GROUP BY 1),
+ normalised AS (SELECT c.doc_id, c.category, CASE WHEN cleaned IS NOT NULL THEN coalesce(t, '') END AS normalised FROM cleaned c LEFT JOIN joined USING (doc_id))"""
+
+
+def _sql_normalised() -> str:
+    return f"{_CLEANED}, {_sql_lemmas()}, {_NORMALISED.format(tokens=_sql_tokens('cleaned'))}"
 
 
-@query(lambda: f"WITH {_CLEANED} SELECT doc_id, array_to_string(list_transform({_sql_tokens('cleaned')}, lambda w: {_sql_lemma('w')}), ' ') AS normalised FROM cleaned")
+def normalised(spark, sf_dir) -> DataFrame:
+    df = comments(spark, sf_dir)
+    return _lemmatizer(spark, df).normalise(df, "clean_comment", "normalised", fitted=True).select("doc_id", "category", "normalised")
+
+
+@query(lambda: f"WITH {_sql_normalised()} SELECT doc_id, normalised FROM normalised")
 def t09_normalised(spark, sf_dir):
-    return T.normalise(comments(spark, sf_dir), "doc_id", "clean_comment", "normalised").select("doc_id", "normalised")
+    return normalised(spark, sf_dir).select("doc_id", "normalised")
 
 
 # Corpus statistics -------------------------------------------------------------------------------
@@ -825,7 +848,13 @@ def b09_random_rows(spark, sf_dir):
 
 def _training_comments(spark, sf_dir):
     """Labelled comments, normalised, as the models are trained and asked."""
-    return _labelled_comments(spark, sf_dir).withColumn("clean_comment", T.normalised(F.col("clean_comment")))
+    return _trained_lemmas(spark, sf_dir)[1]
+
+
+def _trained_lemmas(spark, sf_dir):
+    df = _labelled_comments(spark, sf_dir)
+    lemmas = _lemmatizer(spark, df)
+    return lemmas, lemmas.normalise(df, "clean_comment", "clean_comment", fitted=True)
 
 
 def _sets(spark, sf_dir, max_features: int = 1000):
@@ -897,8 +926,9 @@ def m09_batch_predict(spark, sf_dir):
 
 
 def _scorer(spark, sf_dir):
+    lemmas, _ = _trained_lemmas(spark, sf_dir)
     train, _, vec = _sets(spark, sf_dir)
-    return models.Scorer(vec, models.logistic().fit(train))
+    return models.Scorer(lemmas, vec, models.logistic().fit(train))
 
 
 @query()

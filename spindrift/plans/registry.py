@@ -133,10 +133,14 @@ class Models:
         self._append((name, version, row["run_id"], row["model_path"], stage))
 
     def path_of(self, name: str, version: int | None = None, stage: str | None = None) -> str:
-        """Where a version's model lies; the latest one, of a stage if one is named."""
+        """Where a version's model lies."""
+        return self.row_of(name, version, stage)["model_path"]
+
+    def row_of(self, name: str, version: int | None = None, stage: str | None = None):
+        """A version's row; the latest one, of a stage if one is named."""
         held = self.table().where(F.col("name") == name)
         held = held.where(F.col("version") == version) if version is not None else held
         row = (held.where(F.col("stage") == stage) if stage else held).orderBy(F.desc("version")).first()
         if row is None:
             raise ValueError(f"no such version of {name}")
-        return row["model_path"]
+        return row

@@ -14,14 +14,14 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions import text as T
 from spindrift.operators import boosting, cleaning, evaluate, features, models, sampling
+from spindrift.operators.lemmas import Lemmatizer
 from spindrift.plans.registry import Models, Runs, exists, logger, require, signature
 from spindrift.sources import tables
 
 #: (stage, inputs, outputs, parameters), in the order in which they run.
 GRAPH = [
-    ("ingest", ["input"], ["raw"], ["test_size"]), ("preprocess", ["raw"], ["interim"], []),
+    ("ingest", ["input"], ["raw"], ["test_size"]), ("preprocess", ["raw"], ["lexicon", "interim"], []),
     ("build", ["interim"], ["vectorizer", "model"], ["max_features", "ngram_range", "params"]),
     ("evaluate", ["interim", "vectorizer", "model"], ["predictions", "runs", "pointer"], ["run_id"]), ("register", ["pointer"], ["models"], ["name"]),
 ]
@@ -53,9 +53,11 @@ class Training:
         tables.write_split(train.drop("key"), test.drop("key"), self.at("raw"))
 
     def preprocess(self) -> None:
-        for part in ("train", "test"):
-            df = self.spark.read.parquet(f"{self.at('raw')}/{part}")
-            df.withColumn("clean_comment", T.normalised(F.col("clean_comment"))).write.mode("overwrite").parquet(f"{self.at('interim')}/{part}")
+        """The lexicon comes from the training part; what is asked later is normalised with the same."""
+        parts = {part: self.spark.read.parquet(f"{self.at('raw')}/{part}") for part in ("train", "test")}
+        lemmas = Lemmatizer(self.spark, self.at("lexicon")).fit(parts["train"], "clean_comment")
+        for part, df in parts.items():
+            lemmas.normalise(df, "clean_comment", "clean_comment", fitted=part == "train").write.mode("overwrite").parquet(f"{self.at('interim')}/{part}")
 
     def build(self) -> None:
         train = self.spark.read.parquet(f"{self.at('interim')}/train")
@@ -86,10 +88,11 @@ class Training:
     def scorer(self, version: int | None = None, stage: str | None = None) -> models.Scorer:
         """The registered model with its vectorizer; it takes what the run's signature says."""
         path = Models(self.spark, self.at("models")).path_of(self.name, version, stage)
-        return models.Scorer(features.Vectorizer().load(self.at("vectorizer")), boosting.load(self.spark, path))
+        return models.Scorer(Lemmatizer(self.spark, self.at("lexicon")), features.Vectorizer().load(self.at("vectorizer")), boosting.load(self.spark, path))
 
     def score(self, comments: DataFrame, version: int | None = None, stage: str | None = None) -> DataFrame:
-        run = Runs(self.spark, self.at("runs")).table().orderBy(F.desc("run_id")).first()
+        run_id = Models(self.spark, self.at("models")).row_of(self.name, version, stage)["run_id"]
+        run = Runs(self.spark, self.at("runs")).table().where(F.col("run_id") == run_id).first()
         return self.scorer(version, stage).score(require(comments, run["signature"]), "clean_comment")
 
     # The graph -----------------------------------------------------------------------------------

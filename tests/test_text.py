@@ -48,30 +48,6 @@ def test_ngrams(cases):
         assert Counter(r.g) == Counter(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
 
 
-def test_lemmas(cases):
-    got = {r.id: r.out for r in T.normalise(cases, "id", "text", "out").collect()}
-    assert got[13] == "dog dog box box church church lady lady man wolf wolf" and got[14] == "child child" and got[9] is None and got[10] == ""
-    assert len(got) == len(CASES)
-
-
-@pytest.mark.parametrize(
-    ("word", "lemma"),
-    [("glass", "glass"), ("classes", "class"), ("bus", "bus"), ("analysis", "analysis"), ("news", "news"), ("women", "woman"), ("men", "man"), ("specimen", "specimen"), ("ties", "tie"),
-     ("parties", "party"), ("movies", "movie"), ("foxes", "fox"), ("houses", "house"), ("gas", "gas"), ("as", "as"), ("s", "s"), ("dogs.", "dogs."), ("", ""), ("2s", "2s"), ("wishes", "wish")],
-)
-def test_lemma_of_a_word_alone(spark, word, lemma):
-    assert spark.createDataFrame([(word,)], "w string").select(T.lemma(F.col("w"))).first()[0] == lemma
-
-
-def test_lemmas_of_a_lexicon(spark, cases):
-    words = spark.createDataFrame([("glasses",), ("dogs",), ("runs",)], "word string")
-    lexicon = spark.createDataFrame([("dog",), ("glass",), ("glasses",)], "word string")
-    assert {r.word: r.lemma for r in T.lemma_map(words, lexicon).collect()} == {"glasses": "glass", "dogs": "dog", "runs": "runs"}
-    known = spark.createDataFrame([("dog",), ("box",)], "word string")
-    got = {r.id: r.out for r in T.normalise(cases, "id", "text", "out", known).collect()}
-    assert got[13] == "dog dog box box churches church ladies lady men wolves wolf" and got[9] is None and len(got) == len(CASES)
-
-
 def test_counted(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id int, w array<string>")
     got = {r.id: r.t and [(x.term, x.tf) for x in r.t] for r in df.select("id", T.counted(F.col("w")).alias("t")).collect()}

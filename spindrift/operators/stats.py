@@ -20,29 +20,6 @@ def class_shares(df: DataFrame, label: str = "category") -> DataFrame:
     return n.select(label, F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 2).alias("share"))
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max"))
-    return out.select("n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-
-
-def median_by(df: DataFrame, by: str, column: str) -> DataFrame:
-    return df.groupBy(by).agg(F.percentile(column, F.lit(0.5)).alias("median"))
-
-
-def box(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """Quartiles, whiskers (the extremes within 1.5 interquartile ranges) and the number of outliers."""
-    keys = [by] if by else []
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    bounds = df.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
-    renamed = bounds.withColumnRenamed(by, "_by") if by else bounds
-    held = df.join(F.broadcast(renamed), F.col(by).eqNullSafe(F.col("_by"))) if by else df.crossJoin(F.broadcast(renamed))
-    x, gap = F.col(column), 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (x >= F.col("q1") - gap) & (x <= F.col("q3") + gap)
-    return held.groupBy(*keys, "q1", "q2", "q3").agg(F.min(F.when(inside, x)).alias("low"), F.max(F.when(inside, x)).alias("high"), F.count_if(~inside).alias("outliers"))
-
-
 def histogram(df: DataFrame, column: str, width: float, by: str | None = None) -> DataFrame:
     return df.groupBy(*([by] if by else []), F.floor(F.col(column) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -101,10 +78,84 @@ def top_words_by_class(df: DataFrame, text: str, n: int = 20, start: int = 0, la
     return counted.orderBy(F.desc("total"), "word").offset(start).limit(n)
 
 
-def cloud(df: DataFrame, words_column: Column, n: int = 200) -> DataFrame:
-    """The most frequent words with their frequency relative to the first."""
-    found = top(df.select(F.explode(words_column).alias("word")), "word", n)
-    return found.select("word", "n", (F.col("n") / F.max("n").over(Window.partitionBy())).alias("weight"))
+#: The log-likelihood ratio from which a pair of words counts as a term of its own, as word clouds have it (fixed value).
+COLLOCATION = 30.0
+
+
+def _group(by: str | None) -> list[str]:
+    return [by] if by else []
+
+
+def folded(terms: DataFrame, by: str | None = None) -> DataFrame:
+    """(class, term, form, n) of a table (class, term, n): terms that differ in upper and lower case alone, or by a plural's s, are one.
+
+    A plural is a word in -s, not in -ss, without which it is a word of the same class too.  ``form`` is the term of the group, its commonest
+    spelling, a plural counting without its s; ties go to the first in order.  One row for each term."""
+    keys = _group(by)
+    lower = terms.withColumn("_low", F.lower("term"))
+    known = lower.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_low").alias("_one")).distinct()
+    plural = F.endswith("_low", F.lit("s")) & ~F.endswith("_low", F.lit("ss"))
+    shorter = lambda c: F.expr(f"substring({c}, 1, char_length({c}) - 1)")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    met = lower.join(known, [F.when(plural, shorter("_low")) == F.col("_one"), *same], "left")
+    some = F.col("_one").isNotNull()
+    met = met.withColumns({"_root": F.coalesce("_one", "_low"), "_spelt": F.when(some, shorter("term")).otherwise(F.col("term"))}).select(*keys, "term", "n", "_root", "_spelt")
+    spelt = met.groupBy(*keys, "_root", "_spelt").agg(F.sum("n").alias("_m"))
+    best = spelt.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_root").alias("_for")).agg(F.min(F.struct((-F.col("_m")).alias("m"), "_spelt")).alias("_b"))
+    return met.join(best, [F.col("_root") == F.col("_for"), *same]).select(*keys, "term", F.col("_b._spelt").alias("form"), "n")
+
+
+def _l(k: Column, n: Column, x: Column) -> Column:
+    return F.log(F.greatest(x, F.lit(1e-10))) * k + F.log(F.greatest(1 - x, F.lit(1e-10))) * (n - k)
+
+
+def likelihood_ratio(both: Column, one: Column, two: Column, total: Column) -> Column:
+    """Dunning's: how much likelier the counts are where the second word depends on the first than where it doesn't, times two."""
+    p, p1, p2 = two / total, both / one, F.coalesce(F.try_divide(two - both, total - one), F.lit(0.0))
+    return -2 * (_l(both, one, p) + _l(two - both, total - one, p) - _l(both, one, p1) - _l(two - both, total - one, p2))
+
+
+def collocations(counted: DataFrame, pairs: DataFrame, by: str | None = None, threshold: float = COLLOCATION) -> DataFrame:
+    """(class, term, n): words and pairs, from (class, term, form, n) of words and (class, first, second, n) of pairs.
+
+    A pair whose likelihood ratio is above the threshold is a term, and its occurrences are taken out of its words' counts; what has none left is dropped."""
+    keys = _group(by)
+    named = lambda df, p: df.select(*[F.col(k).alias(f"{p}_key_{k}") for k in keys], F.col("term").alias(f"{p}_term"), F.col("form").alias(f"{p}_form"))
+    words_ = counted.groupBy(*keys, "form").agg(F.sum("n").alias("n"))
+    count = lambda p: words_.select(*[F.col(k).alias(f"{p}_key_{k}") for k in keys], F.col("form").alias(f"{p}_of"), F.col("n").alias(f"{p}_n"))
+    same = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}_key_{k}")) for k in keys]
+    held = pairs
+    for p, c in (("_a", "first"), ("_b", "second")):
+        held = held.join(named(counted, p), [F.col(c) == F.col(f"{p}_term"), *same(p)]).drop(*[f"{p}_key_{k}" for k in keys])
+    held = held.groupBy(*keys, "_a_form", "_b_form").agg(F.sum("n").alias("n"))
+    for p, q in (("_a", "_c"), ("_b", "_d")):
+        held = held.join(count(q), [F.col(f"{p}_form") == F.col(f"{q}_of"), *same(q)]).drop(*[f"{q}_key_{k}" for k in keys])
+    total = words_.groupBy(*[F.col(k).alias(f"_t_key_{k}") for k in keys]).agg(F.sum("n").alias("_total"))
+    held = held.join(F.broadcast(total), same("_t")) if keys else held.crossJoin(F.broadcast(total))
+    real = lambda c: F.col(c).cast("double")
+    strong = held.where(likelihood_ratio(real("n"), real("_c_n"), real("_d_n"), real("_total")) > threshold)
+    taken = strong.select(*keys, F.explode(F.array("_a_form", "_b_form")).alias("form"), (-F.col("n")).alias("n"))
+    left = words_.unionByName(taken).groupBy(*keys, "form").agg(F.sum("n").alias("n")).where("n > 0").withColumnRenamed("form", "term")
+    return left.unionByName(strong.select(*keys, F.concat_ws(" ", "_a_form", "_b_form").alias("term"), "n"))
+
+
+def cloud(df: DataFrame, words_column: Column, n: int = 200, by: str | None = None, pairs: bool = False, fold: bool = False) -> DataFrame:
+    """The most frequent words, of all texts or of each class, with their frequency relative to the first.
+
+    ``pairs``: with collocations; ``fold``: upper and lower case, singular and plural together.  Classes have to be few."""
+    keys = _group(by)
+    held = df.select(*keys, words_column.alias("_w"))
+    counted = held.select(*keys, F.explode("_w").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    terms_ = folded(counted, by) if fold else counted.withColumn("form", F.col("term"))
+    if pairs:
+        each = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(F.get("_w", i - 1).alias("first"), F.get("_w", i).alias("second")))
+        two = held.where(F.size("_w") > 1).select(*keys, F.explode(each).alias("p")).groupBy(*keys, "p.first", "p.second").agg(F.count(F.lit(1)).alias("n"))
+        found = collocations(terms_, two, by)
+    else:
+        found = terms_.groupBy(*keys, F.col("form").alias("term")).agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "term")
+    first = found.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= n) if keys else found.orderBy(F.desc("n"), "term").limit(n)
+    return first.select(*keys, F.col("term").alias("word"), "n", (F.col("n") / F.max("n").over(Window.partitionBy(*keys))).alias("weight"))
 
 
 #: Ranges of the order in which lengths are summed up.

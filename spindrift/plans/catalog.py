@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators import cleaning, evaluate, features, kpi, models, sampling, stats
+from spindrift.operators import cleaning, evaluate, features, kpi, models, quantiles, sampling, stats
 from spindrift.operators.lemmas import Lemmatizer
 from spindrift.plans.registry import Models, Runs, remove, signature, signature_rows
 from spindrift.sources import tables
@@ -502,12 +502,29 @@ _SIZED = f"""{_COMMENTS}, sized AS (SELECT doc_id, category, len({_sql_tokens(_X
 @query(lambda: f"""WITH {_SIZED} SELECT count(word_count) AS n, round(avg(word_count), 6) AS mean, round(stddev_samp(word_count), 6) AS std, CAST(min(word_count) AS INT) AS min,
  quantile_cont(word_count, 0.25) AS p25, quantile_cont(word_count, 0.5) AS p50, quantile_cont(word_count, 0.75) AS p75, CAST(max(word_count) AS INT) AS max FROM sized""")
 def a03_describe(spark, sf_dir):
-    return stats.describe(_sized(spark, sf_dir), "word_count").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return quantiles.describe(_sized(spark, sf_dir), "word_count").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query(lambda: f"WITH {_SIZED} SELECT category, quantile_cont(word_count, 0.5) AS median FROM sized GROUP BY 1")
 def a04_median_by_class(spark, sf_dir):
-    return stats.median_by(_sized(spark, sf_dir), "category", "word_count")
+    return quantiles.quantiles(_sized(spark, sf_dir), "word_count", [0.5], ["category"], ["median"])
+
+
+def _sql_drawn() -> str:
+    """``medians`` (category, m) of each repetition of the bootstrap."""
+    of = "CAST('0x' || substr(md5('42draw' || CAST(r // 8 AS VARCHAR) || '|' || doc_id), CAST(r % 8 * 4 + 1 AS INT), 4) AS INT)"
+    times = " + ".join(f"CASE WHEN h >= {b} THEN 1 ELSE 0 END" for b in quantiles._POISSON)
+    return f"""{_SIZED}, hashed AS (SELECT category, word_count, r, {of} AS h FROM sized, range({quantiles.REPEATS}) AS g(r) WHERE word_count IS NOT NULL),
+ drawn AS (SELECT category, word_count, r, unnest(range({times})) FROM hashed), medians AS (SELECT category, r, quantile_cont(word_count, 0.5) AS m FROM drawn GROUP BY 1, 2)"""
+
+
+@query(lambda: f"""WITH {_sql_drawn()}, ends AS (SELECT category, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM medians GROUP BY 1),
+ whole AS (SELECT category, quantile_cont(word_count, 0.5) AS median FROM sized GROUP BY 1)
+SELECT w.category, median, round(low, 6) AS low, round(high, 6) AS high FROM whole w LEFT JOIN ends e ON w.category IS NOT DISTINCT FROM e.category""")
+def a04_median_intervals(spark, sf_dir):
+    """Medians with the error bars of a bootstrap."""
+    found = quantiles.median_interval(_sized(spark, sf_dir), "doc_id", "category", "word_count")
+    return found.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
 def _sql_box(by: bool) -> str:
@@ -521,12 +538,12 @@ SELECT {pick}q1, q2, q3, CAST(min(word_count) FILTER (WHERE word_count BETWEEN q
 
 @query(lambda: _sql_box(False))
 def a05_box(spark, sf_dir):
-    return stats.box(_sized(spark, sf_dir), "word_count")
+    return quantiles.box(_sized(spark, sf_dir), "word_count")
 
 
 @query(lambda: _sql_box(True))
 def a05_box_by_class(spark, sf_dir):
-    return stats.box(_sized(spark, sf_dir), "word_count", "category")
+    return quantiles.box(_sized(spark, sf_dir), "word_count", "category")
 
 
 @query(lambda: f"WITH {_SIZED} SELECT CAST(floor(word_count / 50) AS BIGINT) AS bin, count(*) AS n FROM sized GROUP BY 1")
@@ -534,6 +551,15 @@ def a06_histogram(spark, sf_dir):
     return stats.histogram(_sized(spark, sf_dir), "word_count", 50)
 
 
+@query(lambda: f"""WITH {_SIZED}, q AS (SELECT count(word_count) AS n, min(word_count) AS lo, max(word_count) AS hi, quantile_cont(word_count, 0.75) - quantile_cont(word_count, 0.25) AS r FROM sized),
+ w AS (SELECT *, (hi - lo) / (log2(n) + 1) AS by_count, 2 * r / pow(n, CAST(1 AS DOUBLE) / 3) AS by_range FROM q),
+ b AS (SELECT *, greatest(1, CAST(ceil((hi - lo) / CASE WHEN by_range > 0 THEN least(by_range, by_count) ELSE by_count END) AS INT)) AS bins FROM w),
+ g AS (SELECT CAST(unnest(range(bins)) AS INT) AS bin, lo, hi, bins FROM b), c AS (SELECT least(CAST(floor(CAST(word_count - lo AS DOUBLE) / (hi - lo) * bins) AS INT), bins - 1) AS bin, count(*) AS n FROM sized, b GROUP BY 1)
+SELECT bin, round(lo + bin * (hi - lo) / bins, 6) AS low, round(lo + (bin + 1) * (hi - lo) / bins, 6) AS high, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (bin)""")
+def a06_automatic_bins(spark, sf_dir):
+    return quantiles.automatic_bins(_sized(spark, sf_dir), "word_count").withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
 @query(lambda: f"""WITH {_SIZED}, h AS (SELECT category, count(*) AS n, stddev_samp(num_stop_words) * pow(count(*), -0.2) AS h FROM sized WHERE category IS NOT NULL GROUP BY 1),
  grid AS (SELECT unnest(range(0, 21)) * 10.0 AS x)
 SELECT s.category, CAST(x AS DOUBLE) AS x, round(avg(exp(-pow((x - num_stop_words) / h.h, 2) / 2) / (h.h * sqrt(2 * pi()))), 6) AS density FROM sized s JOIN h USING (category), grid GROUP BY 1, 2""")
@@ -594,24 +620,46 @@ def a15_top_words_by_class(spark, sf_dir):
     return stats.top_words_by_class(cleaned(spark, sf_dir), "cleaned", 20, 10)
 
 
-def _sql_cloud(tokens: str, where: str = "") -> str:
-    return f"""WITH {_CLEANED}, w AS (SELECT unnest({tokens}) AS word FROM cleaned {where}), t AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200)
-SELECT word, n, round(n / max(n) OVER (), 6) AS weight FROM t"""
-
-
-@query(lambda: _sql_cloud(_sql_tokens("cleaned")))
+def _sql_cloud(rows: str, by: str = "", pairs: bool = True) -> str:
+    """``rows``: a SELECT of ``t``, the words of a text, and the class ``by``.  Case and plurals are folded."""
+    of, same = (f"{by}, ", lambda a, b: f"{a}.{by} IS NOT DISTINCT FROM {b}.{by} AND ") if by else ("", lambda a, b: "")
+    plural = "ends_with(lower(c.term), 's') AND NOT ends_with(lower(c.term), 'ss') AND k.low = left(lower(c.term), length(c.term) - 1)"
+    k = "c.category, " if by else ""
+    l = lambda k, n, x: f"(ln(greatest({x}, 1e-10)) * {k} + ln(greatest(1 - {x}, 1e-10)) * ({n} - {k}))"
+    p, p1, p2 = "(1.0::DOUBLE * n2 / total)", "(1.0::DOUBLE * n / n1)", "coalesce(1.0::DOUBLE * (n2 - n) / nullif(total - n1, 0), 0)"
+    ratio = f"-2 * ({l('n', 'n1', p)} + {l('(n2 - n)', '(total - n1)', p)} - {l('n', 'n1', p1)} - {l('(n2 - n)', '(total - n1)', p2)})"
+    found = f"""SELECT {of}form AS term, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {of}form, n FROM words UNION ALL SELECT {of}f1, -n FROM strong UNION ALL SELECT {of}f2, -n FROM strong) GROUP BY ALL HAVING sum(n) > 0
+   UNION ALL SELECT {of}f1 || ' ' || f2, CAST(n AS BIGINT) FROM strong""" if pairs else f"SELECT {of}form AS term, CAST(n AS BIGINT) AS n FROM words"
+    return f"""held AS ({rows}), counted AS (SELECT {of}term, count(*) AS n FROM (SELECT {of}unnest(t) AS term FROM held) GROUP BY ALL), known AS (SELECT DISTINCT {of}lower(term) AS low FROM counted),
+ rooted AS (SELECT {k}c.term, n, coalesce(k.low, lower(c.term)) AS root, CASE WHEN k.low IS NULL THEN c.term ELSE left(c.term, length(c.term) - 1) END AS spelt FROM counted c LEFT JOIN known k ON {same('c', 'k')}{plural}),
+ spelt AS (SELECT {of}root, spelt, sum(n) AS m FROM rooted GROUP BY ALL), best AS (SELECT {of}root, arg_min(spelt, (-m, spelt)) AS form FROM spelt GROUP BY ALL),
+ forms AS (SELECT {k}c.term, form, n FROM rooted c JOIN best b ON {same('c', 'b')}c.root = b.root), words AS (SELECT {of}form, sum(n) AS n FROM forms GROUP BY ALL),
+ pairs AS (SELECT {of}t[i] AS a, t[i + 1] AS b, count(*) AS n FROM (SELECT {of}t, unnest(range(1, len(t))) AS i FROM held) GROUP BY ALL),
+ both_ AS (SELECT {k}x.form AS f1, y.form AS f2, sum(c.n) AS n FROM pairs c JOIN forms x ON {same('c', 'x')}c.a = x.term JOIN forms y ON {same('c', 'y')}c.b = y.term GROUP BY ALL),
+ totals AS (SELECT {of}sum(n) AS total FROM words GROUP BY ALL),
+ strong AS (SELECT * FROM (SELECT c.*, u.n AS n1, v.n AS n2, total FROM both_ c JOIN words u ON {same('c', 'u')}c.f1 = u.form JOIN words v ON {same('c', 'v')}c.f2 = v.form JOIN totals z ON {same('c', 'z')}true) WHERE {ratio} > {stats.COLLOCATION}),
+ clouded AS ({found}), ranked AS (SELECT *, row_number() OVER (PARTITION BY {by or 1} ORDER BY n DESC, term) AS nth FROM clouded)
+SELECT {of}term AS word, n, round(n / max(n) OVER (PARTITION BY {by or 1}), 6) AS weight FROM ranked WHERE nth <= 200"""
+
+
+@query(lambda: f"WITH {_CLEANED}, {_sql_cloud(f'SELECT {_sql_tokens("cleaned")} AS t FROM cleaned WHERE cleaned IS NOT NULL')}")
 def a16_word_cloud(spark, sf_dir):
-    return stats.cloud(cleaned(spark, sf_dir), T.tokens(F.col("cleaned"))).withColumn("weight", F.round("weight", 6))
+    """Words and collocations of all comments."""
+    return stats.cloud(cleaned(spark, sf_dir).where("cleaned is not null"), T.tokens(F.col("cleaned")), pairs=True, fold=True).withColumn("weight", F.round("weight", 6))
 
 
-@query(lambda: _sql_cloud(_sql_tokens("cleaned"), "WHERE category = 1"))
+@query(lambda: f"WITH {_CLEANED}, {_sql_cloud(f'SELECT category, {_sql_tokens("cleaned")} AS t FROM cleaned WHERE category IS NOT NULL AND cleaned IS NOT NULL', 'category')}")
 def a16_word_cloud_of_class(spark, sf_dir):
-    return stats.cloud(cleaned(spark, sf_dir).where("category = 1"), T.tokens(F.col("cleaned"))).withColumn("weight", F.round("weight", 6))
+    """The same for each of the three classes."""
+    held = cleaned(spark, sf_dir).where("category is not null and cleaned is not null")
+    return stats.cloud(held, T.tokens(F.col("cleaned")), by="category", pairs=True, fold=True).withColumn("weight", F.round("weight", 6))
 
 
-@query(lambda: _sql_cloud(_sql_without(_sql_tokens("cleaned"), T.STOP_WORDS)))
+@query(lambda: f"WITH {_sql_normalised()}, {_sql_cloud(f'SELECT {_sql_without(_sql_tokens("normalised"), T.STOP_WORDS)} AS t FROM normalised WHERE normalised IS NOT NULL', pairs=False)}")
 def a17_request_word_cloud(spark, sf_dir):
-    return stats.cloud(cleaned(spark, sf_dir), T.without(T.tokens(F.col("cleaned")), T.STOP_WORDS)).withColumn("weight", F.round("weight", 6))
+    """Normalised, without any stop word, and without collocations."""
+    held = normalised(spark, sf_dir).where("normalised is not null")
+    return stats.cloud(held, T.without(T.tokens(F.col("normalised")), T.STOP_WORDS), fold=True).withColumn("weight", F.round("weight", 6))
 
 
 @query(lambda: """SELECT conv_id, turn, text, CAST(coalesce(sum(length(text) + 1) OVER (ORDER BY conv_id, turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.nearest import neighbours
+
 SEED = 42
-#: Rows of a block that neighbours are searched in at a time.
-BLOCK = 4096
 
 
 def draw(key: str, seed: int = SEED, salt: str = "") -> Column:
@@ -84,43 +82,6 @@ def undersample(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFr
     return cut(df, key, [label], lambda n: F.min(n).over(Window.partitionBy(F.lit(1))), seed).where("_chosen").drop("_chosen")
 
 
-def neighbours(points: DataFrame, queries: DataFrame, key: str, features: str, k: int, within: str | None = None) -> DataFrame:
-    """(key, neighbour, distance, rank) of the k nearest points of each query, itself excepted; ``within``: in its own class alone.
-
-    Both sides come in blocks; every block of queries meets every block of points in a matrix product, of which k rows a query leave the task."""
-    tag = F.col(within).cast("string") if within else F.lit("")
-    n_points, n_queries = points.count(), queries.count()
-    p_blocks, q_blocks = max(1, -(-n_points // BLOCK)), max(1, -(-n_queries // BLOCK))
-    left = points.select(F.lit(0).alias("side"), F.col(key).alias("id"), F.col(features).alias("x"), tag.alias("tag"), F.pmod(F.xxhash64(key), F.lit(p_blocks)).alias("p"))
-    right = queries.select(F.lit(1).alias("side"), F.col(key).alias("id"), F.col(features).alias("x"), tag.alias("tag"), F.pmod(F.xxhash64(key), F.lit(q_blocks)).alias("q"))
-    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = right.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        x, y = np.stack(a.x).astype(float), np.stack(b.x).astype(float)
-        ids, own = a.id.to_numpy(), b.id.to_numpy()
-        # A product finds the nearest but for rounding; what may be among them is then measured as it is.
-        rough = (x * x).sum(axis=1) + (y * y).sum(axis=1)[:, None] - 2 * (y @ x.T)
-        rough[own[:, None] == ids] = np.inf
-        most = min(k, len(ids)) - 1
-        edge = np.partition(rough, most, axis=1)[:, most]
-        slack = 1e-9 * (1 + (x * x).sum(axis=1).max() + (y * y).sum(axis=1))
-        row, at = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
-        away = np.sqrt(((x[at] - y[row]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[at], away, row))
-        row, at, away = row[order], at[order], away[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        ok = nth < k
-        return pd.DataFrame({"id": own[row[ok]], "neighbour": ids[at[ok]], "distance": away[ok]})
-
-    found = left.unionByName(right).groupBy("p", "q", "tag").applyInPandas(meet, "id long, neighbour long, distance double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", key)
-
-
 def _synthetic(points: DataFrame, wanted: DataFrame, near: DataFrame, key: str, features: str, label: str, seed: int) -> DataFrame:
     """``wanted``: (key, times).  Each new row lies between its seed row and one of that row's neighbours."""
     base = wanted.join(points.select(key, features, label), key).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

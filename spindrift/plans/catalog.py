@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JError
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,8 +12,8 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.operators import cleaning, evaluate, features, kpi, models, quantiles, sampling, stats
 from spindrift.operators.lemmas import Lemmatizer
-from spindrift.plans.registry import Models, Runs, remove, signature, signature_rows
-from spindrift.sources import tables
+from spindrift.plans.registry import Models, Runs, signature, signature_rows
+from spindrift.sources import scratch, tables
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, Callable[[], str]] = {}
@@ -144,24 +140,7 @@ def cleaned(spark, sf_dir) -> DataFrame:
 # Sources -----------------------------------------------------------------------------------------
 
 
-_SCRATCH: list[tuple] = []
-
-
-def _scratch(spark, name: str) -> str:
-    """A new place in the session's shared folder, or in the warehouse where it names none; removed when the process ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return f"{path}/{name}"
-
-
-@atexit.register
-def release() -> None:
-    """Remove what queries wrote; results that read it can't be used any more."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        with contextlib.suppress(Py4JError, ConnectionError, AttributeError):  # the session's JVM may be gone
-            remove(spark, path)
+_scratch = scratch.place
 
 
 def _as_csv(spark, sf_dir, name: str) -> str:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, IDFModel, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.sources import scratch
 
 
 #: Terms of a vocabulary that may be broadcast; a larger one is joined by a shuffle.
@@ -68,6 +71,18 @@ def term_totals(df: DataFrame, key: str, text: str, ngram_range=(1, 1)) -> DataF
     return vocabulary(terms(df, key, text, ngram_range), key).select("term", "total")
 
 
+def ranked_terms(df: DataFrame, text: str, longest: int = 3) -> DataFrame:
+    """(term, total, df, words) of all n-grams of up to ``longest`` words, read once and written, so that any vocabulary is a cut of it."""
+    held = df.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    counted = vocabulary(terms(held, "_row", "_text", (1, longest)), "_row")
+    return scratch.table(counted.withColumn("words", F.size(F.split("term", " "))), "terms")
+
+
+def first_terms(ranked: DataFrame, longest: int, n: int) -> list[tuple[str, int]]:
+    """The ``n`` terms of up to ``longest`` words with the highest totals, ties by the term, with their document counts."""
+    return [(r["term"], r["df"]) for r in ranked.where(F.col("words") <= longest).orderBy(F.desc("total"), "term").limit(n).select("term", "df").collect()]
+
+
 class Vectorizer:
     """TF-IDF vectors for training, equal to the long form: Spark's idf plus one, then unit length."""
 
@@ -80,14 +95,17 @@ class Vectorizer:
         return words.withColumn("terms", T.ngrams(F.col("_words"), *self.ngram_range)).drop("_words")
 
     def fit(self, df: DataFrame, text: str) -> Vectorizer:
-        counted = self._terms(df, text)
-        vocabulary_ = counted.select(F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").count().orderBy(F.desc("count"), "term").limit(self.max_features)
-        words = [r["term"] for r in vocabulary_.collect()]  # max_features terms at most
-        counter = CountVectorizerModel.from_vocabulary(words or [""], inputCol="terms", outputCol="counts" if self.tfidf else "features")
+        held = df.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+        chosen = vocabulary(terms(held, "_row", "_text", self.ngram_range), "_row", self.max_features)
+        return self.of_terms([(r["term"], r["df"]) for r in chosen.collect()], df.count() if self.tfidf else 0)  # max_features terms at most
+
+    def of_terms(self, ranked: list[tuple[str, int]], n_docs: int) -> Vectorizer:
+        """With a vocabulary that is known: terms with their document counts, of ``n_docs`` documents, by rank; the first ``max_features`` count."""
+        held = ranked[: self.max_features] or [("", 0)]
+        counter = CountVectorizerModel.from_vocabulary([t for t, _ in held], inputCol="terms", outputCol="counts" if self.tfidf else "features")
         stages = [counter]
         if self.tfidf:
-            idf: IDFModel = IDF(inputCol="counts", outputCol="unused").fit(counter.transform(counted))
-            scale = ElementwiseProduct(scalingVec=DenseVector(idf.idf.toArray() + 1), inputCol="counts", outputCol="weighed")
+            scale = ElementwiseProduct(scalingVec=DenseVector([math.log((1 + n_docs) / (1 + df)) + 1 for _, df in held]), inputCol="counts", outputCol="weighed")
             stages += [scale, Normalizer(p=2.0, inputCol="weighed", outputCol="features")]
         self.model = PipelineModel(stages)
         return self

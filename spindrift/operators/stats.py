@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,16 +164,33 @@ def cloud(df: DataFrame, words_column: Column, n: int = 200, by: str | None = No
 RANGES = 4096
 
 
-def concatenated(df: DataFrame, text: str, order: str, then: str) -> DataFrame:
+def _ranges(rows: DataFrame, order: str, then: str, ranges: int):
+    """A function of both columns: the number of the range, by splitters from a sample, so that ranges hold about equally many rows however the numbers lie."""
+    drawn = rows.select(order, then).orderBy(F.xxhash64(order, then), order, then).limit(ranges - 1).distinct().collect()  # fewer than `ranges` rows
+    held = rows.sparkSession.sparkContext.broadcast(drawn)
+
+    @F.arrow_udf("int")
+    def place(a: pa.Array, b: pa.Array) -> pa.Array:
+        columns = []
+        for k, own in enumerate((a, b)):
+            both = pa.concat_arrays([pa.array([r[k] for r in held.value], own.type), own])
+            columns += [both.is_valid().to_numpy(zero_copy_only=False), both.fill_null(0).to_numpy(zero_copy_only=False)]
+        n = len(held.value)
+        at = np.lexsort((np.arange(n + len(a)) >= n, *columns[::-1]))
+        out = np.empty(n + len(a), np.int32)
+        out[at] = np.cumsum(at < n)
+        return pa.array(out[n:])
+
+    return place
+
+
+def concatenated(df: DataFrame, text: str, order: str, then: str, ranges: int = RANGES) -> DataFrame:
     """The corpus of all texts joined by single blanks, in the order of two numbers, as rows (order, then, text, start).
 
     ``start`` is where the text begins in the whole: no value holds the corpus, which no machine could.  Lengths are
-    summed up in ranges of ``order``, then over the ranges, of which there are few.  Null texts are left out."""
+    summed up in ranges of the order, then over the ranges, of which there are few.  Null texts are left out; null numbers come first."""
     rows = df.where(F.col(text).isNotNull()).select(order, then, text, (F.char_length(text) + 1).cast("long").alias("_n"))
-    span = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    real = lambda c: F.col(c).cast("double")
-    bucket = F.floor((real(order) - real("_lo")) * F.lit(RANGES) / (real("_hi") - real("_lo") + 1)).cast("int")
-    placed = rows.crossJoin(F.broadcast(span)).withColumn("_b", bucket).drop("_lo", "_hi")
+    placed = rows.withColumn("_b", _ranges(rows, order, then, ranges)(F.col(order), F.col(then)))
     sums = placed.groupBy("_b").agg(F.sum("_n").alias("_s"))
     earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("_b").alias("_of"), earlier("_s", Window.partitionBy(F.lit(1)).orderBy("_b")).alias("_first"))

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import cleaning, evaluate, features, kpi, models, quantiles, sampling, stats
 from spindrift.operators.lemmas import Lemmatizer
 from spindrift.plans.registry import Models, Runs, signature, signature_rows
-from spindrift.sources import scratch, tables
+from spindrift.sources import pages, scratch, tables
+from spindrift.streaming import monthly
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, Callable[[], str]] = {}
@@ -232,8 +233,16 @@ def s13_comment_pages(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").where("turn is not null")
     leaf = F.struct(F.col("text").alias("textOriginal"), F.lit("2024-01-01T00:00:00Z").alias("publishedAt"), F.struct(F.col("role").alias("value")).alias("authorChannelId"))
     item = F.struct("turn", "text", F.struct(F.struct(leaf.alias("snippet")).alias("topLevelComment")).alias("snippet"))
-    pages = turns.groupBy(F.col("conv_id").alias("number")).agg(F.array_sort(F.collect_list(item)).alias("items")).select("number", F.to_json(F.struct("items")).alias("page"))
-    return tables.comment_pages(pages).select("number", "position", "text", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("published"), "authorId")
+    filled = turns.groupBy(F.col("conv_id").alias("number")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # The first of the pages, more than will be taken, each naming the next one; written as a service would hand them out, a file for each.
+    first = filled.orderBy("number").limit(501)
+    linked = first.withColumn("nextPageToken", F.lead("number").over(Window.partitionBy(F.lit(1)).orderBy("number")).cast("string"))  # 501 rows at most
+    path = _scratch(spark, "threads")
+    linked.select(F.to_json(F.struct("items", "nextPageToken")).alias("page"), F.lit("one").alias("thread"), F.col("number").alias("token")).write.partitionBy("thread", "token").text(path)
+    pages.register(spark)
+    start = linked.agg(F.min("number")).first()[0]
+    got = spark.read.format("comment_pages").option("path", path).option("first", str(start)).load()
+    return got.select(F.col("token").cast("long").alias("number"), "position", "text", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("published"), "authorId")
 
 
 @query(lambda: "SELECT conv_id, turn, coalesce(nullif(role, ''), 'Unknown') AS author FROM conversations")
@@ -242,9 +251,21 @@ def s14_nested_default(spark, sf_dir):
     return nested.select("conv_id", "turn", tables.author(F.col("authorChannelId.value")).alias("author"))
 
 
-@query(lambda: f"SELECT page_id, regexp_extract(url, '{tables.VIDEO_URL}', 1) AS video_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+@query(lambda: f"""WITH a AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || left(md5(CAST(page_id AS VARCHAR)), 11) || '&t=1' WHEN 1 THEN 'https://youtube.com/watch?v=' || left(md5(CAST(page_id AS VARCHAR)), 9) || '-_' ELSE url END AS url FROM pages)
+SELECT page_id, regexp_extract(url, '{tables.VIDEO_URL}', 1) AS video_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM a""")
 def s15_url_extraction(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", tables.video_id(F.col("url")).alias("video_id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+    """Two thirds of the pages get a watch page's address, made from their ids, as no address of the table is one."""
+    tail, k = F.md5(F.col("page_id").cast("string")), F.pmod("page_id", F.lit(3))
+    watched = F.when(k == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), F.left(tail, F.lit(11)), F.lit("&t=1"))).when(k == 1, F.concat(F.lit("https://youtube.com/watch?v="), F.left(tail, F.lit(9)), F.lit("-_")))
+    pages_ = _read(spark, sf_dir, "pages").withColumn("url", F.coalesce(watched, "url"))
+    return pages_.select("page_id", tables.video_id(F.col("url")).alias("video_id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+
+
+@query(lambda: f"WITH {_COMMENTS} SELECT doc_id, clean_comment, category FROM comments")
+def s17_dataset_artifact(spark, sf_dir):
+    """A run's dataset, as it is read back from its artifacts."""
+    runs = Runs(spark, _scratch(spark, "runs"))
+    return spark.read.parquet(runs.log_dataset("run", "comments", comments(spark, sf_dir)))
 
 
 @query()
@@ -291,7 +312,7 @@ def f07_null_counts(spark, sf_dir):
     return cleaning.null_counts(comments(spark, sf_dir))
 
 
-@query(lambda: f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments JOIN documents USING (doc_id) WHERE lang <> 'en' OR text IS NULL GROUP BY 1")
+@query(lambda: f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments JOIN documents USING (doc_id) WHERE lang IS DISTINCT FROM 'en' OR text IS NULL GROUP BY 1")
 def f08_null_text_labels(spark, sf_dir):
     """Labels beside null texts; texts in other languages than English stand for null ones, as the table has none."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("clean_comment"))
@@ -726,6 +747,21 @@ def a26_monthly_counts(spark, sf_dir):
     return kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment").select("period", "negative", "neutral", "positive")
 
 
+@query(lambda: f"WITH {_ORDERS_TREND} SELECT period, negative, neutral, positive FROM t")
+def a26_streamed_counts(spark, sf_dir):
+    """The same as a stream with state, stopped half way and started again from its checkpoint; rows come in four parts, in order of time."""
+    orders = scored_orders(spark, sf_dir)
+    cuts = orders.select(F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("t")).stat.approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
+    part = sum((F.when(F.unix_timestamp(F.col("timestamp").cast("timestamp")) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    source, checkpoint, out = (_scratch(spark, name) for name in ("orders", "checkpoint", "days"))
+    dealt, schema = orders.withColumn("_part", part), orders.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    for k in range(4):
+        dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(source)
+        if k % 2:
+            monthly.advance(spark, source, schema, checkpoint, out)
+    return monthly.months(spark, out)
+
+
 @query(lambda: f"WITH {_ORDERS_TREND} SELECT period, total, {_PERCENTS} FROM t")
 def a27_row_percentages(spark, sf_dir):
     return _rounded_trend(kpi.trend(scored_orders(spark, sf_dir), "timestamp", "sentiment")).drop("negative", "neutral", "positive")
@@ -783,10 +819,14 @@ def v04_term_totals(spark, sf_dir):
     return features.term_totals(comments(spark, sf_dir), "doc_id", "clean_comment")
 
 
-@query()
+@query(lambda: f"""WITH {_sql_terms(1, 1, 100)}, {_IDF.format('comments')}, placed AS (SELECT *, CAST(row_number() OVER (ORDER BY total DESC, term) - 1 AS INT) AS place FROM idf),
+ w AS (SELECT doc_id, place, tf * idf AS w FROM terms JOIN placed USING (term)), u AS (SELECT doc_id, place, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)
+SELECT c.doc_id, place, round(coalesce(u.w, 0), 6) AS weight FROM comments c CROSS JOIN placed LEFT JOIN u USING (doc_id, place)""")
 def v05_dense(spark, sf_dir):
+    """Dense vectors, a row for each of their numbers."""
     df = comments(spark, sf_dir)
-    return features.dense(features.Vectorizer(100, (1, 1)).fit(df, "clean_comment").transform(df.select("doc_id", "clean_comment"), "clean_comment")).select("doc_id", "features")
+    held = features.dense(features.Vectorizer(100, (1, 1)).fit(df, "clean_comment").transform(df.select("doc_id", "clean_comment"), "clean_comment"))
+    return held.select("doc_id", F.posexplode_outer("features").alias("place", "weight")).withColumn("weight", F.round("weight", 6))
 
 
 @query(lambda: f"WITH {_sql_terms(1, 3, 1000)}, {_IDF.format('comments')} SELECT term, total, df, round(idf, 6) AS idf FROM idf")
@@ -887,7 +927,7 @@ def _trained_lemmas(spark, sf_dir):
 def _sets(spark, sf_dir, max_features: int = 1000):
     train, test = sampling.train_test(_training_comments(spark, sf_dir), "doc_id", stratify="category")
     vec = features.Vectorizer(max_features, (1, 3)).fit(train, "clean_comment")
-    return models.labelled(vec.transform(train, "clean_comment")).persist(), models.labelled(vec.transform(test, "clean_comment")), vec
+    return scratch.table(models.labelled(vec.transform(train, "clean_comment")), "training"), models.labelled(vec.transform(test, "clean_comment")), vec
 
 
 def _predictions(spark, sf_dir, model, max_features: int = 1000):

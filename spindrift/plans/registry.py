@@ -80,6 +80,12 @@ class Runs:
         df.coalesce(1).write.mode("overwrite").parquet(path)
         return path
 
+    def log_dataset(self, run_id: str, name: str, df: DataFrame) -> str:
+        """Store a dataset, however large, as an artifact of a run; its path."""
+        path = f"{self.path}-artifacts/{run_id}/datasets/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
     def table(self) -> DataFrame:
         return self.spark.read.schema(RUNS).parquet(self.path)
 

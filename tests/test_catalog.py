@@ -43,11 +43,11 @@ def test_model_queries_have_full_parameters(monkeypatch):
         def __getattr__(self, name):
             return lambda *a, **b: self
 
-    monkeypatch.setattr(catalog.Lemmatizer, "normalise", lambda self, df, text, out, **_: df.withColumn(out, F.col(text)))
-    monkeypatch.setattr(catalog.F, "col", lambda c: c)
+    monkeypatch.setattr(catalog.scratch, "table", lambda df, name: df)
 
     some = Anything()
     monkeypatch.setattr(catalog, "_labelled_comments", lambda *a: some)
+    monkeypatch.setattr(catalog, "_lemmatizer", lambda *a: some)
     monkeypatch.setattr(catalog.sampling, "train_test", lambda *a, **b: (some, some))
     monkeypatch.setattr(catalog.features, "Vectorizer", note("vectorizer", some))
     for name, out in {"labelled": some, "boosted": some, "tuned": some, "forest": some, "logistic": some, "stack": some, "search": (full, 0.5), "trained_and_scored": (some, some), "sentiment": some, "sweep": []}.items():

@@ -66,7 +66,7 @@ def newline_to_space(c: Column) -> Column:
 
 def whitelist(c: Column) -> Column:
     """Delete all but ASCII letters, digits, white space and ``! ? . ,``."""
-    return F.regexp_replace(c, f"[^A-Za-z0-9!?.,{SPACES}]", "")
+    return F.regexp_replace(c, f"[^A-Za-z0-9!?.,{SPACES}]+", "")
 
 
 def tokens(c: Column) -> Column:
@@ -118,17 +118,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def counted(words: Column) -> Column:
-    """(term, tf) of an array's different members, within the row: the runs of the sorted array."""
-
-    def runs(held: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
-        end = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(held))
-        return let(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(held, p).alias("term"), (end(at, j) - p).cast("long").alias("tf"))))
-
-    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))
-
-
 def fixed(c: Column, digits: int = 2) -> Column:
     """Fixed-point rounding, half up, of a decimal."""
     return F.round(c.cast("decimal(38,12)"), digits).cast(f"decimal(38,{digits})")

@@ -19,22 +19,36 @@ from spindrift.sources import scratch
 BROADCAST_TERMS = 200_000
 
 
-def _counted(df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
-    """``df`` with ``_t``: (term, tf) of the row's own terms, counted within the row."""
-    words = df.withColumn("_words", T.analyzed(F.coalesce(text, F.lit(""))))
-    return words.withColumn("_t", T.let(F.col("_words"), lambda w: T.counted(T.ngrams(w, *ngram_range)))).drop("_words")
+def _grams(df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """``df`` with ``_g``, the n-grams of each text."""
+    return df.withColumn("_g", T.let(T.analyzed(F.coalesce(text, F.lit(""))), lambda w: T.ngrams(w, *ngram_range)))
 
 
-def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term, tf); nothing is shuffled, as a row is a document."""
+def occurrences(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, term), a row for each occurrence; nothing is shuffled."""
     # The outer form, as Spark would copy the whole expression into a filter below the inner one.
-    found = _counted(df.select(key, text), text, ngram_range).select(key, F.explode_outer("_t").alias("_x"))
-    return found.where("_x is not null").select(key, "_x.term", "_x.tf")
+    return _grams(df.select(key, text), text, ngram_range).select(key, F.explode_outer("_g").alias("term")).where("term is not null")
 
 
-def vocabulary(counted: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
-    """(term, total, df): the terms with the highest totals, ties by the term.  Sums are made before the shuffle."""
-    found = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1), vocabulary_: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf) and the columns of ``vocabulary_``, which leaves only its terms; rows that share a key are one document.
+
+    With a vocabulary that is broadcast, other terms go before anything is counted or shuffled."""
+    found = occurrences(df, key, text, ngram_range)
+    more = []
+    if vocabulary_ is not None:
+        found = found.join(vocabulary_, "term")
+        more = [c for c in vocabulary_.columns if c != "term"]
+    return found.groupBy(key, "term", *more).agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", *more)
+
+
+def vocabulary(df: DataFrame, text: str, ngram_range: tuple[int, int] = (1, 1), max_features: int | None = None) -> DataFrame:
+    """(term, total, df): the terms with the highest totals, ties by the term.
+
+    Each text gives its n-grams, and behind them its different ones, so both counts are sums that are made before the one shuffle."""
+    held = _grams(df.select(text), text, ngram_range)
+    both = held.select(F.size("_g").alias("_n"), F.posexplode_outer(F.concat("_g", F.array_distinct("_g"))).alias("_at", "term")).where("term is not null")
+    found = both.groupBy("term").agg(F.count_if(F.col("_at") < F.col("_n")).alias("total"), F.count_if(F.col("_at") >= F.col("_n")).alias("df"))
     return found.orderBy(F.desc("total"), "term").limit(max_features) if max_features else found
 
 
@@ -43,14 +57,13 @@ def _small(model: DataFrame, max_features: int | None) -> DataFrame:
 
 
 def bag(df: DataFrame, key: str, text: str, ngram_range=(1, 1), max_features: int | None = None) -> DataFrame:
-    counted = terms(df, key, text, ngram_range)
-    return counted.join(_small(vocabulary(counted, key, max_features).select("term"), max_features), "term").select(key, "term", "tf")
+    return terms(df, key, text, ngram_range, _small(vocabulary(df, text, ngram_range, max_features).select("term"), max_features))
 
 
 def fit_tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngram_range=(1, 3)) -> DataFrame:
     """(term, total, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    chosen = vocabulary(terms(df, key, text, ngram_range), key, max_features)
+    chosen = vocabulary(df, text, ngram_range, max_features)
     return chosen.crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).drop("_n")
 
 
@@ -58,7 +71,7 @@ def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text: str, ngram_
     """(key, term, weight), rows of length 1; terms outside the vocabulary are dropped, and documents of such terms alone have no rows.
 
     The vocabulary, of up to ``max_features`` terms, is broadcast, so only terms that it holds are shuffled."""
-    weighed = terms(df, key, text, ngram_range).join(_small(model.select("term", "idf"), max_features), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighed = terms(df, key, text, ngram_range, _small(model.select("term", "idf"), max_features)).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighed.select(key, "term", (F.col("w") / norm).alias("weight"))
 
@@ -68,14 +81,12 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngram_ra
 
 
 def term_totals(df: DataFrame, key: str, text: str, ngram_range=(1, 1)) -> DataFrame:
-    return vocabulary(terms(df, key, text, ngram_range), key).select("term", "total")
+    return vocabulary(df, text, ngram_range).select("term", "total")
 
 
 def ranked_terms(df: DataFrame, text: str, longest: int = 3) -> DataFrame:
     """(term, total, df, words) of all n-grams of up to ``longest`` words, read once and written, so that any vocabulary is a cut of it."""
-    held = df.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    counted = vocabulary(terms(held, "_row", "_text", (1, longest)), "_row")
-    return scratch.table(counted.withColumn("words", F.size(F.split("term", " "))), "terms")
+    return scratch.table(vocabulary(df, text, (1, longest)).withColumn("words", F.size(F.split("term", " "))), "terms")
 
 
 def first_terms(ranked: DataFrame, longest: int, n: int) -> list[tuple[str, int]]:
@@ -91,12 +102,10 @@ class Vectorizer:
         self.model: PipelineModel | None = None
 
     def _terms(self, df: DataFrame, text: str) -> DataFrame:
-        words = df.withColumn("_words", T.analyzed(F.coalesce(text, F.lit(""))))
-        return words.withColumn("terms", T.ngrams(F.col("_words"), *self.ngram_range)).drop("_words")
+        return _grams(df, text, self.ngram_range).withColumnRenamed("_g", "terms")
 
     def fit(self, df: DataFrame, text: str) -> Vectorizer:
-        held = df.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-        chosen = vocabulary(terms(held, "_row", "_text", self.ngram_range), "_row", self.max_features)
+        chosen = vocabulary(df, text, self.ngram_range, self.max_features)
         return self.of_terms([(r["term"], r["df"]) for r in chosen.collect()], df.count() if self.tfidf else 0)  # max_features terms at most
 
     def of_terms(self, ranked: list[tuple[str, int]], n_docs: int) -> Vectorizer:

@@ -48,11 +48,5 @@ def test_ngrams(cases):
         assert Counter(r.g) == Counter(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
 
 
-def test_counted(spark):
-    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id int, w array<string>")
-    got = {r.id: r.t and [(x.term, x.tf) for x in r.t] for r in df.select("id", T.counted(F.col("w")).alias("t")).collect()}
-    assert got == {1: [("a", 1), ("b", 2)], 2: None, 3: None, 4: [("x", 1)]}
-
-
 def test_vectorizer_stop_words():
     assert len(T.VECTORIZER_STOP_WORDS) == 318 and sorted(T.VECTORIZER_STOP_WORDS) == T.VECTORIZER_STOP_WORDS

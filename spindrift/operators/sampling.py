@@ -88,8 +88,9 @@ def _synthetic(points: DataFrame, wanted: DataFrame, near: DataFrame, key: str,
     known = near.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("_near"))
     picked = base.join(known, key).withColumn("_pick", F.get("_near", F.floor(uniform(F.lit(f"{seed}pick"), F.col(key), F.col("_i")) * F.size("_near")).cast("int")))
     other = points.select(F.col(key).alias("_pick"), F.col(features).alias("_other"))
-    u = uniform(F.lit(f"{seed}u"), F.col(key), F.col("_i"))
-    return picked.join(other, "_pick").select(F.lit(None).cast("long").alias(key), F.zip_with(features, "_other", lambda a, b: a + u * (b - a)).alias(features), label)
+    # A column of its own, as the select below gives the key's name to nulls.
+    met = picked.withColumn("_u", uniform(F.lit(f"{seed}u"), F.col(key), F.col("_i"))).join(other, "_pick")
+    return met.select(F.lit(None).cast("long").alias(key), F.zip_with(features, "_other", lambda a, b: a + F.col("_u") * (b - a)).alias(features), label)
 
 
 def smote(df: DataFrame, key: str, features: str, label: str, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -111,7 +112,7 @@ def adasyn(df: DataFrame, key: str, features: str, label: str, k: int = 5, seed:
     points = df.select(key, F.col(features).cast("array<double>").alias(features), label)
     labels = points.select(F.col(key).alias("neighbour"), F.col(label).alias("_other"))
     hard = neighbours(points, points, key, features, k).join(labels, "neighbour").join(points.select(key, label), key)
-    hard = hard.groupBy(key, label).agg(F.avg((F.col("_other") != F.col(label)).cast("double")).alias("_hard"))
+    hard = hard.groupBy(key, label).agg(F.count_if(F.col("_other") != F.col(label)).alias("_hard"))  # whole numbers, so that sums don't depend on their order
     counts = points.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     most = counts.agg(F.max("_n").alias("_most"))
     share = Window.partitionBy(label)

@@ -268,10 +268,13 @@ def s17_dataset_artifact(spark, sf_dir):
     return spark.read.parquet(runs.log_dataset("run", "comments", comments(spark, sf_dir)))
 
 
-@query()
+@query(lambda: f"""WITH {_sql_terms(1, 1, 50)}, {_IDF.format('comments')}, few AS (SELECT doc_id FROM comments ORDER BY doc_id LIMIT 5), w AS (SELECT doc_id, term, tf * idf AS w FROM few JOIN terms USING (doc_id) JOIN idf USING (term)),
+ u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w), grid AS (SELECT few.doc_id, 'term_' || idf.term AS name, round(coalesce(u.w, 0), 6) AS weight FROM few CROSS JOIN idf LEFT JOIN u ON u.doc_id = few.doc_id AND u.term = idf.term)
+SELECT * EXCLUDE (doc_id) FROM (PIVOT grid ON name USING first(weight) GROUP BY doc_id)""")
 def s16_dense_sample(spark, sf_dir):
     df = comments(spark, sf_dir).orderBy("doc_id")
-    return features.dense_sample(features.Vectorizer(50, (1, 1)).fit(df, "clean_comment"), df, "clean_comment")
+    held = features.dense_sample(features.Vectorizer(50, (1, 1)).fit(df, "clean_comment"), df, "clean_comment")
+    return held.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) for c in held.columns])
 
 
 # Row cleaning ------------------------------------------------------------------------------------
@@ -292,14 +295,15 @@ def f03_drop_duplicates(spark, sf_dir):
     return cleaning.drop_duplicates(comments(spark, sf_dir).select("clean_comment", "category"))
 
 
-@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} <> ''")
+@query(lambda: f"SELECT stamp_id, source, raw FROM stamps WHERE {_sql_strip('raw')} <> ''")
 def f04_drop_blank(spark, sf_dir):
-    return cleaning.drop_blank(comments(spark, sf_dir), "clean_comment")
+    """On the table that has blank texts and nulls."""
+    return cleaning.drop_blank(_read(spark, sf_dir, "stamps").select("stamp_id", "source", "raw"), "raw")
 
 
-@query(lambda: f"WITH {_COMMENTS} SELECT * FROM comments WHERE {_sql_strip('clean_comment')} = ''")
+@query(lambda: f"SELECT stamp_id, source, raw FROM stamps WHERE {_sql_strip('raw')} = ''")
 def f05_blank_rows(spark, sf_dir):
-    return comments(spark, sf_dir).where(cleaning.is_blank(F.col("clean_comment")))
+    return _read(spark, sf_dir, "stamps").select("stamp_id", "source", "raw").where(cleaning.is_blank(F.col("raw")))
 
 
 @query(lambda: f"WITH {_COMMENTS} SELECT DISTINCT clean_comment, category FROM comments WHERE clean_comment IS NOT NULL AND category IS NOT NULL AND {_sql_strip('clean_comment')} <> ''")
@@ -312,12 +316,10 @@ def f07_null_counts(spark, sf_dir):
     return cleaning.null_counts(comments(spark, sf_dir))
 
 
-@query(lambda: f"WITH {_COMMENTS} SELECT category, count(*) AS n FROM comments JOIN documents USING (doc_id) WHERE lang IS DISTINCT FROM 'en' OR text IS NULL GROUP BY 1")
+@query(lambda: "SELECT segment, count(*) AS n FROM clients WHERE email IS NULL GROUP BY 1")
 def f08_null_text_labels(spark, sf_dir):
-    """Labels beside null texts; texts in other languages than English stand for null ones, as the table has none."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("clean_comment"))
-    held = docs.join(comments(spark, sf_dir).select("doc_id", "category"), "doc_id")
-    return cleaning.null_label_counts(held, "clean_comment", "category")
+    """The classes of rows whose text is null: clients without an address."""
+    return cleaning.null_label_counts(_read(spark, sf_dir, "clients").select("email", "segment"), "email", "segment")
 
 
 @query(lambda: f"WITH {_COMMENTS} SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM comments GROUP BY clean_comment, category)")
@@ -874,14 +876,54 @@ def b03_class_weights(spark, sf_dir):
     return sampling.class_weights(_labelled_comments(spark, sf_dir), "category").withColumn("weight", F.round("weight", 6))
 
 
-@query()
+def _sql_uniform(salt: str) -> str:
+    return f"(CAST('0x' || left(md5('42{salt}|' || vec_id || '|' || i), 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _sql_nearest(rows: str, k: int, same: str = "true") -> str:
+    """(vec_id, rank, neighbour, other) of the k nearest other rows."""
+    return f"""(SELECT * FROM (SELECT q.vec_id, p.vec_id AS neighbour, p.label AS other, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, p.e), p.vec_id) AS rank
+    FROM {rows} q JOIN {rows} p ON q.vec_id <> p.vec_id AND {same}) WHERE rank <= {k})"""
+
+
+def _sql_grown(name: str, wanted: str) -> str:
+    """Table ``name``: the rows and the synthetic ones, whose numbers are below zero; ``wanted`` has (vec_id, times)."""
+    return f"""{name}_base AS (SELECT vec_id, e, label, unnest(range(1, CAST(times AS BIGINT) + 1)) AS i FROM v JOIN {wanted} USING (vec_id) WHERE times > 0),
+ {name}_near AS (SELECT vec_id, list(neighbour ORDER BY rank) AS near FROM nearest_own GROUP BY 1),
+ {name}_pick AS (SELECT b.*, near[CAST(floor({_sql_uniform('pick')} * len(near)) AS BIGINT) + 1] AS pick, {_sql_uniform('u')} AS u FROM {name}_base b JOIN {name}_near USING (vec_id)),
+ {name} AS (SELECT vec_id, e, label FROM v UNION ALL SELECT -row_number() OVER (), list_transform(list_zip(a.e, b.e), lambda z: z[1] + a.u * (z[2] - z[1])), a.label FROM {name}_pick a JOIN v b ON b.vec_id = a.pick)"""
+
+
+def _sql_resampled() -> str:
+    """Tables ``smoted``, ``adapted`` and ``edited``."""
+    return f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), sizes AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS gap FROM v GROUP BY 1),
+ nearest_own AS {_sql_nearest('v', 5, 'q.label = p.label')}, nearest_any AS {_sql_nearest('v', 5)},
+ evenly AS (SELECT vec_id, gap // n + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42||' || vec_id), vec_id) <= gap % n THEN 1 ELSE 0 END AS times FROM v JOIN sizes USING (label)),
+ hard AS (SELECT vec_id, v.label, count(*) FILTER (WHERE other <> v.label) AS hard FROM nearest_any JOIN v USING (vec_id) GROUP BY 1, 2), whole AS (SELECT *, sum(hard) OVER (PARTITION BY label) AS whole FROM hard),
+ adapting AS (SELECT vec_id, round(CASE WHEN whole > 0 THEN CAST(hard AS DOUBLE) / CAST(whole AS DOUBLE) ELSE 1.0 / CAST(n AS DOUBLE) END * gap) AS times FROM whole JOIN sizes USING (label)),
+ {_sql_grown('smoted', 'evenly')}, {_sql_grown('adapted', 'adapting')},
+ agree AS (SELECT g.vec_id, count(*) FILTER (WHERE other = g.label) AS agree, count(*) AS k FROM {_sql_nearest('smoted', 3)} x JOIN smoted g USING (vec_id) GROUP BY 1),
+ edited AS (SELECT s.* FROM smoted s JOIN agree USING (vec_id) WHERE 2 * agree >= k)"""
+
+
+def _sql_numbers(rows: str) -> str:
+    return f"WITH {_sql_resampled()} SELECT CASE WHEN vec_id >= 0 THEN vec_id END AS vec_id, label, CAST(generate_subscripts(e, 1) - 1 AS INT) AS place, round(unnest(e), 6) AS value FROM {rows}"
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """A row for each number of each vector; synthetic rows have no id."""
+    known = F.when(F.col("vec_id") >= 0, F.col("vec_id")).alias("vec_id")
+    return df.select(known, "label", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(lambda: _sql_numbers("smoted"))
 def b04_smote(spark, sf_dir):
-    return sampling.smote(vectors(spark, sf_dir), "vec_id", "embedding", "label")
+    return _numbers(sampling.smote(vectors(spark, sf_dir), "vec_id", "embedding", "label"))
 
 
-@query()
+@query(lambda: _sql_numbers("adapted"))
 def b05_adasyn(spark, sf_dir):
-    return sampling.adasyn(vectors(spark, sf_dir), "vec_id", "embedding", "label")
+    return _numbers(sampling.adasyn(vectors(spark, sf_dir), "vec_id", "embedding", "label"))
 
 
 @query(lambda: f"""WITH {_COMMENTS}, r AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42||' || doc_id), doc_id) AS nth FROM comments WHERE category IS NOT NULL),
@@ -890,12 +932,13 @@ def b06_undersample(spark, sf_dir):
     return sampling.undersample(_labelled_comments(spark, sf_dir).select("doc_id", "category"), "doc_id", "category")
 
 
-@query()
+@query(lambda: _sql_numbers("edited"))
 def b07_smote_enn(spark, sf_dir):
-    return sampling.smote_enn(vectors(spark, sf_dir), "vec_id", "embedding", "label")
+    return _numbers(sampling.smote_enn(vectors(spark, sf_dir), "vec_id", "embedding", "label"))
 
 
-@query()
+@query(lambda: f"""WITH {_sql_resampled()} SELECT 'class_weights' AS method, label, n FROM sizes UNION ALL SELECT 'oversampling', label, count(*) FROM smoted GROUP BY 2 UNION ALL SELECT 'adasyn', label, count(*) FROM adapted GROUP BY 2
+ UNION ALL SELECT 'undersampling', label, (SELECT min(n) FROM sizes) FROM sizes UNION ALL SELECT 'smote_enn', label, count(*) FROM edited GROUP BY 2""")
 def b08_resample(spark, sf_dir):
     """How many rows of each class every method gives."""
     out = None

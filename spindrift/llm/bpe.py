@@ -83,6 +83,17 @@ class Merger:
             reach *= 2
 
 
+#: What a vocabulary file has to say for ids to be the library's (fixed values).
+KNOWN = {
+    "normalizer.normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer.pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+    "decoder": None, "model.type": "BPE", "model.end_of_word_suffix": END, "model.continuing_subword_prefix": None, "model.dropout": None, "model.ignore_merges": False,
+}
+
+
 def _normalised(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
@@ -112,6 +123,7 @@ class TreeEncoder:
 
     def __init__(self, path: str, odd: np.ndarray | None = None):
         spec = json.load(open(path, encoding="utf-8"))
+        segment.require(spec, path, KNOWN)
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
         vocab = spec["model"]["vocab"]

@@ -38,6 +38,13 @@ END_ID = 0
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+#: What a vocabulary file has to say for ids to be the library's (fixed values).
+KNOWN = {
+    "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "model.type": "BPE", "model.end_of_word_suffix": None, "model.continuing_subword_prefix": None, "model.dropout": None, "model.ignore_merges": False,
+}
+
+
 class ByteEncoder:
     """Ids as the tokenizers library gives them for a byte-level vocabulary without normaliser."""
 
@@ -45,6 +52,7 @@ class ByteEncoder:
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
+        segment.require(spec, path, KNOWN)
         shown = {c: b for b, c in enumerate(segment.byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(shown[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}

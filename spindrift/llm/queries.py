@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to a whole table with production parameters."""
+"""The queries op1 to op13: each applies its operator to a whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -34,6 +34,29 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.dedup(_documents(spark, sf_dir))
 
 
+#: Documents with equal sets are one; the others are joined by their shingles, and components are what can be reached.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM w
+), d AS (
+  SELECT doc_id, g, len(g) AS n, min(doc_id) OVER (PARTITION BY CASE WHEN len(g) = 0 THEN CAST(doc_id AS VARCHAR) ELSE md5(array_to_string(list_sort(g), chr(10))) END) AS rep FROM g
+), s AS (
+  SELECT doc_id AS rep, n, unnest(g) AS shingle FROM d WHERE doc_id = rep AND n > 0
+), e AS (
+  SELECT a.rep AS a, b.rep AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.rep <> b.rep AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached(rep, root) AS (
+  SELECT DISTINCT rep, rep FROM d UNION SELECT e.b, reached.root FROM reached JOIN e ON e.a = reached.rep
+), c AS (
+  SELECT rep, min(root) AS component_id FROM reached GROUP BY 1
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (rep)
+"""
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.layout(_documents(spark, sf_dir))
 
@@ -66,6 +89,19 @@ def op7_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: Five hexadecimal digits are four of base 32.
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), m AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(h, (k // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM m
+"""
+
+
 def op8_pii(spark, sf_dir):
     return pii.report(_documents(spark, sf_dir))
 
@@ -130,4 +166,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL, "op11_rolling": _op11_sql(), "op13_ranking": OP13_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op11_rolling": _op11_sql(), "op13_ranking": OP13_SQL}

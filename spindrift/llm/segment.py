@@ -283,3 +283,13 @@ def byte_letters() -> list[str]:
             out[b] = chr(more)
             more += 1
     return out
+
+
+def require(spec: dict, path: str, wanted: dict) -> None:
+    """Raise unless a vocabulary file cuts and joins texts as the encoder does that reads it; ``wanted``: what its parts have to be."""
+    for place, value in wanted.items():
+        found = spec
+        for name in place.split("."):
+            found = found.get(name) if isinstance(found, dict) else None
+        if (found or None) != (value or None):
+            raise ValueError(f"{path}: {place} is {found!r}, and this encoder knows {value!r} alone")

@@ -34,6 +34,14 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == want
 
 
+def test_null_text_labels_count_comments(spark, tmp_path):
+    """Every document without an English text counts, with or without a label."""
+    spark.createDataFrame([(1, "a", "en"), (2, "b", "de"), (3, None, "en"), (4, "d", None), (5, "e", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.category: r.n for r in catalog.queries()["f08_null_text_labels"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 0: 1, -1: 1, None: 1}
+
+
 def test_model_queries_have_full_parameters(monkeypatch):
     """What the model queries hand to the models, without a fit."""
     full, seen = catalog.models.Params(), []

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.sources import scratch
 
 CLASSES = [-1, 0, 1]
 
@@ -44,8 +45,9 @@ def top(df: DataFrame, term: str, n: int, offset: int = 0) -> DataFrame:
     return counted.offset(offset).limit(n) if offset else counted.limit(n)
 
 
-def words(df: DataFrame, text: str) -> DataFrame:
-    return df.select("*", F.explode(T.tokens(F.col(text))).alias("word"))
+def words(df: DataFrame, text: str, cleaned: bool = False) -> DataFrame:
+    """A row for each word; ``cleaned``: of texts whose words are parted by single blanks."""
+    return df.select("*", F.explode((T.cleaned_words if cleaned else T.tokens)(F.col(text))).alias("word"))
 
 
 def top_stop_words(df: DataFrame, text: str, n: int = 25) -> DataFrame:
@@ -73,10 +75,10 @@ def top_ngrams(df: DataFrame, text: str, size: int, n: int, stop: list[str] | No
     return top(grams.where("ngram is not null"), "ngram", n)
 
 
-def top_words_by_class(df: DataFrame, text: str, n: int = 20, start: int = 0, label: str = "category") -> DataFrame:
+def top_words_by_class(df: DataFrame, text: str, n: int = 20, start: int = 0, label: str = "category", cleaned: bool = False) -> DataFrame:
     """Most frequent words with their counts in each class; one exchange, as the classes are known."""
     c = F.col(label)
-    counted = words(df, text).groupBy("word").agg(F.count_if(c == -1).alias("negative"), F.count_if(c == 0).alias("neutral"), F.count_if(c == 1).alias("positive"), F.count(F.lit(1)).alias("total"))
+    counted = words(df, text, cleaned).groupBy("word").agg(F.count_if(c == -1).alias("negative"), F.count_if(c == 0).alias("neutral"), F.count_if(c == 1).alias("positive"), F.count(F.lit(1)).alias("total"))
     return counted.orderBy(F.desc("total"), "word").offset(start).limit(n)
 
 
@@ -135,7 +137,8 @@ def collocations(counted: DataFrame, pairs: DataFrame, by: str | None = None, th
     total = words_.groupBy(*[F.col(k).alias(f"_t_key_{k}") for k in keys]).agg(F.sum("n").alias("_total"))
     held = held.join(F.broadcast(total), same("_t")) if keys else held.crossJoin(F.broadcast(total))
     real = lambda c: F.col(c).cast("double")
-    strong = held.where(likelihood_ratio(real("n"), real("_c_n"), real("_d_n"), real("_total")) > threshold)
+    # Written, as it is read twice: else the pairs of all texts would be counted twice.
+    strong = scratch.table(held.where(likelihood_ratio(real("n"), real("_c_n"), real("_d_n"), real("_total")) > threshold).select(*keys, "_a_form", "_b_form", "n"), "strong")
     taken = strong.select(*keys, F.explode(F.array("_a_form", "_b_form")).alias("form"), (-F.col("n")).alias("n"))
     left = words_.unionByName(taken).groupBy(*keys, "form").agg(F.sum("n").alias("n")).where("n > 0").withColumnRenamed("form", "term")
     return left.unionByName(strong.select(*keys, F.concat_ws(" ", "_a_form", "_b_form").alias("term"), "n"))
@@ -144,11 +147,12 @@ def collocations(counted: DataFrame, pairs: DataFrame, by: str | None = None, th
 def cloud(df: DataFrame, words_column: Column, n: int = 200, by: str | None = None, pairs: bool = False, fold: bool = False) -> DataFrame:
     """The most frequent words, of all texts or of each class, with their frequency relative to the first.
 
-    ``pairs``: with collocations; ``fold``: upper and lower case, singular and plural together.  Classes have to be few."""
+    ``pairs``: with collocations; ``fold``: upper and lower case, singular and plural together.  Classes have to be few.
+    Counts of words, and what they are folded to, are written, as they are read many times: the texts are read once, with ``pairs`` twice."""
     keys = _group(by)
     held = df.select(*keys, words_column.alias("_w"))
     counted = held.select(*keys, F.explode("_w").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-    terms_ = folded(counted, by) if fold else counted.withColumn("form", F.col("term"))
+    terms_ = scratch.table(folded(scratch.table(counted, "counted"), by), "folded") if fold else counted.withColumn("form", F.col("term"))
     if pairs:
         each = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(F.get("_w", i - 1).alias("first"), F.get("_w", i).alias("second")))
         two = held.where(F.size("_w") > 1).select(*keys, F.explode(each).alias("p")).groupBy(*keys, "p.first", "p.second").agg(F.count(F.lit(1)).alias("n"))

@@ -52,3 +52,16 @@ def test_clouds(spark):
     first = stats.cloud(df, F.col("t"), 1).collect()
     assert len(first) == 1 and first[0].weight == 1
     assert stats.cloud(df.where("of = 9"), F.col("t"), pairs=True, fold=True).count() == 0
+
+
+def test_texts_are_read_twice_at_most(spark):
+    """Once for words and once for pairs, however often their counts are used."""
+    read = spark.sparkContext.accumulator(0)
+
+    def split(t):
+        read.add(1)
+        return t.split(" ")
+
+    df = spark.createDataFrame([(k % 2, f"one Two twos word{k}") for k in range(50)], "c int, t string").repartition(2).localCheckpoint()
+    stats.cloud(df, F.udf(split, "array<string>")(F.col("t")), by="c", pairs=True, fold=True).collect()
+    assert read.value <= 200, read.value  # each branch may ask for a row's words twice, as a filter and as a value

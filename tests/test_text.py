@@ -50,3 +50,13 @@ def test_ngrams(cases):
 
 def test_vectorizer_stop_words():
     assert len(T.VECTORIZER_STOP_WORDS) == 318 and sorted(T.VECTORIZER_STOP_WORDS) == T.VECTORIZER_STOP_WORDS
+
+
+def test_cleaning_equals_its_steps(spark):
+    """In batches as in single steps, for every white space and for what other alphabets have."""
+    blanks = "".join(chr(k) for k in range(0x110000) if chr(k).isspace())
+    texts = [None, "", " \n", "The NOT but\tisn't don't?", "\u0130stanbul \u212a na\u00efve\u00a0caf\u00e9", "a.b!c,d?e;f_g", "\x00\x7f\u200bx", *[f"not{b}x{b}{b}yet" for b in blanks]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    steps = T.joined(T.without(T.tokens(T.whitelist(T.newline_to_space(T.strip(F.lower("t"))))), T.removed_stop_words()))
+    for r in df.select("t", T.clean(F.col("t")).alias("got"), steps.alias("want"), T.cleaned_words(T.clean(F.col("t"))).alias("words"), T.tokens(steps).alias("tokens")).collect():
+        assert r.got == r.want and r.words == r.tokens, r

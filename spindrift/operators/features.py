@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +24,7 @@ BROADCAST_TERMS = 200_000
 
 def _grams(df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
     """``df`` with ``_g``, the n-grams of each text."""
-    return df.withColumn("_g", T.let(T.analyzed(F.coalesce(text, F.lit(""))), lambda w: T.ngrams(w, *ngram_range)))
+    return df.withColumn("_g", T.let(T.analyzed(F.coalesce(F.col(text), F.lit(""))), lambda w: T.ngrams(w, *ngram_range)))
 
 
 def occurrences(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
@@ -30,11 +33,15 @@ def occurrences(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int]
     return _grams(df.select(key, text), text, ngram_range).select(key, F.explode_outer("_g").alias("term")).where("term is not null")
 
 
-def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1), vocabulary_: DataFrame | None = None) -> DataFrame:
+def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1), vocabulary_: DataFrame | None = None, held: list[str] | None = None) -> DataFrame:
     """(key, term, tf) and the columns of ``vocabulary_``, which leaves only its terms; rows that share a key are one document.
 
-    With a vocabulary that is broadcast, other terms go before anything is counted or shuffled."""
-    found = occurrences(df, key, text, ngram_range)
+    With a vocabulary that is broadcast, other terms go before anything is counted or shuffled; ``held``: its terms, where it is small,
+    so that others aren't made into rows."""
+    if held is None:
+        found = occurrences(df, key, text, ngram_range)
+    else:
+        found = df.select(key, F.explode(_held(df.sparkSession, held, ngram_range)(_words(text))).alias("term"))
     more = []
     if vocabulary_ is not None:
         found = found.join(vocabulary_, "term")
@@ -42,22 +49,77 @@ def terms(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1,
     return found.groupBy(key, "term", *more).agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", *more)
 
 
-def vocabulary(df: DataFrame, text: str, ngram_range: tuple[int, int] = (1, 1), max_features: int | None = None) -> DataFrame:
-    """(term, total, df): the terms with the highest totals, ties by the term.
+def _words(text: str):
+    """A text's words, parted by blanks."""
+    return F.array_join(T.analyzed(F.coalesce(F.col(text), F.lit(""))), " ")
+
+
+def _ngrams(words: str, lo: int, hi: int) -> Iterator[str]:
+    of = words.split(" ") if words else []
+    for n in range(lo, hi + 1):
+        yield from of if n == 1 else map(" ".join, zip(*[of[j:] for j in range(n)], strict=False))
+
+
+def _held(spark, terms_: list[str], ngram_range: tuple[int, int]):
+    """A function of joined words: their n-grams that a list holds, in the order of :func:`T.ngrams`."""
+    known = spark.sparkContext.broadcast(frozenset(terms_))
+
+    @F.arrow_udf("array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        of = known.value
+        return pa.array([[g for g in _ngrams(t.as_py(), *ngram_range) if g in of] for t in texts], pa.list_(pa.string()))
+
+    return held
+
+
+#: Different terms that a task counts before it hands them on.
+COUNTED = 200_000
 
-    Each text gives its n-grams, and behind them its different ones, so both counts are sums that are made before the one shuffle."""
-    held = _grams(df.select(text), text, ngram_range)
-    both = held.select(F.size("_g").alias("_n"), F.posexplode_outer(F.concat("_g", F.array_distinct("_g"))).alias("_at", "term")).where("term is not null")
-    found = both.groupBy("term").agg(F.count_if(F.col("_at") < F.col("_n")).alias("total"), F.count_if(F.col("_at") >= F.col("_n")).alias("df"))
+
+def counts(df: DataFrame, words: str, ngram_range: tuple[int, int], most: int = COUNTED) -> DataFrame:
+    """(term, total, df) of all n-grams of a column of joined words.
+
+    A task counts in batches, and hands on what it has when it holds ``most`` different terms; one shuffle adds that up."""
+    lo, hi = ngram_range
+    schema = pa.schema([("term", pa.string()), ("total", pa.int64()), ("df", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([held[t] for t in total], pa.int64())], schema=schema)
+
+        for batch in batches:
+            for t in batch.column(0):
+                own = Counter(_ngrams(t.as_py(), lo, hi))
+                total.update(own)
+                held.update(own.keys())
+                if len(total) >= most:
+                    yield out()
+                    total.clear()
+                    held.clear()
+        yield out()
+
+    made = df.select(F.col(words)).mapInArrow(run, "term string, total long, df long")
+    return made.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+def vocabulary(df: DataFrame, text: str, ngram_range: tuple[int, int] = (1, 1), max_features: int | None = None) -> DataFrame:
+    """(term, total, df): the terms with the highest totals, ties by the term."""
+    found = counts(df.select(_words(text).alias("_words")), "_words", ngram_range)
     return found.orderBy(F.desc("total"), "term").limit(max_features) if max_features else found
 
 
-def _small(model: DataFrame, max_features: int | None) -> DataFrame:
-    return F.broadcast(model) if max_features is not None and max_features <= BROADCAST_TERMS else model
+def _chosen(model: DataFrame, max_features: int | None) -> tuple[DataFrame, list[str] | None]:
+    """A vocabulary as it is joined, and its terms; those of a large one are not collected."""
+    if max_features is None or max_features > BROADCAST_TERMS:
+        return model, None
+    kept = scratch.table(model, "vocabulary")
+    return F.broadcast(kept), [r["term"] for r in kept.select("term").collect()]  # max_features at most
 
 
 def bag(df: DataFrame, key: str, text: str, ngram_range=(1, 1), max_features: int | None = None) -> DataFrame:
-    return terms(df, key, text, ngram_range, _small(vocabulary(df, text, ngram_range, max_features).select("term"), max_features))
+    return terms(df, key, text, ngram_range, *_chosen(vocabulary(df, text, ngram_range, max_features).select("term"), max_features))
 
 
 def fit_tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngram_range=(1, 3)) -> DataFrame:
@@ -71,7 +133,7 @@ def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text: str, ngram_
     """(key, term, weight), rows of length 1; terms outside the vocabulary are dropped, and documents of such terms alone have no rows.
 
     The vocabulary, of up to ``max_features`` terms, is broadcast, so only terms that it holds are shuffled."""
-    weighed = terms(df, key, text, ngram_range, _small(model.select("term", "idf"), max_features)).withColumn("w", F.col("tf") * F.col("idf"))
+    weighed = terms(df, key, text, ngram_range, *_chosen(model.select("term", "idf"), max_features)).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighed.select(key, "term", (F.col("w") / norm).alias("weight"))
 
@@ -102,7 +164,7 @@ class Vectorizer:
         self.model: PipelineModel | None = None
 
     def _terms(self, df: DataFrame, text: str) -> DataFrame:
-        return _grams(df, text, self.ngram_range).withColumnRenamed("_g", "terms")
+        return df.withColumn("terms", _held(df.sparkSession, self.feature_names(), self.ngram_range)(_words(text)))
 
     def fit(self, df: DataFrame, text: str) -> Vectorizer:
         chosen = vocabulary(df, text, self.ngram_range, self.max_features)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import features
 from spindrift.sources import scratch
 
 CLASSES = [-1, 0, 1]
@@ -69,10 +70,8 @@ def rarest_characters(df: DataFrame, text: str, n: int = 50) -> DataFrame:
 def top_ngrams(df: DataFrame, text: str, size: int, n: int, stop: list[str] | None = None) -> DataFrame:
     """Most frequent n-grams of the words left by a stop list, the vectorizers' own unless another is given."""
     left = T.without(T.analyzed(F.col(text)), T.VECTORIZER_STOP_WORDS if stop is None else stop)
-    held = df.select(left.alias("_words"))
-    # The outer form, as Spark would copy the whole expression into a filter below the inner one.
-    grams = held.select(F.explode_outer(T.let(F.col("_words"), lambda w: T.ngrams(w, size, size))).alias("ngram"))
-    return top(grams.where("ngram is not null"), "ngram", n)
+    counted = features.counts(df.select(F.array_join(left, " ").alias("_words")), "_words", (size, size))
+    return counted.select(F.col("term").alias("ngram"), F.col("total").alias("n")).orderBy(F.desc("n"), "ngram").limit(n)
 
 
 def top_words_by_class(df: DataFrame, text: str, n: int = 20, start: int = 0, label: str = "category", cleaned: bool = False) -> DataFrame:

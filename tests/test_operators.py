@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,3 +255,19 @@ def test_stream(spark, tmp_path):
     out.awaitTermination(60)
     got = {r.start.day: (r.negative, r.neutral, r.positive) for r in spark.table("windows").collect()}
     assert got[1] == (1, 1, 1) and 3 not in got
+
+
+def test_terms_are_counted_before_they_become_rows(spark):
+    """A task hands on counts, not occurrences, however few different terms it may hold; null and short texts have none of the longer n-grams."""
+    texts = [None, "", "one", "aa bb aa bb aa", "bb cc", "aa bb aa bb aa"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    total, held = Counter(), Counter()
+    for t in texts:
+        w = (t or "").split()
+        own = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+        total.update(own)
+        held.update(set(own))
+    want = {(t, n, held[t]) for t, n in total.items()}
+    assert {tuple(r) for r in features.vocabulary(df, "t", (1, 3)).collect()} == want
+    assert {tuple(r) for r in features.counts(df, "t", (1, 3), most=2).collect()} == want
+    assert "Generate" not in features.vocabulary(df, "t", (1, 3))._jdf.queryExecution().executedPlan().toString()

@@ -271,3 +271,14 @@ def test_terms_are_counted_before_they_become_rows(spark):
     assert {tuple(r) for r in features.vocabulary(df, "t", (1, 3)).collect()} == want
     assert {tuple(r) for r in features.counts(df, "t", (1, 3), most=2).collect()} == want
     assert "Generate" not in features.vocabulary(df, "t", (1, 3))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_words_make_no_terms(spark):
+    """A vocabulary with a bound is the head of the whole one, and n-grams with words too rare for it aren't counted."""
+    df = spark.createDataFrame([(f"aa bb cc aa bb rare{k} aa bb dd{k % 3}",) for k in range(40)], "t string")
+    whole = features.vocabulary(df, "t", (1, 3)).orderBy(F.desc("total"), "term").collect()
+    for n in (1, 2, 4, 7, 1000):
+        assert features.vocabulary(df, "t", (1, 3), n).collect() == whole[:n], n
+    ranked = features.ranked_terms(df, "t", 3, 4)
+    assert ranked.where("term LIKE '%rare%'").isEmpty()
+    assert [features.first_terms(ranked, hi, 4) for hi in (2, 3)] == [[(r.term, r.df) for r in whole if r.term.count(" ") < hi][:4] for hi in (2, 3)]

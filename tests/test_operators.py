@@ -282,3 +282,42 @@ def test_rare_words_make_no_terms(spark):
     ranked = features.ranked_terms(df, "t", 3, 4)
     assert ranked.where("term LIKE '%rare%'").isEmpty()
     assert [features.first_terms(ranked, hi, 4) for hi in (2, 3)] == [[(r.term, r.df) for r in whole if r.term.count(" ") < hi][:4] for hi in (2, 3)]
+
+
+def test_small_leaves_look_at_few_cells(monkeypatch):
+    """Every split is the best of all, whichever of a leaf's cells are held; leaves of few entries don't scan all cells."""
+    rng = np.random.default_rng(5)
+    n, c = 3000, 40
+    x = np.where(rng.random((n, c)) < 0.08, rng.integers(-3, 9, (n, c)) / 4, 0.0)
+    y = (x[:, 0] + x[:, 1] > 0.5).astype(int) + (x[:, 2] > 0.25)
+    y = np.where(rng.random(n) < 0.2, rng.integers(0, 3, n), y)
+    row, column = np.nonzero(x)
+    m = boosting.Matrix(np.r_[0, np.cumsum(np.bincount(row, minlength=n))], column.astype(np.int32), x[x != 0], y, rng.random(n) + 0.5)
+    scanned, best = [], boosting._Grower._best
+    monkeypatch.setattr(boosting._Grower, "_best", lambda self, held, totals: scanned.append(held[-1].shape[-1]) or best(self, held, totals))
+    p = boosting.Boosting(rounds=1, rate=0.3, depth=9, leaves=512, least_rows=1, l1=0.0, l2=1.0)
+    got = boosting.grow(m, 3, p)
+    assert sum(scanned) < 0.7 * max(scanned) * len(scanned)
+    base = np.log(np.bincount(y, m.weight) / m.weight.sum())
+    q = np.exp(base) / np.exp(base).sum()
+    score = lambda g, h: g * g / (h + p.l2)
+    looked = 0
+    for k in range(3):
+        g, h = (q[k] - (y == k)) * m.weight, q[k] * (1 - q[k]) * m.weight * 1.5
+        of = {got.roots[k]: np.ones(n, bool)}
+        while of:
+            at, rows = of.popitem()
+            whole = score(g[rows].sum(), h[rows].sum())
+            gain = lambda left: score(g[left].sum(), h[left].sum()) + score(g[rows & ~left].sum(), h[rows & ~left].sum()) - whole  # noqa: B023, E731
+            ok = lambda left: left.any() and (rows & ~left).any() and min(h[left].sum(), h[rows & ~left].sum()) >= p.least_weight  # noqa: B023, E731
+            if got.column[at] >= 0 and looked < 60:
+                sides = [rows & (x[:, j] <= v) for j in range(c) for v in np.unique(x[rows, j])[:-1]]
+                most = max(gain(s) for s in sides if ok(s))
+                assert gain(rows & (x[:, got.column[at]] <= got.bound[at])) == pytest.approx(most, rel=1e-9)
+                looked += 1
+            if got.column[at] >= 0:
+                left = rows & (x[:, got.column[at]] <= got.bound[at])
+                of |= {got.left[at]: left, got.right[at]: rows & ~left}
+            else:
+                assert got.value[at] == pytest.approx(-g[rows].sum() / (h[rows].sum() + p.l2) * p.rate, abs=1e-9)
+    assert looked > 20

@@ -15,12 +15,15 @@ the largest value, as Spark sorts it.  A class without values has null results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.sampling import SEED
+from spindrift.sources import scratch
 
 #: Slices of all ranges that are counted in a round, and different values of a range that are fetched at once.
 SLICES, FETCHED = 100_000, 4096
@@ -28,6 +31,8 @@ SLICES, FETCHED = 100_000, 4096
 REPEATS = 96
 #: Of 16 hexadecimal bits' 65536 values so many mean up to 0, 1, 2, ... draws of a row: the distribution of Poisson with mean 1.
 _POISSON = [round(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+#: Rows whose draws a task adds up before it hands them on.
+DRAWN = 50_000
 
 
 class Counted:
@@ -181,22 +186,58 @@ def box(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     return result
 
 
+def _digits(key: str, seed: int) -> Column:
+    """Four hexadecimal digits for each repetition, by a row's key."""
+    return F.concat(*[F.md5(F.concat_ws("|", F.lit(f"{seed}draw{j}"), F.col(key).cast("string"))) for j in range(REPEATS // 8)])
+
+
 def drawn(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     """``df`` with ``r`` and ``w``: a row for each of REPEATS repetitions in which a row is drawn, ``w`` times, as hashes of its key say."""
-    digits = F.concat(*[F.md5(F.concat_ws("|", F.lit(f"{seed}draw{j}"), F.col(key).cast("string"))) for j in range(REPEATS // 8)])
-    each = df.withColumn("_digits", digits).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    each = df.withColumn("_digits", _digits(key, seed)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     h = F.conv(F.substring(F.col("_digits"), F.col("r") * 4 + 1, F.lit(4)), 16, 10).cast("int")
     of = F.transform(F.array(h), lambda x: sum((F.when(x >= bound, 1).otherwise(0) for bound in _POISSON), F.lit(0)))
     return each.withColumn("w", F.get(of, F.lit(0))).drop("_digits").where("w > 0")
 
 
+def drawn_values(df: DataFrame, key: str, by: str, column: str, seed: int = SEED, most: int = DRAWN) -> DataFrame:
+    """(of, x, r, w): how often each value of a class is drawn in each repetition, in parts that have to be added up.
+
+    The draws are those of :func:`drawn`; a task adds those of up to ``most`` rows up before they become rows."""
+    times = np.searchsorted(_POISSON, np.arange(1 << 16), "right").astype(np.uint8)
+
+    def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        of = pa.concat_arrays(table["of"].chunks).dictionary_encode(null_encoding="encode")
+        values, value = np.unique(table["x"].to_numpy(), return_inverse=True)
+        groups, group = np.unique(of.indices.to_numpy() * np.int64(len(values)) + value, return_inverse=True)
+        w = times[np.frombuffer(b"".join(table["bits"].to_pylist()), ">u2")].reshape(-1, REPEATS)[np.argsort(group, kind="stable")]
+        sums = np.add.reduceat(w, np.r_[0, np.cumsum(np.bincount(group))[:-1]], axis=0, dtype=np.int64)
+        lists = pa.ListArray.from_arrays(np.arange(len(groups) + 1, dtype=np.int32) * REPEATS, pa.array(sums.ravel()))
+        return pa.RecordBatch.from_arrays([of.dictionary.take(pa.array(groups // len(values))), pa.array(values[groups % len(values)]), lists], names=["of", "x", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield added(held)
+                held, n = [], 0
+        if n:
+            yield added(held)
+
+    rows = df.where(F.col(column).isNotNull()).select(F.col(by).alias("of"), F.col(column).cast("double").alias("x"), F.unhex(_digits(key, seed)).alias("bits"))
+    made = rows.mapInArrow(run, f"of {df.schema[by].dataType.simpleString()}, x double, w array<bigint>")
+    return made.select("of", "x", F.posexplode("w").alias("r", "w"))
+
+
 def median_interval(df: DataFrame, key: str, by: str, column: str, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """(class, median, low, high): medians with bootstrap intervals, each row drawn as its key's hashes say, all repetitions in one pass."""
+    df = scratch.table(df.select(*dict.fromkeys((key, by, column))), "valued")
     one = Counted(df, column, [by])
     medians = {of: q[0] for of, q in one.quantiles([0.5]).items()}
     one.release()
-    rows = drawn(df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(by).alias("of"), F.col(column).alias("x")), "key", seed)
-    many = Counted(rows, "x", ["of", "r"], F.col("w"))
+    many = Counted(drawn_values(df, key, by, column, seed), "x", ["of", "r"], F.col("w"))
     by_class: dict[tuple, list[float]] = {}
     for of, q in many.quantiles([0.5]).items():
         by_class.setdefault(of[:1], []).append(q[0])

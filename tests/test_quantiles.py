@@ -83,3 +83,13 @@ def test_interval_holds_the_median(spark):
     error = 1.2533 / np.sqrt(2000)
     assert r.low < r.median < r.high and 2.5 * error < r.high - r.low < 5.5 * error
     assert abs(Q.drawn(df, "id").agg({"w": "sum"}).first()[0] / 2000 / Q.REPEATS - 1) < 0.01
+
+
+def test_draws_are_added_up_before_they_become_rows(spark):
+    """The parts add up to the draws of every row, null classes and ties too, and are far fewer than these."""
+    df = spark.createDataFrame([(k, (None, "a", "b")[k % 3], float(k * k % 17) if k % 10 else None) for k in range(2000)], "id long, of string, x double").repartition(3)
+    parts = Q.drawn_values(df, "id", "of", "x", most=300).persist()
+    want = {(r.of, r.x, r.r): r.w for r in Q.drawn(df.where("x is not null"), "id").groupBy("of", "x", "r").agg({"w": "sum"}).toDF("of", "x", "r", "w").collect()}
+    got = {(r.of, r.x, r.r): r.w for r in parts.groupBy("of", "x", "r").agg({"w": "sum"}).toDF("of", "x", "r", "w").where("w > 0").collect()}
+    assert got == want and parts.count() < 0.35 * 1800 * Q.REPEATS
+    parts.unpersist()

@@ -94,3 +94,14 @@ assert SparkContext._active_spark_context is None
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_training_texts_are_normalised_once(spark, monkeypatch):
+    """What splits, vocabularies and vectors read holds the texts, not the work of their normalising; a scorer fits its lemmas once."""
+    fits, fit = [], catalog.Lemmatizer.fit
+    monkeypatch.setattr(catalog.Lemmatizer, "fit", lambda self, *a, **b: fits.append(1) or fit(self, *a, **b))
+    seen = []
+    monkeypatch.setattr(catalog.models.LogisticRegression, "fit", lambda self, df: seen.append(df))
+    catalog._scorer(spark, "/root/testdata/sf0.001")
+    assert len(fits) == len(seen) == 1
+    assert "EvalPython" not in catalog._training_comments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -21,8 +21,9 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points taken at a time; a longer text comes alone.
 CHUNK = 1 << 16
-_SLOT_BITS = 19
-_POOL = 1 << 21
+#: Slots for words and room for their ids (twice as much for their code points): 20 MiB of a worker in all.
+_SLOT_BITS = 18
+_POOL = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 

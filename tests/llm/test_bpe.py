@@ -100,3 +100,9 @@ def test_query_columns(spark):
     docs = spark.createDataFrame([(1, None, "z"), (2, "", "z"), (3, "Hello, World's", "z"), (None, "Hello, World's", "z")], "doc_id long, text string, ids string")
     got = {r.doc_id: r for r in bpe.encode(docs, PATH).collect()}
     assert got[1].ids == got[2].ids == b"" and got[1].decoded == "" and got[3].ids == got[None].ids
+
+
+def test_a_lookup_is_small():
+    """Every worker of an executor has one: all its tables together are bounded."""
+    held = segment.Lookup(segment.byte_words, lambda w: [len(w)])
+    assert sum(x.nbytes for x in vars(held).values() if hasattr(x, "nbytes")) <= 21 << 20

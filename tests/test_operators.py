@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -321,3 +322,32 @@ def test_small_leaves_look_at_few_cells(monkeypatch):
             else:
                 assert got.value[at] == pytest.approx(-g[rows].sum() / (h[rows].sum() + p.l2) * p.rate, abs=1e-9)
     assert looked > 20
+
+
+def test_trees_are_grown_on_all_rows(spark):
+    """The shares that a model begins with are those of every row, however many there are."""
+    df = spark.range(210_000).selectExpr("id AS doc_id", "CAST(id % 1000 = 0 AS double) AS label", "1.0D AS weight", "CAST(id % 7 AS double) AS x")
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    model = boosting.BoostedTrees(boosting.Boosting(rounds=1, depth=1), classes=2).fit(df)
+    assert np.exp(model.trees.base) == pytest.approx([0.999, 0.001], rel=1e-12)
+
+
+@pytest.mark.parametrize("p", [boosting.Boosting(rounds=4, leaves=9, least_rows=4), boosting.Boosting(rounds=4, depth=5, leaves=32, least_rows=12, l1=0.0, l2=1.0)])
+def test_groups_of_columns_grow_the_same_trees(spark, monkeypatch, p):
+    """Binned entries of more than a task's bound stay in groups of columns, and their trees are those of one task (leaves of few rows would have equal gains)."""
+    rng = np.random.default_rng(8)
+    n, c = 700, 25
+    x = np.where(rng.random((n, c)) < 0.3, rng.normal(0.5, 1, (n, c)), 0.0)
+    y = (x[:, 0] + x[:, 1] > 0.5).astype(int) + (x[:, 2] > 0.25)
+    y = np.where(rng.random(n) < 0.2, rng.integers(0, 3, n), y)
+    rows = [(k, Vectors.sparse(c, np.flatnonzero(r), r[r != 0]), float(a), float(w)) for k, (r, a, w) in enumerate(zip(x, y, rng.random(n) + 0.5, strict=True))]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label", "weight"]).repartition(3)
+    one = boosting.BoostedTrees(p).fit(df).trees
+    monkeypatch.setattr(boosting, "IN_TASK", 0)
+    monkeypatch.setattr(boosting, "GROUP", 600)
+    many = boosting.BoostedTrees(p).fit(df.repartition(2)).trees
+    assert len(one.column) > 100
+    for name in ("column", "left", "right", "roots"):
+        assert getattr(one, name).tolist() == getattr(many, name).tolist(), name
+    for name in ("bound", "value", "base"):
+        assert np.allclose(getattr(one, name), getattr(many, name), rtol=1e-9, atol=1e-12), name

@@ -351,3 +351,27 @@ def test_groups_of_columns_grow_the_same_trees(spark, monkeypatch, p):
         assert getattr(one, name).tolist() == getattr(many, name).tolist(), name
     for name in ("bound", "value", "base"):
         assert np.allclose(getattr(one, name), getattr(many, name), rtol=1e-9, atol=1e-12), name
+
+
+def test_vectors_are_cut_from_counts(spark):
+    """Vectors of a shorter vocabulary, cut from counts of a longer one, are those that the texts give; null and foreign texts have none."""
+    texts = ["aa bb aa cc", "bb cc dd", None, "", "zz", "dd dd aa bb", "ee aa bb cc dd"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(3)
+    ranked = [(r.term, r.df) for r in features.vocabulary(df, "t", (1, 2)).orderBy(F.desc("total"), "term").collect()]
+    counted = features.Vectorizer(len(ranked), (1, 2)).of_terms(ranked, len(texts)).counted(df, "t")
+    for n in (1, 3, len(ranked)):
+        for tfidf in (False, True):
+            vec = features.Vectorizer(n, (1, 2), tfidf).of_terms(ranked, len(texts))
+            got, want = (sorted(map(tuple, x.select("k", "features").collect())) for x in (vec.of_counts(counted), vec.transform(df, "t")))
+            assert [(k, v.size, v.indices.tolist(), v.values.tolist()) for k, v in got] == [(k, v.size, v.indices.tolist(), v.values.tolist()) for k, v in want]
+
+
+def test_a_sweep_counts_texts_once(spark, monkeypatch):
+    """Settings of one range share the counts of training and test texts."""
+    read, terms = [], features.Vectorizer._terms
+    monkeypatch.setattr(features.Vectorizer, "_terms", lambda self, df, text: read.append(text) or terms(self, df, text))
+    rows = [(k, f"{('good', 'bad', 'plain')[k % 3]} words here {k % 5}", (1, -1, 0)[k % 3]) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, t string, category int")
+    grid = [{"max_features": n, "ngram_range": (1, 2), "tfidf": w} for n in (4, 8) for w in (False, True)]
+    got = models.sweep(df, "doc_id", "t", grid, models.Params(trees=3, forest_depth=3))
+    assert [s for s, _ in got] == grid and got[-1][1] > 0.9 and len(read) == 2

@@ -4,6 +4,8 @@ import datetime
 import hashlib
 import json
 import math
+import threading
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -375,3 +377,26 @@ def test_a_sweep_counts_texts_once(spark, monkeypatch):
     grid = [{"max_features": n, "ngram_range": (1, 2), "tfidf": w} for n in (4, 8) for w in (False, True)]
     got = models.sweep(df, "doc_id", "t", grid, models.Params(trees=3, forest_depth=3))
     assert [s for s, _ in got] == grid and got[-1][1] > 0.9 and len(read) == 2
+
+
+def test_boosted_fits_of_a_stack_begin_together(spark, monkeypatch):
+    """Each is a long task, so none waits for another's end."""
+    p, fit = models.Params(folds=5, neighbours=3, rounds=5, depth=3), boosting.BoostedTrees.fit
+    met = threading.Barrier(p.folds + 1)
+    monkeypatch.setattr(boosting.BoostedTrees, "fit", lambda self, df: met.wait(60) >= 0 and fit(self, df))
+    rows = [(k, Vectors.sparse(4, [k % 3], [1.0 + k % 7]), float(k % 3), 1.0) for k in range(150)]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label", "weight"])
+    got = models.stack(df.where("doc_id % 5 > 0"), df.where("doc_id % 5 = 0"), "doc_id", [models.boosted(p), models.logistic(20)], p).collect()
+    assert len(got) == 30 and all(r.prediction == r.label for r in got)
+
+
+def test_scoring_holds_a_few_rows_at_a_time():
+    """Not a full table of all rows of a batch by all columns."""
+    n, c = 20_000, 4000
+    column = np.arange(c)
+    trees = boosting.Trees(np.r_[column, -1, -1], np.r_[np.full(c, 0.5), 0.0, 0.0], np.r_[np.full(c, c), -1, -1], np.r_[np.full(c, c + 1), -1, -1], np.r_[np.zeros(c), 1.0, 2.0], np.array([0, 1]), np.zeros(2))
+    tracemalloc.start()
+    got = trees.scores(np.arange(n + 1), np.arange(n) % c, np.ones(n))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and got[:3].tolist() == [[2.0, 1.0], [1.0, 2.0], [1.0, 1.0]]
